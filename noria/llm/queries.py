@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, packing, quality_rules, tables, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,3 +39,22 @@ WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, sha256(body) AS text_sha256 FROM t)
 SELECT doc_id, keep_id, group_size, text_sha256, doc_id IS NOT DISTINCT FROM keep_id AS kept FROM g
 """
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{tables.shared_folder(spark)}/noria-shards-{uuid.uuid4().hex}"
+    wavelet.write_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), to)
+    return wavelet.documents(wavelet.read_shards(spark, to))
+
+
+@_query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_up = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return packing.pack(cut_up)
