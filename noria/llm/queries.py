@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality_rules, tables, wavelet
+from . import exact_dedup, near_dedup, packing, quality_rules, tables, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return packing.pack(cut_up)
+
+
+@_query
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), k=3, percent=85)
