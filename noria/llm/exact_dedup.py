@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import clean_input, stored, with_group_values
+from .tables import clean_input, stored, with_group_values, without_ids
 
 
 def normalised(text: Column) -> Column:
@@ -59,6 +59,5 @@ def _by_text(docs: DataFrame, rows: DataFrame, found: DataFrame, clashing: DataF
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a null doc_id matches a null."""
-    kept = mark_copies(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns. Rows without doc_id stay."""
+    return without_ids(docs, mark_copies(docs).select("doc_id", "kept"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .tables import clean_input, only_ids, stored, with_group_values
+from .tables import clean_input, only_ids, stored, with_group_values, without_ids
 
 TREES, COORDINATES, DEPTH, LEAF = 16, 64, 24, 24
 #: Nodes in 100 that branch twice: 1 / 0.85 - 1.
@@ -236,6 +236,5 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component."""
-    kept = near_groups(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` with the smallest doc_id of each component. Rows without doc_id stay."""
+    return without_ids(docs, near_groups(docs, k, percent).select("doc_id", "kept"))

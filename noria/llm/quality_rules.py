@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .tables import clean_input, stored
+from .tables import clean_input, stored, without_ids
 
 #: A rule calls at most this share of the good documents bad.
 MOST_FALSE = 0.01
@@ -178,6 +178,5 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    kept = judge(docs, threshold).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows without doc_id stay."""
+    return without_ids(docs, judge(docs, threshold).select("doc_id", "kept"))

@@ -41,7 +41,7 @@ SELECT doc_id, keep_id, group_size, text_sha256, doc_id IS NOT DISTINCT FROM kee
 """
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -50,13 +50,13 @@ def _tokenizer(name: str) -> str:
 @_query
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{tables.shared_folder(spark)}/noria-shards-{uuid.uuid4().hex}"
-    wavelet.write_shards(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), to)
+    wavelet.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), to)
     return wavelet.documents(wavelet.read_shards(spark, to))
 
 
 @_query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut_up = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    cut_up = packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packing.pack(cut_up)
 
 

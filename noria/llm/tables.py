@@ -70,6 +70,17 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), key, "left_semi")
 
 
+def without_ids(rows: DataFrame, verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` without the ids whose ``kept`` is false in every verdict; all columns stay.
+
+    Rows with a null id stay. The ids to drop are broadcast up to BROADCAST_IDS, else shuffled.
+    """
+    drop = stored(verdicts.groupBy(F.col(key).alias("_id")).agg(F.max("kept").alias("kept")).where("NOT kept AND _id IS NOT NULL").select("_id"), "dropped")
+    few = drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    drop = F.broadcast(drop) if few else drop.hint("merge")
+    return rows.join(drop, rows[key] == drop["_id"], "left_anti")
+
+
 def clean_input(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of the caller can't clash with ours."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
