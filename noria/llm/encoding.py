@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces and atoms that a worker remembers.
-MEMO = 600_000
+MEMO = 400_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SAFE = re.compile(rf" ?[!-&(-~{_LETTERS}]+")  # one optional space, no apostrophe, letters of Latin-1 at most
 _ATOMS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
@@ -163,6 +164,16 @@ class PieceEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def by_size(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text; one longer text is alone."""
+    length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    upto, at = np.concatenate([[0], np.cumsum(length)]), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 

@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import by_size, encoder
 from .tables import clean_input, stored
 
-ENCODED_ROWS = 8_000
 #: Buckets in which the pieces of one length are ranked.
 SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
@@ -44,8 +43,7 @@ def _cutter(path: str, end_id: int, capacity: int, with_ids: bool):
         coder = encoder(path)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED_ROWS):
-                some = batch.slice(at, ENCODED_ROWS)
+            for some in by_size(batch, 1):
                 ids, offsets = coder.encode(some.column(1))
                 ids, out, parts = ids.astype("<u4"), [], []
                 for k, doc in enumerate(some.column(0).to_pylist()):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, near_dedup, packing, quality_rules, substring_dedup, tables, url_filters, wavelet
+from . import exact_dedup, html_text, near_dedup, packing, pieces, quality_rules, substring_dedup, tables, token_counts, url_filters, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,3 +81,17 @@ URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 @_query
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after an edit: five characters in the middle give way to two words."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    middle = F.floor(F.length("text") / 2)
+    edited = token_counts.edit_where(token_counts.build(_table(spark, sf_dir, "documents"), path), path, middle, middle + 5, F.lit(" edited words "))
+    return edited.select("doc_id", "n_before", "n_tokens", "n_encoded_chars")

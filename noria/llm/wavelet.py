@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import by_size, encoder
 from .tables import clean_input
 
 MAGIC = b"WVM1"
@@ -31,8 +31,6 @@ BLOCK_BITS = 512
 CHUNK_BYTES = 1 << 15
 #: Ids at which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 1 << 22
-#: Rows that are encoded at once.
-ENCODED_ROWS = 8_000
 
 
 class WaveletMatrix:
@@ -189,8 +187,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
         end = np.array([end_id], coder.dtype)
         part, seq, rows, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED_ROWS):
-                some = batch.slice(at, ENCODED_ROWS)
+            for some in by_size(batch, 1):
                 ids, offsets = coder.encode(some.column(1))
                 for k, doc in enumerate(some.column(0).to_pylist()):
                     rows.append((doc, np.concatenate([ids[offsets[k] : offsets[k + 1]], end])))
