@@ -30,9 +30,9 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def arabize(text: Column) -> Column:
-    """Latin letters as Arabic letters and marks by a fixed table; the rest as it is."""
-    return F.translate(F.lower(text), A.LATIN, A.AS_ARABIC)
+def arabize(text: Column, digits: bool = False) -> Column:
+    """Latin letters as Arabic letters and marks by a fixed table; the rest as it is. digits: those as letters, too."""
+    return F.translate(F.lower(text), A.LATIN + "0123456789" * digits, A.AS_ARABIC + A.LETTERS[3:13] * digits)
 
 
 def _composer(form: str) -> Callable[[Column], Column]:

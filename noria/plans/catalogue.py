@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import corpus_queries, metric_queries, sequence_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+from .text_queries import flagship
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
