@@ -9,8 +9,8 @@ lie outside its largest known group; then each of those is compared with all mem
 one-bit sketches first), and confirmed on the full sets. Larger nodes branch on; at DEPTH every node
 is compared, whatever its size, so nothing is dropped.
 
-Before branching, each root's members are linked with its smallest member where the full sets confirm
-it. Known links make a crowd of near copies one group, and a pair inside a group needs no further
+Before branching, each root's members are linked with one of them, the root's pivot, where the full
+sets confirm it. Known links make a crowd of near copies one group, and a pair inside a group needs no further
 comparison: no node emits all its pairs. Groups are joined by label propagation over stored tables.
 
 Node sizes come from map-side-combined counts; joins on nodes treat hot nodes apart and cut their
@@ -121,7 +121,7 @@ def _confirmer(percent: int):
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The distinct pairs (a < b) of doc_ids whose full shingle sets are similar enough, as a stored table."""
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = only_ids(clean_input(docs, "doc_id", "text").where("doc_id IS NOT NULL"), ids)
     # repeated rows of a doc_id: the same one for all pairs
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
@@ -173,25 +173,25 @@ def _small_nodes(members: DataFrame, percent: int) -> DataFrame:
     return few.join(all_, same & once & _alike("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect all similar class representatives."""
+def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component_id) of all class representatives that are linked with another."""
     first = stored(roots(classes), "roots")
     total = first.count()
-    sizes = stored(first.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), F.min(F.struct("rep", "n_shingles", "sketch")).alias("pivot")).where("n_members > 1"), "root-sizes")
+    # each tree has its own pivots: what one pivot misses of a crowd of near copies, the others link
+    pivot = F.min_by(F.struct("rep", "n_shingles", "sketch"), F.struct(F.xxhash64("rep", "tree"), "rep"))
+    sizes = stored(first.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), pivot.alias("pivot")).where("n_members > 1"), "root-sizes")
     members = stored(with_group_values(first, sizes, "node", "n_members", total), "members")
     star = members.where("rep <> pivot.rep").where((F.least("n_shingles", "pivot.n_shingles") * 100 >= F.greatest("n_shingles", "pivot.n_shingles") * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= SKETCH_BITS))
-    found = confirmed(star.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")), docs, k, percent)
-    # a group is a pivot and what is linked with it: one label, surely connected
-    labels = stored(found.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label")), "labels")
+    labels = components(confirmed(star.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")), docs, k, percent))
     pairs, depth = None, 0
     rows = members.select("tree", "node", "rep", "n_shingles", "sketch")
     while True:
-        grouped = stored(rows.join(labels, "rep", "left").withColumn("grp", F.coalesce("label", "rep")).drop("label"), "grouped")
+        grouped = stored(rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("grp", F.coalesce("component_id", "rep")).drop("component_id"), "grouped")
         per = grouped.groupBy("node", "grp").count()
         stats = per.groupBy("node").agg(F.sum("count").alias("n_members"), F.count(F.lit(1)).alias("n_groups"), F.max_by("grp", F.struct("count", "grp")).alias("main"), F.max("count").alias("most")).where("n_groups > 1")
         stats = stored(stats.withColumn("small", (F.col("n_members") - F.col("most") <= LEAF) | F.lit(depth >= DEPTH)), "nodes")
         joined = stored(with_group_values(grouped, stats, "node", "n_members", total), "node-members")
-        new = stored(_small_nodes(joined, percent).distinct(), "pairs")
+        new = _small_nodes(joined, percent)
         pairs = new if pairs is None else pairs.union(new)
         depth += 1
         large = joined.where("NOT small")
@@ -199,26 +199,55 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             break
         rows = branch(large, classes, depth)
     rest = confirmed(pairs, docs, k, percent)
-    return found.union(rest)
+    if rest.isEmpty():
+        return labels
+    # the new links as links between groups
+    for side in ("a", "b"):
+        own = labels.select(F.col("id").alias(side), F.col("component_id").alias("label"))
+        rest = rest.join(own, side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    above = components(rest.where("a <> b").select("a", "b"))
+    known = labels.join(above.select(F.col("id").alias("component_id"), F.col("component_id").alias("above")), "component_id", "left").select("id", F.coalesce("above", "component_id").alias("component_id"))
+    return stored(known.unionByName(above.join(known.select("id"), "id", "left_anti")), "groups")
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one partition as edges from each id to the least id that it reaches within the partition."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(x, x)
+            root.setdefault(y, y)
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["src", "dst"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id): the smallest id reachable, for every id in ``edges`` (a, b).
 
-    Each round takes the least label among neighbours and then the label's own label, so a chain
-    halves. Every round is stored; joins are plain shuffle joins, whose large partitions Spark splits.
+    Each task first contracts the edges that it has. Then each round takes the least label among
+    neighbours and the label's own label, so a chain halves. Every round is stored; joins are plain
+    shuffle joins, whose large partitions Spark splits.
     """
-    both = stored(edges.union(edges.select("b", "a")).toDF("src", "dst").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("least")).select("id", F.least("id", "least").alias("label")), "labels")
+    stars = stored(edges.mapInArrow(_contract, "src long, dst long"), "stars")
+    both = stored(stars.union(stars.select("dst", "src")).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
         step = stored(labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was")), "step")
+        if step.where("label <> was").isEmpty():
+            return labels.withColumnRenamed("label", "component_id")
         up = step.select(F.col("id").alias("label"), F.col("label").alias("above"))
-        new = stored(step.join(up, "label").select("id", F.least("label", "above").alias("label"), "was"), "labels")
-        changed = not new.where("label <> was").isEmpty()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels.select("id", F.col("label").alias("component_id"))
+        labels = stored(step.join(up, "label").select("id", F.least("label", "above").alias("label")), "labels")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -226,7 +255,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     embedded = stored(clean_input(docs, "doc_id", "text").mapInArrow(_embedder(k), _EMBEDDED), "embedded")
     same = embedded.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles")
     classes = stored(same.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens")), "classes")
-    found = components(links(classes.select("rep", "n_shingles", "sketch", "tokens"), docs, k, percent))
+    found = linked_groups(classes.select("rep", "n_shingles", "sketch", "tokens"), docs, k, percent)
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.col("n_shingles").alias("n"), "n_docs", F.coalesce("component_id", "rep").alias("component_id"))
     named = stored(named.select(F.struct("h1", "h2", "n").alias("set"), "n_docs", "component_id"), "named")
     rows = stored(embedded.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", F.struct("h1", "h2", F.col("n_shingles").alias("n")).alias("set")), "rows")
