@@ -59,7 +59,7 @@ def q_speech_edges(spark, sf_dir):
 @query(f"""WITH {_SILENT}, f AS (SELECT user_id, (i + 5) // 20 AS pair, i, x, silent FROM si WHERE (i + 5) % 20 < 11 AND i >= 15),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, pair, silent ORDER BY i) AS g FROM f), r AS (SELECT user_id, pair, min(i) AS s, count(*) AS n FROM g WHERE silent GROUP BY user_id, pair, g),
 b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id, pair ORDER BY n DESC, s) = 1), m AS (SELECT user_id, pair, i AS lo FROM f QUALIFY row_number() OVER (PARTITION BY user_id, pair ORDER BY x, i) = 1)
-SELECT m.user_id, CAST(m.pair AS BIGINT) AS pair, round(CASE WHEN n >= 3 THEN s * 0.1 ELSE (lo + 0.5) * 0.1 END, 3) AS word_end, round(CASE WHEN n >= 3 THEN (s + n) * 0.1 ELSE (lo + 0.5) * 0.1 END, 3) AS word_start, CASE WHEN n >= 3 AND n * 0.1 >= 0.55 THEN '.' WHEN n >= 3 AND n * 0.1 >= 0.22 THEN ',' ELSE '' END AS mark FROM m LEFT JOIN b USING (user_id, pair)""")
+SELECT m.user_id, CAST(m.pair AS BIGINT) AS pair, round(CAST(CASE WHEN n >= 3 THEN s ELSE lo + 0.5 END AS DOUBLE) * CAST(0.1 AS DOUBLE), 3) AS word_end, round(CAST(CASE WHEN n >= 3 THEN s + n ELSE lo + 0.5 END AS DOUBLE) * CAST(0.1 AS DOUBLE), 3) AS word_start, CASE WHEN n >= 3 AND n * 0.1 >= 0.55 THEN '.' WHEN n >= 3 AND n * 0.1 >= 0.22 THEN ',' ELSE '' END AS mark FROM m LEFT JOIN b USING (user_id, pair)""")
 def q_refine(spark, sf_dir):
     """Word boundaries at every 20th frame, searched five frames to either side."""
     f = silent(spark, sf_dir).where("(i + 5) % 20 < 11 AND i >= 15").withColumn("pair", F.expr("(i + 5) div 20"))
