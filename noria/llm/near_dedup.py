@@ -6,16 +6,18 @@ tokens. TREES independent trees branch it: the node at a depth is the path of th
 selected so far, and now and then a node branches twice, so that on average one child in
 1 / similarity survives for a pair at the threshold. A node is small once at most LEAF of its members
 lie outside its largest known group; then each of those is compared with all members (64-bit
-one-bit sketches first), and confirmed on the full sets. Larger nodes branch on; at DEPTH every node
-is compared, whatever its size, so nothing is dropped.
+one-bit sketches first), and confirmed on the full sets. In a node that one group dominates, a crowd
+of near copies, nearly all tokens agree and branching parts similar pairs as often as others: up to
+CROWD members outside the group are compared with all members on the full sets, in blocks, in the
+first CROWD_TREES trees. Other nodes branch on; at DEPTH every node is compared, whatever its size, in
+the same blocks, so nothing is dropped.
 
 Before branching, each root's members are linked with one of them, the root's pivot, where the full
 sets confirm it. Known links make a crowd of near copies one group, and a pair inside a group needs no further
 comparison: no node emits all its pairs. Groups are joined by label propagation over stored tables.
 
 Node sizes come from map-side-combined counts; joins on nodes treat hot nodes apart and cut their
-members into salted blocks. At the threshold a pair misses all trees with a probability below 1e-6
-where roots are small and about 1e-3 where it has to go ten levels deep.
+members into salted blocks. At the threshold a pair misses all trees with a probability below 1e-6.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated rows of a doc_id are one
 document: the result has a row for each. A null doc_id is reported alone. An empty table gives an
@@ -34,12 +36,18 @@ from pyspark.sql import functions as F
 from . import wordhash as wh
 from .tables import clean_input, only_ids, stored, with_group_values, without_ids
 
-TREES, COORDINATES, DEPTH, LEAF = 16, 64, 24, 24
+TREES, COORDINATES, DEPTH, LEAF = 16, 64, 4, 24
 #: Nodes in 100 that branch twice: 1 / 0.85 - 1.
 TWICE = 18
 #: Sketch bits that may differ. A pair at 0.85 differs in 4.8 of 64 bits on average, in more than 18 once in a million.
 SKETCH_BITS = 18
 BLOCK_ROWS = 1_000
+#: Members outside the largest group that a crowded node may have to be compared in blocks of so many rows.
+CROWD, CROWD_ROWS, CROWD_TREES = 4_096, 128, 8
+#: Most members of a node whose candidate pairs are listed one by one.
+LISTED = 512
+#: Shingles that are multiplied at once.
+COLUMNS = 4_096
 _SEEDS, _FACTORS = wh.seeds(COORDINATES, 7), wh.seeds(COORDINATES, 8) | np.uint64(1)
 
 
@@ -122,10 +130,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     """The distinct pairs (a < b) of doc_ids whose full shingle sets are similar enough, as a stored table."""
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = only_ids(clean_input(docs, "doc_id", "text").where("doc_id IS NOT NULL"), ids)
-    # repeated rows of a doc_id: the same one for all pairs
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    sets = stored(texts.mapInArrow(_set_maker(k), "id long, shingles binary"), "candidate-sets")
+    sets = _shingle_sets_of(ids, docs, k)
     wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
     wide = wide.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
     return stored(wide.select("a", "b", "of_a", "of_b").mapInArrow(_confirmer(percent), "a long, b long"), "links")
@@ -173,6 +178,60 @@ def _small_nodes(members: DataFrame, percent: int) -> DataFrame:
     return few.join(all_, same & once & _alike("x", "y", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, as products of 0/1 matrices."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    both = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    for at in range(0, len(both), COLUMNS):
+        columns = both[at : at + COLUMNS]
+        a, b = (np.stack([np.isin(columns, s[np.searchsorted(s, columns[0]) : np.searchsorted(s, columns[-1], "right")], assume_unique=True) for s in side]).astype(np.float32) for side in (x, y))
+        out += a @ b.T
+    return out
+
+
+def _crowd_comparer(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rep, grp, few = (np.asarray(group[c]) for c in ("rep", "grp", "few"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["shingles"]]
+        xs, ys = np.flatnonzero(few), np.flatnonzero(~few)
+        out: list[tuple[int, int]] = []
+        if len(xs) and len(ys):
+            size = np.array([len(s) for s in sets])
+            both = _intersections([sets[i] for i in xs], [sets[i] for i in ys])
+            hit = (100 * both >= percent * (size[xs][:, None] + size[ys][None] - both)) & (grp[xs][:, None] != grp[ys][None])
+            # one link for each member and group that it reaches is as good as all
+            done = set()
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                if (xs[i], grp[ys[j]]) not in done:
+                    done.add((xs[i], grp[ys[j]]))
+                    out.append((int(rep[xs[i]]), int(rep[ys[j]])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _shingle_sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id and sorted shingles of the documents in ``ids`` (doc_id, distinct), as a stored table."""
+    texts = only_ids(clean_input(docs, "doc_id", "text").where("doc_id IS NOT NULL"), ids)
+    # repeated rows of a doc_id: the same one for all pairs
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+    return stored(texts.mapInArrow(_set_maker(k), "id long, shingles binary"), "candidate-sets")
+
+
+def _crowd_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of crowded nodes: members outside the largest group against all, block by block."""
+    blocks = lambda n: F.expr(f"cast(({n} - 1) div {CROWD_ROWS} + 1 as int)")
+    of = lambda n: F.expr(f"cast(pmod(xxhash64(rep), ({n} - 1) div {CROWD_ROWS} + 1) as int)")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    few = members.where("grp <> main").withColumn("xb", of("n_few")).withColumn("yb", each("n_members")).withColumn("few", F.lit(True))
+    all_ = members.withColumn("yb", of("n_members")).withColumn("xb", each("n_few")).withColumn("few", F.lit(False))
+    columns = ["node", "xb", "yb", "few", "rep", "grp"]
+    sets = _shingle_sets_of(members.select(F.col("rep").alias("doc_id")).distinct(), docs, k)
+    rows = few.select(*columns).unionByName(all_.select(*columns)).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return stored(rows.groupBy("node", "xb", "yb").applyInArrow(_crowd_comparer(percent), "a long, b long").distinct(), "crowd-links")
+
+
 def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, component_id) of all class representatives that are linked with another."""
     first = stored(roots(classes), "roots")
@@ -183,22 +242,29 @@ def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) ->
     members = stored(with_group_values(first, sizes, "node", "n_members", total), "members")
     star = members.where("rep <> pivot.rep").where((F.least("n_shingles", "pivot.n_shingles") * 100 >= F.greatest("n_shingles", "pivot.n_shingles") * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= SKETCH_BITS))
     labels = components(confirmed(star.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")), docs, k, percent))
-    pairs, depth = None, 0
+    pairs, crowds, depth = None, None, 0
     rows = members.select("tree", "node", "rep", "n_shingles", "sketch")
     while True:
         grouped = stored(rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("grp", F.coalesce("component_id", "rep")).drop("component_id"), "grouped")
         per = grouped.groupBy("node", "grp").count()
         stats = per.groupBy("node").agg(F.sum("count").alias("n_members"), F.count(F.lit(1)).alias("n_groups"), F.max_by("grp", F.struct("count", "grp")).alias("main"), F.max("count").alias("most")).where("n_groups > 1")
-        stats = stored(stats.withColumn("small", (F.col("n_members") - F.col("most") <= LEAF) | F.lit(depth >= DEPTH)), "nodes")
+        few = F.col("n_members") - F.col("most")
+        stats = stats.withColumn("n_few", few).withColumn("small", (few <= LEAF) & (F.col("n_members") <= LISTED))
+        stats = stats.withColumn("dominated", (few <= CROWD) & (F.col("most") * 4 >= F.col("n_members")))
+        stats = stored(stats.withColumn("crowded", ~F.col("small") & (F.col("dominated") | F.lit(depth >= DEPTH))), "nodes")
         joined = stored(with_group_values(grouped, stats, "node", "n_members", total), "node-members")
+        own = joined.where(f"crowded AND (tree < {CROWD_TREES} OR NOT dominated)").select("node", "rep", "grp", "main", "n_few", "n_members")
+        crowds = own if crowds is None else crowds.union(own)
         new = _small_nodes(joined, percent)
         pairs = new if pairs is None else pairs.union(new)
         depth += 1
-        large = joined.where("NOT small")
+        large = joined.where("NOT small AND NOT crowded")
         if large.isEmpty():
             break
         rows = branch(large, classes, depth)
     rest = confirmed(pairs, docs, k, percent)
+    if not crowds.isEmpty():
+        rest = rest.union(_crowd_links(crowds, docs, k, percent))
     if rest.isEmpty():
         return labels
     # the new links as links between groups
