@@ -43,7 +43,7 @@ TWICE = 18
 SKETCH_BITS = 18
 BLOCK_ROWS = 1_000
 #: Members outside the largest group that a crowded node may have to be compared in blocks of so many rows.
-CROWD, CROWD_ROWS, CROWD_TREES = 4_096, 128, 8
+CROWD, CROWD_ROWS, CROWD_TREES = 4_096, 256, 8
 #: Most members of a node whose candidate pairs are listed one by one.
 LISTED = 512
 #: Shingles that are multiplied at once.
@@ -159,7 +159,9 @@ def roots(classes: DataFrame) -> DataFrame:
 
 def branch(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     """Children of the members' nodes at the next depth; a node's own hash says whether it branches twice."""
-    wide = members.select("tree", "node", "rep").join(classes, "rep")
+    # a class may be in as many nodes as there are trees; its tokens are looked up once
+    own = members.groupBy("rep").agg(F.collect_list(F.struct("tree", "node")).alias("in"))
+    wide = own.join(classes, "rep").select(F.explode("in").alias("m"), "rep", "n_shingles", "sketch", "tokens").select("m.tree", "m.node", "rep", "n_shingles", "sketch", "tokens")
 
     def child(shift: int):
         token = F.coalesce(*[F.when(F.col("tree") == t, _token((_coordinate(t, depth) + shift) % COORDINATES)) for t in range(TREES)])
@@ -228,7 +230,9 @@ def _crowd_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     all_ = members.withColumn("yb", of("n_members")).withColumn("xb", each("n_few")).withColumn("few", F.lit(False))
     columns = ["node", "xb", "yb", "few", "rep", "grp"]
     sets = _shingle_sets_of(members.select(F.col("rep").alias("doc_id")).distinct(), docs, k)
-    rows = few.select(*columns).unionByName(all_.select(*columns)).join(sets.withColumnRenamed("id", "rep"), "rep")
+    rows = few.select(*columns).unionByName(all_.select(*columns))
+    rows = rows.groupBy("rep").agg(F.collect_list(F.struct(*[c for c in columns if c != "rep"])).alias("in")).join(sets.withColumnRenamed("id", "rep"), "rep")
+    rows = rows.select(F.explode("in").alias("m"), "rep", "shingles").select("m.*", "rep", "shingles")
     return stored(rows.groupBy("node", "xb", "yb").applyInArrow(_crowd_comparer(percent), "a long, b long").distinct(), "crowd-links")
 
 
