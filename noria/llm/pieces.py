@@ -30,7 +30,7 @@ from .tables import clean_input
 
 MARK = "▁"
 #: Words whose pieces a worker remembers.
-MEMO = 400_000
+MEMO = 1_000_000
 #: A byte piece scores below every other piece.
 BYTE_PENALTY = 10.0
 _WORDS = re.compile(r"(?: |^)(?: *)[^ ]*", re.S)
@@ -129,15 +129,20 @@ class Pieces:
         n = len(marked)
         best, back = [-math.inf] * (n + 1), [(0, 0)] * (n + 1)
         best[0] = 0.0
-        scores = self.scores
+        scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
         for i in range(n):
             here = best[i]
             if here == -math.inf:
                 continue
-            for end, piece in self.trie.prefixes(marked, i):
-                s = here + scores[piece]
-                if s > best[end]:
-                    best[end], back[end] = s, (i, piece)
+            state = 0
+            for at in range(i, n):  # as in DoubleArray.prefixes
+                to = base[state] + marked[at] + 1
+                if to >= len(check) or check[to] != state:
+                    break
+                state = to
+                piece = value[state]
+                if piece >= 0 and here + scores[piece] > best[at + 1]:
+                    best[at + 1], back[at + 1] = here + scores[piece], (i, piece)
             lead = marked[i]
             size = 1 if lead < 0x80 or lead == 0xFF else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             s = here + self.byte_score * (3 if lead == 0xFF else size)
