@@ -8,9 +8,9 @@ selected so far, and now and then a node branches twice, so that on average one
 lie outside its largest known group; then each of those is compared with all members (64-bit
 one-bit sketches first), and confirmed on the full sets. In a node that one group dominates, a crowd
 of near copies, nearly all tokens agree and branching parts similar pairs as often as others: up to
-CROWD members outside the group are compared with all members on the full sets, in blocks, in the
-first CROWD_TREES trees. Other nodes branch on; at DEPTH every node is compared, whatever its size, in
-the same blocks, so nothing is dropped.
+CROWD members outside the group are compared with all members on the full sets, in blocks. Other
+nodes branch on; at DEPTH every node is compared, whatever its size, in the same blocks, so nothing is
+dropped: every node of every tree is compared or has children.
 
 Before branching, each root's members are linked with one of them, the root's pivot, where the full
 sets confirm it. Known links make a crowd of near copies one group, and a pair inside a group needs no further
@@ -43,7 +43,7 @@ TWICE = 18
 SKETCH_BITS = 18
 BLOCK_ROWS = 1_000
 #: Members outside the largest group that a crowded node may have to be compared in blocks of so many rows.
-CROWD, CROWD_ROWS, CROWD_TREES = 4_096, 256, 8
+CROWD, CROWD_ROWS = 4_096, 256
 #: Most members of a node whose candidate pairs are listed one by one.
 LISTED = 512
 #: Shingles that are multiplied at once.
@@ -257,7 +257,7 @@ def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) ->
         stats = stats.withColumn("dominated", (few <= CROWD) & (F.col("most") * 4 >= F.col("n_members")))
         stats = stored(stats.withColumn("crowded", ~F.col("small") & (F.col("dominated") | F.lit(depth >= DEPTH))), "nodes")
         joined = stored(with_group_values(grouped, stats, "node", "n_members", total), "node-members")
-        own = joined.where(f"crowded AND (tree < {CROWD_TREES} OR NOT dominated)").select("node", "rep", "grp", "main", "n_few", "n_members")
+        own = joined.where("crowded").select("node", "rep", "grp", "main", "n_few", "n_members")
         crowds = own if crowds is None else crowds.union(own)
         new = _small_nodes(joined, percent)
         pairs = new if pairs is None else pairs.union(new)

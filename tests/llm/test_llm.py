@@ -207,6 +207,53 @@ def test_near_crowd(spark, monkeypatch):
     assert got == components(crowd, 3, 85)
 
 
+def embedded(w, k):
+    data = " ".join(w).encode()
+    tokens, sketch = near_dedup.embed(*near_dedup.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), k))
+    return tokens[0], int(sketch[0])
+
+
+def changed_until(rng, start, k, done, accept):
+    """``start`` with words changed one by one, by changes that ``accept`` (before, after), until ``done``."""
+    w, at = list(start), embedded(start, k)
+    while not done(w, at):
+        new = list(w)
+        new[rng.randrange(len(w))] = f"w{rng.random()}"
+        to = embedded(new, k)
+        if accept(at, to):
+            w, at = new, to
+    return w
+
+
+def jaccard(v, w, k):
+    a, b = (shingles(" ".join(x), k) for x in (v, w))
+    return len(a & b) / len(a | b)
+
+
+def test_near_crowds_under_one_root(spark, monkeypatch):
+    """Pairs that meet only in the last eight trees, where a crowd that is far from them dominates their roots."""
+    rng = random.Random(21)
+    first = [f"v{rng.random()}" for _ in range(400)]
+    meet = lambda at, to: (at[0][8:16] == to[0][8:16]).all()
+    far = lambda: changed_until(rng, first, 3, lambda w, _: jaccard(w, first, 3) < 0.5, meet)
+    texts = []
+    for x in (first, far(), far()):
+        tokens = embedded(x, 3)[0][:8]
+        apart = lambda at: int((at[0][:8] != tokens).sum())  # noqa: B023, E731
+        y = changed_until(rng, x, 3, lambda _, at: apart(at) == 8, lambda at, to: meet(at, to) and apart(to) > apart(at))  # noqa: B023
+        assert jaccard(x, y, 3) >= 0.85
+        texts += [x, y]
+    crowd = far()
+    texts += [changed_until(rng, crowd, 3, lambda w, _: w != crowd, meet) for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    monkeypatch.setattr(near_dedup, "LEAF", 1)
+    monkeypatch.setattr(near_dedup, "CROWD", 64)
+    want = components(rows, 3, 85)
+    assert [want[i][1] for i in range(7)] == [0, 0, 2, 2, 4, 4, 6]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == want
+
+
 def test_near_edges(empty, repeated):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.drop_near_copies(empty).count() == 0
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(repeated).collect() if r["doc_id"])
