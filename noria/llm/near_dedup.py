@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles. Documents with equal sets form a class, and only
 one representative per class goes on. Each representative is embedded by COORDINATES minwise
 tokens. TREES independent trees branch it: the node at a depth is the path of the minwise tokens
-selected so far, and now and then a node branches twice, so that on average one child in
-1 / similarity survives for a pair at the threshold. A node is small once at most LEAF of its members
+selected so far, and now and then a node branches twice (``twice``), so that a pair at the threshold
+survives on more paths than it loses, whatever the threshold. A node is small once at most LEAF of its members
 lie outside its largest known group; then each of those is compared with all members (64-bit
 one-bit sketches first), and confirmed on the full sets. In a node that one group dominates, a crowd
 of near copies, nearly all tokens agree and branching parts similar pairs as often as others: up to
@@ -17,7 +17,10 @@ sets confirm it. Known links make a crowd of near copies one group, and a pair i
 comparison: no node emits all its pairs. Groups are joined by label propagation over stored tables.
 
 Node sizes come from map-side-combined counts; joins on nodes treat hot nodes apart and cut their
-members into salted blocks. At the threshold a pair misses all trees with a probability below 1e-6.
+members into salted blocks. A pair at the threshold fails the sketches with a probability below SKETCH_MISS.
+It shares no root with 7e-14 at 0.85 and 7e-12 at 0.80. Where all its nodes stay large down to DEPTH it misses
+all trees with 4e-7 at 0.85 and 2e-6 at 0.80, by simulation: trees share coordinates, so this is more than for
+independent ones. These figures are for thresholds of 0.8 and more; below, a pair misses the roots more often.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated rows of a doc_id are one
 document: the result has a row for each. A null doc_id is reported alone. An empty table gives an
@@ -26,6 +29,7 @@ empty result. Extra columns are not read, and ``drop_near_copies`` keeps them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +41,10 @@ from . import wordhash as wh
 from .tables import clean_input, only_ids, stored, with_group_values, without_ids
 
 TREES, COORDINATES, DEPTH, LEAF = 16, 64, 4, 24
-#: Nodes in 100 that branch twice: 1 / 0.85 - 1.
-TWICE = 18
-#: Sketch bits that may differ. A pair at 0.85 differs in 4.8 of 64 bits on average, in more than 18 once in a million.
-SKETCH_BITS = 18
+#: Second children of a node for each that would make up for the pairs lost at a level.
+TWICE = 4
+#: Most of the pairs at the threshold that may differ in too many sketch bits.
+SKETCH_MISS = 2e-7
 BLOCK_ROWS = 1_000
 #: Members outside the largest group that a crowded node may have to be compared in blocks of so many rows.
 CROWD, CROWD_ROWS = 4_096, 256
@@ -51,6 +55,19 @@ COLUMNS = 4_096
 _SEEDS, _FACTORS = wh.seeds(COORDINATES, 7), wh.seeds(COORDINATES, 8) | np.uint64(1)
 
 
+def twice(percent: int) -> int:
+    """Second children of 100 nodes, TWICE times (100 / percent - 1) of them: 71 at 85, 100 at 80."""
+    return -(-TWICE * (10_000 - 100 * percent) // max(percent, 1))
+
+
+def sketch_bits(percent: int) -> int:
+    """Sketch bits that may differ: a pair at the threshold differs in each with half its distance, in more than these with SKETCH_MISS at most."""
+    p, bits = (100 - percent) / 200, 0
+    while sum(math.comb(COORDINATES, i) * p**i * (1 - p) ** (COORDINATES - i) for i in range(bits + 1, COORDINATES + 1)) > SKETCH_MISS:
+        bits += 1
+    return bits
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts, offsets); a text of fewer than k words is one shingle."""
     lower = wh.LOWER[data]
@@ -139,7 +156,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 def _alike(a: str, b: str, percent: int):
     """What a similar pair must fulfil by sizes and sketches."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= SKETCH_BITS)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= sketch_bits(percent))
 
 
 def _coordinate(tree: int, depth: int) -> int:
@@ -157,17 +174,20 @@ def roots(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(nodes).alias("n"), "rep", "n_shingles", "sketch").select("n.tree", "n.node", "rep", "n_shingles", "sketch")
 
 
-def branch(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """Children of the members' nodes at the next depth; a node's own hash says whether it branches twice."""
+def branch(members: DataFrame, classes: DataFrame, depth: int, percent: int) -> DataFrame:
+    """Children of the members' nodes at the next depth; a node's own hash says whether it has one more than the others."""
     # a class may be in as many nodes as there are trees; its tokens are looked up once
     own = members.groupBy("rep").agg(F.collect_list(F.struct("tree", "node")).alias("in"))
     wide = own.join(classes, "rep").select(F.explode("in").alias("m"), "rep", "n_shingles", "sketch", "tokens").select("m.tree", "m.node", "rep", "n_shingles", "sketch", "tokens")
 
-    def child(shift: int):
-        token = F.coalesce(*[F.when(F.col("tree") == t, _token((_coordinate(t, depth) + shift) % COORDINATES)) for t in range(TREES)])
-        return F.xxhash64("node", F.lit(depth * 2 + (shift > 0)), token)
+    always, share = divmod(twice(percent), 100)
+
+    def child(i: int):
+        token = F.coalesce(*[F.when(F.col("tree") == t, _token((_coordinate(t, depth) + 7 * i) % COORDINATES)) for t in range(TREES)])
+        return F.xxhash64("node", F.lit(depth), F.lit(i), token)
 
-    nodes = F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(100)) < TWICE, F.array(child(0), child(7))).otherwise(F.array(child(0)))
+    children = [child(i) for i in range(always + 2)]
+    nodes = F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(100)) < share, F.array(*children)).otherwise(F.array(*children[:-1]))
     return wide.select("tree", F.explode(nodes).alias("node"), "rep", "n_shingles", "sketch")
 
 
@@ -244,7 +264,7 @@ def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) ->
     pivot = F.min_by(F.struct("rep", "n_shingles", "sketch"), F.struct(F.xxhash64("rep", "tree"), "rep"))
     sizes = stored(first.groupBy("node").agg(F.count(F.lit(1)).alias("n_members"), pivot.alias("pivot")).where("n_members > 1"), "root-sizes")
     members = stored(with_group_values(first, sizes, "node", "n_members", total), "members")
-    star = members.where("rep <> pivot.rep").where((F.least("n_shingles", "pivot.n_shingles") * 100 >= F.greatest("n_shingles", "pivot.n_shingles") * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= SKETCH_BITS))
+    star = members.where("rep <> pivot.rep").where((F.least("n_shingles", "pivot.n_shingles") * 100 >= F.greatest("n_shingles", "pivot.n_shingles") * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("pivot.sketch"))) <= sketch_bits(percent)))
     labels = components(confirmed(star.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")), docs, k, percent))
     pairs, crowds, depth = None, None, 0
     rows = members.select("tree", "node", "rep", "n_shingles", "sketch")
@@ -265,7 +285,7 @@ def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) ->
         large = joined.where("NOT small AND NOT crowded")
         if large.isEmpty():
             break
-        rows = branch(large, classes, depth)
+        rows = branch(large, classes, depth, percent)
     rest = confirmed(pairs, docs, k, percent)
     if not crowds.isEmpty():
         rest = rest.union(_crowd_links(crowds, docs, k, percent))

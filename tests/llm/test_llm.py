@@ -254,6 +254,27 @@ def test_near_crowds_under_one_root(spark, monkeypatch):
     assert got == want
 
 
+def test_near_bounds_follow_the_threshold():
+    for percent in (50, 80, 85, 100):
+        p, bits = (100 - percent) / 200, near_dedup.sketch_bits(percent)
+        assert sum(math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(bits + 1, 65)) < 1e-6
+        assert percent * (100 + near_dedup.twice(percent)) >= 10_000
+    assert near_dedup.sketch_bits(80) > near_dedup.sketch_bits(85) and near_dedup.twice(80) > near_dedup.twice(85)
+
+
+def test_near_sketches_at_the_threshold(spark):
+    """A pair above 0.8 that differs in 20 sketch bits is linked."""
+    rng = random.Random(22)
+    x = [f"v{rng.random()}" for _ in range(1200)]
+    sketch = embedded(x, 5)[1]
+    bits = lambda at: (at[1] ^ sketch).bit_count()
+    y = changed_until(rng, x, 5, lambda _, at: bits(at) == 20, lambda at, to: bits(to) == bits(at) + 1 and (at[0][:16] == to[0][:16]).all())
+    assert jaccard(x, y, 5) >= 0.8
+    rows = [(i, " ".join(w)) for i, w in enumerate((x, y))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == components(rows, 5, 80)
+
+
 def test_near_edges(empty, repeated):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.drop_near_copies(empty).count() == 0
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(repeated).collect() if r["doc_id"])
