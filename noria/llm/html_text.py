@@ -27,7 +27,9 @@ from .tables import clean_input
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--\s*>|.*$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|/?$|/[^a-zA-Z>][^>]*(?:>|$))""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select option button".split())
+RAW = frozenset("script style noscript template textarea iframe svg math object canvas select button".split())
+#: Of these, the ones that hold text only: without an end tag they hold the rest of the page.
+_TEXT_ONLY = frozenset("script style textarea iframe".split())
 VOID = frozenset("br img meta link hr input wbr area base col embed source track param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
 _CLOSES_P = frozenset("p div ul ol dl li h1 h2 h3 h4 h5 h6 article section nav header footer aside main table blockquote pre form figure hr address details fieldset".split())
@@ -130,7 +132,10 @@ def blocks(page: str) -> list[Block]:
             if not closing and not attributes.rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(page, at)
                 over = page.find(">", stop.start()) if stop else -1
-                at = end if not stop or over < 0 else over + 1
+                if stop:
+                    at = over + 1 if over >= 0 else end
+                elif tag in _TEXT_ONLY:
+                    at = end
             continue
         inline = tag in INLINE
         if not inline:
@@ -146,6 +151,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
+        # an option's end tag may be left out: a block ends it
+        for k in range(len(stack) - 1, 0, -1) if not inline else ():
+            if stack[k][0] == "option":
+                links -= sum(s[0] == "a" for s in stack[k:])
+                del stack[k:]
+                break
+            if stack[k][0] not in INLINE:
+                break
         if tag in _CLOSES_P or tag in ("tr", "td", "th", "dt", "dd", "option"):
             wanted = "li" if tag == "li" else "p"
             for k in range(len(stack) - 1, 0, -1):
@@ -158,7 +171,7 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         side, hidden = _side(tag, attributes, any(s[0] in _TOWARD for s in stack))
         serial += 1
-        stack.append((tag, side or top[1], top[2] or side < 0, top[3] or hidden, serial))
+        stack.append((tag, side or top[1], top[2] or side < 0, top[3] or hidden or tag == "option", serial))
         links += tag == "a"
     close()
     return out

@@ -448,6 +448,14 @@ def test_html():
     assert html_text.main_text("<article>" + "<p>word</p>" * 5000).count("\n\n") == 4999
 
 
+@pytest.mark.parametrize("before", ["<datalist id=x><option value=a><option value=b></datalist>", "<select><option>A", "<option>A<option>B", "<optgroup><option>A", "<button>", "<svg><path d='x'>", "<object data=x>", "<canvas>", "<noscript>", "<select><option>A</select>", "<option>A</option>"])
+def test_html_left_out_end_tags(before):
+    """Only elements of plain text hold the rest of the page where their end tag is missing."""
+    page = "<h1>A title</h1><p>A first sentence of the text, which is long enough.</p>"
+    assert html_text.main_text(f"<article>{before}{page}</article>") == html_text.main_text(f"{before}<article>{page}</article>") == "A title\n\nA first sentence of the text, which is long enough."
+    assert html_text.main_text(f"<article>{page}<script>{before}") == "A title\n\nA first sentence of the text, which is long enough."
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(5)
     for _ in range(60):
