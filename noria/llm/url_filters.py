@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,15 +46,52 @@ def buckets(host: Column, path: Column) -> Column:
     return F.concat(*[grams(text, mark, n) for text, mark in ((host, "h"), (path, "p")) for n in SIZES])
 
 
+#: Words of hosts to block, by family.
+JUNK = {
+    "gambling": ("casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "roulette", "lotto", "wager"),
+    "prizes": ("win", "winner", "prize", "prizes", "free", "bonus", "giveaway", "lucky"),
+    "adult": ("adult", "xxx", "porn", "sex", "cams", "escort", "nude"),
+    "spam": ("spam", "seo", "backlinks", "links", "farm", "clickbait", "traffic"),
+    "ads": ("ads", "adserver", "click", "banner", "track", "tracker", "popunder"),
+    "drugs": ("pills", "pill", "cheap", "viagra", "pharma", "meds", "discount"),
+    "piracy": ("crack", "keygen", "torrent", "warez", "serial"),
+    "loans": ("loan", "loans", "payday", "credit", "crypto", "forex"),
+}
+_GOOD = "www blog docs news wiki library museum school city garden travel history science health music weather review daily forum press journal gallery kitchen sports open river mountain house green book art data".split()
+_SYLLABLES = "ba de ka lo mi no pu ri so ta ve zu el an or in un est ol th er en ing tion ent and ble st re ha ch ma ter al ons ess the".split()
+_FRONTS = ("", "www.", "blog.", "m.")
+_PATHS = ("/", "/en/825", "/fr/25930", "/de/5099", "/es/26123/", "/en/2728.html", "/articles/history-of-science", "/wiki/Main_Page", "/2024/05/a-long-read", "/docs/guide/index.html", "/about", "/index.php?id=7")
+_JUNK_PATHS = ("/casino/free-spins", "/porn/video", "/viagra-cheap", "/adserver/click", "/crack/keygen", "/free-prizes/win", "/login/redirect", "/cart/checkout", "/cgi-bin/track.gif")
+
+
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default table: (url, 1 to allow, 0 to block), made by rule from words that hosts and paths carry."""
-    allow_host = ("www.example", "blog.example", "docs.example", "news.example", "wiki.example", "library.example", "m.therha.example", "tionsh.example")
-    allow_path = ("/en/825", "/fr/25930", "/de/5099", "/es/26123/", "/en/2728.html", "/articles/history-of-science", "/wiki/Main_Page", "/2024/05/a-long-read", "/docs/guide/index.html")
-    block_host = ("casino-bonus.example", "ads.tracker.example", "xxx-cams.example", "cheap-pills.example", "click.adserver.example", "win-free-prizes.example", "torrent-crack.example")
-    block_path = ("/casino/free-spins", "/porn/video", "/viagra-cheap", "/adserver/click", "/crack/keygen", "/free-prizes/win", "/login/redirect", "/cart/checkout", "/cgi-bin/track.gif")
-    tops = (".com", ".org", ".net")
-    rows = [(f"https://{h}{t}{p}", 1) for h in allow_host for t in tops for p in allow_path]
-    return rows + [(f"https://{h}{t}{p}", 0) for h in block_host for t in tops for p in block_path]
+    """The default table: (url, 1 to allow, 0 to block), made by rule from words that hosts and paths carry.
+
+    Hosts to block are pairs of words of a family, mostly with the same ordinary paths as the others, so that the
+    host has to tell. The hosts are of no given table.
+    """
+    tops, rows = (".com", ".org", ".net"), []
+    for words in JUNK.values():
+        for i, a in enumerate(words):
+            for n, step in enumerate((1, 2, 3)):
+                b = words[(i + step) % len(words)]
+                host = (f"{a}-{b}", f"{a}{b}", f"{a}-{b}")[n] + (".example" if n else "") + tops[(i + n) % 3]
+                host = _FRONTS[(i + n) % len(_FRONTS)] + host
+                rows += [(f"https://{host}{_PATHS[(i * 3 + n * 4 + m) % len(_PATHS)]}", 0) for m in range(4)]
+                rows.append((f"https://{host}{_JUNK_PATHS[(i + n) % len(_JUNK_PATHS)]}", 0))
+    for i, a in enumerate(_GOOD):
+        for n, step in enumerate((1, 5, 11)):
+            b = _GOOD[(i + step) % len(_GOOD)]
+            host = (f"{a}-{b}", f"{a}{b}", f"{a}.{b}")[n] + (".example" if n else "") + tops[(i + n) % 3]
+            host = _FRONTS[(i + n) % len(_FRONTS)] + host
+            rows += [(f"https://{host}{_PATHS[(i + n * 5 + m) % len(_PATHS)]}", 1) for m in range(4)]
+    # names without a known word are no reason to block
+    for i in range(400):
+        name = "".join(_SYLLABLES[(i * k + i // m) % len(_SYLLABLES)] for k, m in ((1, 1), (7, 3), (11, 5))[: 2 + i % 2])
+        host = _FRONTS[i % len(_FRONTS)] + name + (".example" if i % 3 else "") + tops[i % 7 % 3]
+        rows.append((f"https://{host}{_PATHS[i * 5 % len(_PATHS)]}", 1))
+    # mixed, as descent takes the rows in turn
+    return sorted(rows, key=lambda r: zlib.crc32(r[0].encode()))
 
 
 def train(spark: SparkSession, examples: Sequence[tuple[str, int]] | None = None, rounds: int = 60, rate: float = 4.0, decay: float = 1e-4) -> tuple[float, list[float]]:

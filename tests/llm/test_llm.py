@@ -496,6 +496,27 @@ def test_urls_held_out(spark):
     assert right >= 0.95 * cut
 
 
+def test_urls_held_out_hosts(spark):
+    """Trained without every fifth host, the model judges all their URLs; junk with ordinary paths, too. No host is of the given pages."""
+    rows = url_filters.labelled_urls()
+    host_of = lambda u: u.split("/")[2]
+    names = sorted({host_of(u) for u, _ in rows})
+    random.Random(3).shuffle(names)
+    out = set(names[: len(names) // 5])
+    model = url_filters.train(spark, [r for r in rows if host_of(r[0]) not in out])
+    host, path = url_filters.host_and_path(F.col("url"))
+    test = [(u, y) for u, y in rows if host_of(u) in out] + [(f"https://{h}/en/{i}.html", y) for i, (h, y) in enumerate(sorted({(host_of(u), y) for u, y in rows if host_of(u) in out}))]
+    got = spark.createDataFrame(test, "url string, y int").select("y", (url_filters.score(host, path, model) >= 0).cast("int").alias("got")).collect()
+    for y in (0, 1):
+        right = [r["got"] == y for r in got if r["y"] == y]
+        assert len(right) > 30 and sum(right) >= 0.9 * len(right)
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(host.alias("host")).distinct().collect()
+    assert not any(r["host"] and (r["host"] in n or n in r["host"]) for r in given for n in names)
+    junk = [f"https://{h}{p}" for h in ("poker-bonus.site.org", "www.win-jackpot.net", "xxx-escort.site.com", "spam-links.com", "buy-viagra.org", "banner-tracker.net") for p in ("/en/825", "/de/1.html")]
+    allowed = spark.createDataFrame([(u,) for u in junk], "url string").where(url_filters.score(host, path, url_filters.train(spark)) >= 0).count()
+    assert allowed == 0
+
+
 # pieces
 
 
