@@ -1,10 +1,12 @@
-"""Whole-column encoding with the ``tokenizers`` library, each distinct piece of text once.
-
-Both kinds of tokenizer used here never join bytes across a single space: byte-level BPE starts a
-new pre-token at a space between two other characters, and the word BPE drops white space. So a
-text's ids are the ids of its pieces between spaces, joined. Pieces repeat (a third of running text
-is a few hundred words), and are encoded once per batch or, while the memo has room, once per
-worker. Texts in which a space touches other white space are encoded whole where that matters.
+"""Whole-column encoding with the ``tokenizers`` library, each distinct atom of text once.
+
+A text is cut into atoms whose ids, joined, are the text's ids. Cuts are made where both kinds of
+tokenizer used here (byte-level BPE, which starts a pre-token at a space, and word BPE, which drops
+white space) start a new pre-token whatever surrounds the place: at a single space or newline between two
+visible characters, and, in runs of ASCII and Latin-1 text, where letters, digits and signs meet. What
+lies between two such places and holds anything else (apostrophes, other scripts, several spaces, what may
+start a special token) is one atom. Atoms repeat, so a batch's are dictionary-encoded, and each is
+encoded once per batch or, while the memo has room, once per worker.
 """
 
 from __future__ import annotations
@@ -17,15 +19,95 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces and atoms that a worker remembers.
-MEMO = 400_000
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SAFE = re.compile(rf" ?[!-&(-~{_LETTERS}]+")  # one optional space, no apostrophe, letters of Latin-1 at most
-_ATOMS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
-_WORD = re.compile(rf" ?[{_LETTERS}]+")
-#: A space next to another white space character (a superset of what the libraries take for one).
-_RUNS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+from .workers import Memo, give_back
+
+#: Bytes of atoms that a worker remembers.
+MEMO_BYTES = 32 << 20
+#: Bytes of text for one call of the library, whose results take many times as much.
+CALL_BYTES = 1 << 16
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 _JOINED = 200
+#: Classes of bytes. A chunk of letters, digits and signs only is cut where they meet; others are whole.
+_UNKNOWN, _LETTER, _DIGIT, _SIGN, _BLANK, _LINE, _WHOLE = range(7)
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _LETTER
+_CLASS[list(b"0123456789")] = _DIGIT
+_CLASS[0x20], _CLASS[0x0A], _CLASS[ord("'")] = _BLANK, _LINE, _WHOLE
+#: Second bytes, after 0xC3, of the letters of Latin-1.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+#: Lead bytes of characters that are neither white space nor combining Latin marks, by length.
+_LEADS = {2: [*range(0xC4, 0xCC), *range(0xCE, 0xE0)], 3: [0xE0, *range(0xE4, 0xF0)], 4: [*range(0xF0, 0xF5)]}
+_LEAD = np.zeros(256, np.uint8)
+for _n, _leads in _LEADS.items():
+    _LEAD[_leads] = _n
+_VISIBLE = np.array([c in (_LETTER, _DIGIT, _SIGN, _WHOLE) for c in range(7)])
+_PLAIN = np.array([c in (_LETTER, _DIGIT, _SIGN) for c in range(7)])
+
+
+def _kinds(data: np.ndarray, whole: bytes) -> np.ndarray:
+    """The class of each byte."""
+    kind, n = _CLASS[data], len(data)
+    if whole:
+        kind[np.isin(data, np.frombuffer(whole, np.uint8))] = _WHOLE
+    latin = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+    kind[latin], kind[latin + 1] = _LETTER, _LETTER
+    lead = _LEAD[data]
+    for size in _LEADS:
+        at = np.flatnonzero(lead == size)
+        for k in range(size):
+            kind[np.minimum(at + k, n - 1)] = _WHOLE
+    return kind
+
+
+def _gaps(kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of single spaces and newlines between visible characters of one text."""
+    edge = np.zeros(len(kind) + 1, bool)
+    edge[offsets] = True
+    edge[-1] = True
+    gap = np.flatnonzero((kind == _BLANK) | (kind == _LINE))
+    gap = gap[~edge[gap] & ~edge[gap + 1]]
+    return gap[_VISIBLE[kind[gap - 1]] & _VISIBLE[kind[gap + 1]]]
+
+
+def gaps(data: np.ndarray, offsets: np.ndarray, whole: bytes = b"") -> np.ndarray:
+    """Places in texts in UTF-8, joined, before which a token ends whatever stands further off."""
+    return _gaps(_kinds(data, whole), offsets) if len(data) else np.zeros(0, np.int64)
+
+
+def atoms(data: np.ndarray, offsets: np.ndarray, whole: bytes = b"") -> np.ndarray:
+    """Starts of the atoms of texts in UTF-8, joined; offsets: where texts start and end. whole: bytes whose chunks aren't cut."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _kinds(data, whole)
+    gap = _gaps(kind, offsets)
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    cut[gap] = True
+    cut[gap[kind[gap] == _LINE] + 1] = True
+    plain = _PLAIN[kind]
+    plain[gap] = True
+    chunk = np.cumsum(cut[:n], dtype=np.int32) - 1
+    mixed = np.zeros(int(chunk[-1]) + 1, bool)
+    mixed[chunk[~plain]] = True
+    meet = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    meet = meet[(kind[meet - 1] != _BLANK) & ~mixed[chunk[meet]]]
+    cut[meet] = True
+    return np.flatnonzero(cut[:n])
+
+
+def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, offsets by text); null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and buffer.size else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
 
 
 class PieceEncoder:
@@ -39,26 +121,31 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         ends = self.tokenizer.model.end_of_word_suffix
-        #: byte-level BPE keeps the space before a word; word BPE marks a word's end
+        #: byte-level BPE marks a word's start, by its space; word BPE marks a word's end
         self.spaced = not ends
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("Ġ") if self.spaced else token.endswith(ends)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.atoms: dict[str, bytes] = {}
-        self.slots: dict[str, int] = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(set(t) & set(" \n") for t in special):
+            raise ValueError("a special token with a space in it may cross atoms")
+        self.whole = bytes({t.encode()[0] for t in special if t})
+        self.slots = Memo(MEMO_BYTES)
         self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), bytearray()
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for some in _calls(texts):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """As _encode_each, for single words of letters: many in one text, cut at the tokens that begin or end a word."""
+        """As _encode_each, for single words after a space: many in one text, cut at the tokens that begin or end a word."""
         joined = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
         out: list[bytes] = []
-        for part, e in zip(joined, self.tokenizer.encode_batch_fast([("" if self.spaced else " ").join(p) for p in joined], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
+        for part in joined:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self.edge[ids])
             cuts = np.append(at, len(ids)) if self.spaced else np.concatenate([[0], at + 1])
             if len(cuts) != len(part) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
@@ -69,102 +156,80 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
-    def _atoms_of(self, piece: str) -> list[str]:
-        """Parts whose ids, joined, are the ids of the piece."""
-        if piece.isascii() and (piece[1:] if self.spaced and piece[:1] == " " else piece).isalpha():
-            return [piece if self.spaced else piece.lower()]
-        if "<" in piece and any(x in piece for x in self.special):
-            return [piece]
-        if not self.spaced:
-            parts = piece.split("\n")
-            return [a for p in parts if p for a in (_ATOMS.findall(p.lower()) if _SAFE.fullmatch(p) and p[0] != " " else [p])]
-        lines = piece.split("\n")
-        if len(lines) <= 2 and all(_SAFE.fullmatch(x) for x in lines) and not (len(lines) == 2 and (lines[1][0] == " " or lines[0] == " ")):
-            out = _ATOMS.findall(lines[0])
-            return out if len(lines) == 1 else [*out, "\n", *_ATOMS.findall(lines[1])]
-        return [piece] if piece else []
-
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        parts = [self._atoms_of(p) for p in pieces]
-        new = list({a: None for part in parts for a in part if a not in self.atoms})
-        full = len(self.atoms) >= MEMO
-        known = {a: self.atoms[a] for part in parts for a in part if a in self.atoms} if full else self.atoms
-        words = [a for a in new if _WORD.fullmatch(a) and (a[0] == " ") == self.spaced]
-        rest = [a for a in new if not (_WORD.fullmatch(a) and (a[0] == " ") == self.spaced)]
-        known.update(zip(words, self._encode_words(words), strict=True))
-        known.update(zip(rest, self._encode_each(rest), strict=True))
-        return [b"".join([known[a] for a in part]) for part in parts]
-
-    def _slots_of(self, pieces: list[str]) -> np.ndarray:
-        """Where the ids of each distinct piece lie."""
-        out = np.fromiter((self.slots.get(p, -1) for p in pieces), np.int64, len(pieces))
+    def _slots_of(self, distinct: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Where the ids of each distinct atom lie, and the atoms that are new."""
+        find = self.slots.known.get
+        out = np.fromiter((find(p, -1) for p in distinct), np.int64, len(distinct))
         missing = np.flatnonzero(out < 0)
-        if len(missing):
-            texts = [pieces[i] for i in missing.tolist()]
-            encoded = self._learn(texts)
-            n, w = self.used, self.dtype.itemsize
-            while n + len(texts) > len(self.start):
-                self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-            size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // w
-            self.start[n : n + len(texts)] = len(self.ids) // w + np.cumsum(size) - size
-            self.size[n : n + len(texts)] = size
-            self.ids += b"".join(encoded)
-            out[missing] = np.arange(n, n + len(texts))
-            self.used += len(texts)
-            self.fresh += texts
-        return out
+        if not len(missing):
+            return out, []
+        new = [distinct[i] for i in missing.tolist()]
+        texts = [p.decode() for p in new]
+        word = np.fromiter((_WORD.fullmatch(t) is not None for t in texts), bool, len(texts))
+        encoded: list[bytes] = [b""] * len(texts)
+        for encode, which in ((self._encode_words, np.flatnonzero(word).tolist()), (self._encode_each, np.flatnonzero(~word).tolist())):
+            for i, ids in zip(which, encode([texts[i] for i in which]), strict=True):
+                encoded[i] = ids
+        n, w = len(self.slots.known), self.dtype.itemsize
+        while n + len(new) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // w
+        self.start[n : n + len(new)] = len(self.ids) // w + np.cumsum(size) - size
+        self.size[n : n + len(new)] = size
+        self.ids += b"".join(encoded)
+        out[missing] = np.arange(n, n + len(new))
+        return out, new
+
+    def _sought(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(starts of atoms, the slot of each, atoms that are new)."""
+        first = atoms(data, offsets, self.whole)
+        raw = pa.py_buffer(np.ascontiguousarray(data))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(data))), raw]).dictionary_encode()
+        found, new = self._slots_of(coded.dictionary.to_pylist())
+        return first, found[np.asarray(coded.indices)], new
+
+    def _remember(self, new: list[bytes]) -> None:
+        """Keep the new atoms that the memo has room for; the others were known to this batch only."""
+        room = len(self.slots.known)
+        for atom in new:
+            if not self.slots.add(atom, room):
+                del self.ids[int(self.start[room]) * self.dtype.itemsize :]
+                return
+            room += 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text); null is empty."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        n = len(texts)
-        whole = np.zeros(n, bool)
-        if self.spaced and n:
-            whole = np.asarray(pc.match_substring_regex(texts, _RUNS))
-        apart: list[str] = []
-        if whole.any():
-            apart = texts.filter(pa.array(whole)).to_pylist()
-            texts = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts)
-        split = pc.split_pattern(texts, " ")
-        first = np.asarray(split.offsets)
-        flat = split.flatten()
-        kept = len(self.slots)
-        self.used, self.fresh = kept, []
-        slot = np.zeros(len(flat), np.int64)
-        heads = np.unique(first[:-1][first[:-1] < first[1:]])
-        if self.spaced:
-            tails = np.ones(len(flat), bool)
-            tails[heads] = False
-            self._fill(slot, heads, flat.take(pa.array(heads)), "")
-            at = np.flatnonzero(tails)
-            self._fill(slot, at, flat.filter(pa.array(tails)), " ")
-        else:
-            self._fill(slot, np.arange(len(flat)), flat, "")
-        size, start = self.size[slot], self.start[slot]
+        data, offsets = joined(texts)
+        first, slot, new = self._sought(data, offsets)
+        size = self.size[slot]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = np.frombuffer(bytes(self.ids), self.dtype)[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
-        offsets = upto[first]
-        room = min(self.used, max(kept, MEMO))
-        self.slots.update(zip(self.fresh, range(kept, room), strict=False))
-        if room < self.used:  # the rest is known to this batch only
-            del self.ids[(self.start[room]) * self.dtype.itemsize :]
-        if whole.any():
-            ids, offsets = self._with_whole(ids, offsets, whole, apart)
-        return ids, offsets
-
-    def _fill(self, slot: np.ndarray, at: np.ndarray, flat: pa.Array, prefix: str) -> None:
-        if len(flat):
-            coded = flat.dictionary_encode()
-            slot[at] = self._slots_of([prefix + p for p in coded.dictionary.to_pylist()] if prefix else coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-
-    def _with_whole(self, ids: np.ndarray, offsets: np.ndarray, whole: np.ndarray, apart: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Put the ids of the texts that were encoded whole in their places."""
-        encoded = iter(self._encode_each(apart))
-        parts = [np.frombuffer(next(encoded), self.dtype) if w else ids[a:b] for w, a, b in zip(whole, offsets[:-1], offsets[1:], strict=True)]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-
-
-def by_size(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bytes(self.ids), self.dtype)
+        ids = known[np.repeat(self.start[slot] - upto[:-1], size) + np.arange(upto[-1])]
+        self._remember(new)
+        return ids, upto[np.searchsorted(first, offsets)]
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts of the atoms of texts in UTF-8, joined; the number of ids of each)."""
+        first, slot, new = self._sought(data, offsets)
+        size = self.size[slot]
+        self._remember(new)
+        return first, size
+
+
+def _calls(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about CALL_BYTES characters."""
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t)
+        if held >= CALL_BYTES:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+def by_size(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes of text; one longer text is alone."""
     length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     upto, at = np.concatenate([[0], np.cumsum(length)]), 0
@@ -178,7 +243,9 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder for a tokenizer file."""
+    """This worker's encoder for a tokenizer file; a worker holds one."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
+        give_back()
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]

@@ -91,7 +91,6 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after an edit: five characters in the middle give way to two words."""
-    path = tokenizer_path("byte_bpe_50k.json")
-    middle = F.floor(F.length("text") / 2)
-    edited = token_counts.edit_where(token_counts.build(_table(spark, sf_dir, "documents"), path), path, middle, middle + 5, F.lit(" edited words "))
-    return edited.select("doc_id", "n_before", "n_tokens", "n_encoded_chars")
+    docs = _table(spark, sf_dir, "documents")
+    middle = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)
+    return token_counts.count_edited(docs, tokenizer_path("byte_bpe_50k.json"), middle, middle + 5, F.lit(" edited words "))
