@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noria.storage import stored
+
+#: Bits of a row's place within its partition, as ``monotonically_increasing_id`` has them.
+_PLACE_BITS = 33
+
 
 def running_number(df: DataFrame, order: list[str | Column], name: str, weight: Column | None = None) -> DataFrame:
     """Number of rows (or sum of weight) before each row in the given total order.
 
-    A global window would sort everything in one task. Here rows are range-partitioned by the order,
-    each partition counts for itself, and only one row per partition meets in the sum of offsets.
+    A global window would sort everything in one task. Here rows are range-partitioned by the order and
+    sorted within partitions; each row's partition and place there are written with it, once, so that all that
+    follows reads the same partitions. Then only one row per partition meets in the sum of offsets. Rows that tie are
+    numbered in any order, each differently. Null weights count as 0; an empty table stays empty.
     """
-    weight = F.lit(1).cast("long") if weight is None else weight
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    parts = df.withColumn("_w", weight).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = parts.withColumn("_upto", F.sum("_w").over(own))
-    totals = parts.groupBy("_part").agg(F.sum("_w").alias("_size"))
-    offsets = totals.select(F.col("_part").alias("_p"), (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_base"))
-    return counted.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.col("_upto") - F.col("_w")).drop("_w", "_part", "_upto", "_p", "_base")
+    rows = df if weight is None else df.withColumn("_w", F.coalesce(weight, F.lit(0)))
+    rows = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_part", F.shiftright("_at", _PLACE_BITS))
+    size = F.count(F.lit(1)) if weight is None else F.sum("_w")
+    totals = rows.groupBy("_part").agg(size.alias("_size"))
+    offsets = totals.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_base"))
+    if weight is None:
+        within = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    else:
+        before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+        within = F.col("_before")
+    out = rows.join(offsets, "_part").withColumn(name, F.col("_base") + within)
+    return out.drop("_w", "_at", "_part", "_before", "_base")
