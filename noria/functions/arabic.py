@@ -44,8 +44,12 @@ def _composer(form: str) -> Callable[[Column], Column]:
 
 
 def composed(text: Column, form: str = "NFKC") -> Column:
-    """Unicode normal form; Spark has no built-in for it, so an Arrow-batched UDF does it."""
-    return _composer(form)(text)
+    """Unicode normal form. Spark has no built-in for it, so an Arrow-batched UDF does it, for the texts that can change only.
+
+    ASCII, the letters and single marks are in normal form; two marks in a row may be put in order.
+    """
+    may_change = text.rlike(f"[^\\x00-\\x7F{_L}{A.DIACRITICS}]|[{A.DIACRITICS}]{{2}}")
+    return F.when(may_change, _composer(form)(F.when(may_change, text))).otherwise(text)
 
 
 def unify(text: Column) -> Column:
@@ -114,8 +118,11 @@ def restore_in_text(text: Column, lexicon: Column) -> Column:
     """The last ه of words whose bare form is in the lexicon (array of strings) becomes ة; marks stay."""
     word = f"[{_L}{quoted(_M)}]+"
     parts = F.regexp_extract_all(text, F.lit(f"{word}|[^{_L}{quoted(_M)}]+"), F.lit(0))
-    fixed = F.transform(parts, lambda s: F.when(F.array_contains(lexicon, strip_marks(s)), F.regexp_replace(s, f"{A.HA}([^{A.HA}]*)$", A.TA_MARBUTA + "$1")).otherwise(s))
-    return F.array_join(fixed, "")
+
+    def fixed(known: Column) -> Column:
+        return F.transform(parts, lambda s: F.when(s.contains(A.HA) & F.array_contains(known, strip_marks(s)), F.regexp_replace(s, f"{A.HA}([^{A.HA}]*)$", A.TA_MARBUTA + "$1")).otherwise(s))
+
+    return F.array_join(let(lexicon, fixed), "")
 
 
 def clean_diacritized(text: Column, form: str | None = "NFC") -> Column:
@@ -140,10 +147,13 @@ def is_candidate(word: Column) -> Column:
 
 def vote(word: Column) -> Column:
     """+1 for a fatha, -1 for a damma on the letter before a final ه, else 0."""
-    found = F.filter(clusters(word), lambda c: F.substring(c, 1, 1).rlike(f"[{_L}]"))
-    vowel = F.substring(canonical_marks(F.element_at(found, -2)), -1, 1)
-    ready = (F.size(found) >= 2) & (F.substring(F.element_at(found, -1), 1, 1) == A.HA)
-    return F.when(F.size(found) < 2, 0).when(ready & (vowel == A.FATHA), 1).when(ready & (vowel == A.DAMMA), -1).otherwise(0)
+
+    def by_vowel(found: Column) -> Column:
+        vowel = F.substring(canonical_marks(F.element_at(found, -2)), -1, 1)
+        ready = F.substring(F.element_at(found, -1), 1, 1) == A.HA
+        return F.when(F.size(found) < 2, 0).when(~ready, 0).otherwise(let(vowel, lambda v: F.when(v == A.FATHA, 1).when(v == A.DAMMA, -1).otherwise(0)))
+
+    return let(F.filter(clusters(word), lambda c: F.substring(c, 1, 1).rlike(f"[{_L}]")), by_vowel)
 
 
 def restore_tokens(text: Column, lexicon: Column) -> Column:

@@ -25,3 +25,16 @@ def model_column(load: Callable[[], Callable[[list], list]], result: DataType |
 def by_length(df: DataFrame, length: Column, partitions: int) -> DataFrame:
     """Rows of similar length together, so that model batches carry little padding."""
     return df.withColumn("_length", length).repartitionByRange(partitions, "_length").sortWithinPartitions("_length").drop("_length")
+
+
+def through_model(df: DataFrame, key: str, chunks: Column, model: Callable[[Column], Column], joiner: str = " ") -> DataFrame:
+    """key and text: each row's chunks go through the model one by one and are joined again in order.
+
+    Chunks are rows of their own, so that a long text's are spread out. A row without chunks gives an empty text, one of
+    whose chunks the model gives nothing for gives null.
+    """
+    rows = df.select(key, chunks.alias("_c"))
+    parts = rows.select(key, F.posexplode("_c").alias("_at", "_chunk")).withColumn("_out", model(F.col("_chunk")))
+    done = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_out"))).alias("_o"))
+    whole = F.when(F.exists("_o", lambda r: r["_out"].isNull()), F.lit(None)).otherwise(F.array_join(F.col("_o._out"), joiner))
+    return rows.select(key).join(done, key, "left").select(key, F.when(F.col("_o").isNull(), "").otherwise(whole).alias("text"))

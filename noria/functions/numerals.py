@@ -148,5 +148,6 @@ def _expand(text: pd.Series) -> pd.Series:
 
 
 def expand(text: Column) -> Column:
-    """All numbers, dates, times, shares and amounts as words. Texts without a digit stay as they are."""
-    return _expand(text)
+    """All numbers, dates, times, shares and amounts as words. Texts without a digit stay as they are, and don't leave the JVM."""
+    digits = text.rlike("(?U)\\d")
+    return F.when(digits, _expand(F.when(digits, text))).otherwise(text)

@@ -28,11 +28,15 @@ def valid_diacritics(docs: DataFrame) -> DataFrame:
 
 
 def tally(pairs: DataFrame) -> DataFrame:
-    """word, votes_ta, votes_ha, abstain from (text, diac); texts whose word counts differ don't vote."""
+    """word, votes_ta, votes_ha, abstain from (text, diac); texts whose word counts differ don't vote.
+
+    Pairs of word and marked word are counted first; each distinct pair is tested and read once.
+    """
     words = pairs.select(F.split("text", " ").alias("w"), F.split("diac", " ").alias("d")).where(F.size("w") == F.size("d"))
-    words = words.select(F.inline(F.arrays_zip("w", "d"))).where(ar.is_candidate(F.col("w")) & (ar.strip_marks(F.col("d")) == F.col("w")))
-    v = words.select(F.col("w").alias("word"), ar.vote(F.col("d")).alias("v"))
-    return v.groupBy("word").agg(F.count_if(F.col("v") > 0).alias("votes_ta"), F.count_if(F.col("v") < 0).alias("votes_ha"), F.count_if(F.col("v") == 0).alias("abstain"))
+    words = words.select(F.inline(F.arrays_zip("w", "d"))).where(F.col("w").endswith(A.HA)).groupBy("w", "d").agg(F.count(F.lit(1)).alias("n"))
+    voted = words.where(ar.is_candidate(F.col("w")) & (ar.strip_marks(F.col("d")) == F.col("w"))).select(F.col("w").alias("word"), "n", ar.vote(F.col("d")).alias("v"))
+    each = {name: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name) for name, test in (("votes_ta", F.col("v") > 0), ("votes_ha", F.col("v") < 0), ("abstain", F.col("v") == 0))}
+    return voted.groupBy("word").agg(*each.values())
 
 
 def lexicon(tallied: DataFrame, min_ratio: float = 0.6) -> DataFrame:
@@ -53,3 +57,21 @@ def report(tallied: DataFrame, freq: DataFrame, min_ratio: float = 0.6) -> DataF
     """Each voted word with its frequency, votes and whether it is restored."""
     restored = (F.col("votes_ta") > 0) & (F.col("votes_ta") / F.greatest(F.col("votes_ta") + F.col("votes_ha"), F.lit(1)) >= min_ratio)
     return tallied.join(freq, "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq"), "votes_ta", "votes_ha", "abstain", restored.alias("restored"))
+
+
+def ranked(reported: DataFrame, restored: bool, n: int = 60) -> DataFrame:
+    """The n most frequent words of a report that are restored, or aren't."""
+    return reported.where(F.col("restored") == restored).orderBy(F.desc("freq"), "word").limit(n).select("word", "freq")
+
+
+def all_keys(*tables: DataFrame) -> DataFrame:
+    """The distinct words of several tables."""
+    out = tables[0].select("word")
+    for t in tables[1:]:
+        out = out.union(t.select("word"))
+    return out.distinct()
+
+
+def in_order(words: DataFrame) -> DataFrame:
+    """Words by code point."""
+    return words.orderBy("word")

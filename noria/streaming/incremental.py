@@ -28,3 +28,16 @@ def manifest_stream(spark: SparkSession, source: str, target: str, checkpoint: s
 def running_votes(votes: DataFrame) -> DataFrame:
     """Tallies of a stream of (word, v), for update mode."""
     return votes.groupBy("word").agg(F.count_if(F.col("v") > 0).alias("votes_ta"), F.count_if(F.col("v") < 0).alias("votes_ha"), F.count_if(F.col("v") == 0).alias("abstain"))
+
+
+def stop_on_file(query: StreamingQuery, flag: str, every: float = 1.0) -> bool:
+    """Wait for a stream; stop it once the file ``flag`` is there. Whether it was stopped so; a new start resumes from its checkpoint."""
+    spark = SparkSession.getActiveSession()
+    there = spark._jvm.org.apache.hadoop.fs.Path(flag)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    while query.isActive:
+        if fs.exists(there):
+            query.stop()
+            return True
+        query.awaitTermination(every)
+    return False
