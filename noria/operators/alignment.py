@@ -52,10 +52,51 @@ def aligned(emissions: Column, tokens: Column) -> Column:
     return run(emissions, tokens)
 
 
+def spoken_tokens(words: Column, table: dict[str, int], delimiter: int) -> Column:
+    """token and word of each character of an array of words that the table knows; others are skipped. Words are parted by the delimiter, of word -1."""
+    known = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+
+    def one(word: Column, i: Column) -> Column:
+        ids = F.filter(F.transform(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), lambda c: F.try_element_at(known, c)), lambda t: t.isNotNull())
+        own = F.transform(ids, lambda t: F.struct(t.alias("token"), i.cast("int").alias("word")))
+        gap = F.array(F.struct(F.lit(delimiter).alias("token"), F.lit(-1).alias("word")))
+        return F.when(i > 0, F.concat(gap, own)).otherwise(own)
+
+    return F.flatten(F.transform(words, one))
+
+
+def token_frames(rows: DataFrame) -> DataFrame:
+    """id, word_idx, frame and score of each aligned token, by position, from path (array of token frame and score) and owners (its tokens' words)."""
+    zipped = rows.where("path IS NOT NULL").select("id", F.inline(F.arrays_zip(F.col("path.token").alias("frame"), F.col("owners").alias("word_idx"), F.col("path.score").alias("score"))))
+    return zipped.select("id", "word_idx", "frame", "score")
+
+
+def words_with_spans(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, word_idx, word) with start and end; null for a word of which no token was aligned."""
+    return words.join(spans, ["id", "word_idx"], "left")
+
+
+def job_counters(rows: DataFrame) -> DataFrame:
+    """One row: aligned, failed, unreadable and diac_mismatch, from emissions, path and diac_ok."""
+    read = F.col("emissions").isNotNull()
+    return rows.agg(
+        F.count_if(F.col("path").isNotNull()).alias("aligned"),
+        F.count_if(read & F.col("path").isNull()).alias("failed"),
+        F.count_if(~read).alias("unreadable"),
+        F.count_if(F.col("path").isNotNull() & ~F.coalesce("diac_ok", F.lit(True))).alias("diac_mismatch"),
+    )
+
+
+def extended_edges(start: Column, end: Column, first: Column, last: Column, hop: float, duration: Column) -> tuple[Column, Column]:
+    """(start, end) of an utterance's speech moved out to silent frames ``first`` and ``last``, within the audio; null stays null."""
+    begin = F.when(start.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(start, first * hop)), 3))
+    return begin, F.when(end.isNotNull(), F.round(F.least(duration, F.greatest(end, last * hop)), 3))
+
+
 def word_spans(frames: DataFrame, seconds_per_frame: Column) -> DataFrame:
     """start and end in seconds of each word from (id, word_idx, frame); delimiters (word_idx < 0) don't count."""
     spoken = frames.where("word_idx >= 0").withColumn("_s", seconds_per_frame)
-    return spoken.groupBy("id", "word_idx").agg(F.round(F.min("frame") * F.first("_s"), 3).alias("start"), F.round((F.max("frame") + 1) * F.first("_s"), 3).alias("end"))
+    return spoken.groupBy("id", "word_idx").agg(F.round(F.min(F.col("frame") * F.col("_s")), 3).alias("start"), F.round(F.max((F.col("frame") + 1) * F.col("_s")), 3).alias("end"))
 
 
 def countdown(logits: Column, threshold: float, extra: int) -> Column:

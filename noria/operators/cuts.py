@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME_RATE, MIN_CUT = 12.5, 1.0
@@ -73,4 +73,32 @@ def pause_marks(words: DataFrame, comma: float = 0.22, period: float = 0.55) ->
     last = F.max("pos").over(own)
     marked = words.withColumn("_pause", pause).withColumn("_last", last).withColumn("_timed", F.max("end").over(own)).where("_timed IS NOT NULL")
     mark = F.when(F.col("pos") == F.col("_last"), ".").when(F.col("_pause") >= period, ".").when(F.col("_pause") >= comma, ",").otherwise("")
-    return marked.withColumn("word", F.concat("word", mark)).drop("_pause", "_last", "_timed")
+    twins = {c: F.concat(c, mark) for c in ("word", "diac") if c in words.columns}
+    return marked.withColumns(twins).drop("_pause", "_last", "_timed")
+
+
+def word_structs(words: DataFrame) -> DataFrame:
+    """id and words, an array of structs word, start, end in order."""
+    return words.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "start", "end"))).alias("words"))
+
+
+def projected(words: Column, *fields: str) -> Column:
+    """Only these fields of an array of structs."""
+    return F.transform(words, lambda w: F.struct(*[w[f].alias(f) for f in fields]))
+
+
+def worst(rated: DataFrame, n: int, score: str = "ctc_score", key: str = "id") -> DataFrame:
+    """The n rows of least score."""
+    return rated.orderBy(score, key).limit(n)
+
+
+def quantile_line(rated: DataFrame, share: float, score: str = "ctc_score") -> DataFrame:
+    """One row: the exact quantile of the score."""
+    return rated.agg(F.percentile(score, F.lit(share)).alias("line"))
+
+
+def first_audio(index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """id and audio of the first row of the index in order of offset; an error if the manifest lacks it."""
+    first = index.orderBy("offset").limit(1).select("id")
+    found = first.join(manifest.select("id", "audio"), "id", "left")
+    return found.withColumn("audio", F.coalesce("audio", F.raise_error(F.concat(F.lit("no audio for "), F.col("id").cast("string")))))

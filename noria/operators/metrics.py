@@ -59,6 +59,19 @@ def learning_rates(spark, steps: int, peak: float, warmup: int, floor: float, co
     return spark.range(steps).select(s.alias("step"), F.when(s < warmup, peak * (s + 1) / warmup).otherwise(down if cosine else F.lit(peak)).alias("lr"))
 
 
+def real_time(df: DataFrame, keys: list[str], audio: str, wall: str, ready: str, began: str) -> DataFrame:
+    """Per group: seconds of audio over seconds taken, and the latency of the first chunk."""
+    factor = F.sum(audio) / F.greatest(F.sum(wall), F.lit(1e-9))
+    return df.groupBy(*keys).agg(factor.alias("factor"), (F.min(ready) - F.min(began)).alias("latency"))
+
+
+def rates(df: DataFrame, keys: list[str], seconds: str, steps: str, audio: str) -> DataFrame:
+    """Steps and seconds of audio a second between log points; nothing for a group's first point. steps: a running count; audio: since the last point."""
+    w = Window.partitionBy(*keys).orderBy(steps)
+    took = F.greatest(F.col(seconds) - F.lag(seconds).over(w), F.when(F.lag(seconds).over(w).isNotNull(), F.lit(1e-6)))
+    return df.withColumn("_took", F.when(F.lag(seconds).over(w).isNotNull(), took)).withColumn("steps_per_second", (F.col(steps) - F.lag(steps).over(w)) / F.col("_took")).withColumn("audio_per_second", F.col(audio) / F.col("_took")).drop("_took")
+
+
 def rebuffer(chunks: Column, first: float, later: float) -> Column:
     """Sizes emitted when chunk sizes come in: at ``first`` for the first time, then at ``later``; the rest at the end."""
     state = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("held"))

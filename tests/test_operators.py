@@ -12,7 +12,10 @@ from noria.functions import arabic as ar
 from noria.functions import models
 from noria.functions import vectors as ve
 from noria.operators import alignment, cuts, manifest, metrics, ordering, samples, signal
-from noria.sources import files, wav
+from noria import storage
+from noria.operators import latents, weights
+from noria.operators import votes as vo
+from noria.sources import config, files, sinks, wav
 from noria.streaming import incremental
 
 
@@ -23,6 +26,25 @@ def test_running_number(spark):
     assert ordering.running_number(spark.createDataFrame([], "a int"), ["a"], "n").count() == 0
 
 
+def test_running_number_of_many_partitions(spark):
+    """Dense, in order and complete with a weight and a column that nothing uses, all columns written."""
+    n = 1_000_000
+    df = spark.range(0, n, 1, 8).select(F.xxhash64("id").alias("k"), "id", (F.col("id") % 5).alias("w"), F.repeat(F.lit("x"), 30).alias("unused"))
+    for weight, name in ((None, "n"), (F.col("w"), "s")):
+        out = storage.stored(ordering.running_number(df, ["k"], name, weight), "test-numbers")
+        assert out.count() == n and out.columns == ["k", "id", "w", "unused", name]
+        own = out.select("k", "w", name).toPandas().sort_values("k")
+        want = np.arange(n) if weight is None else np.cumsum(own["w"].to_numpy()) - own["w"].to_numpy()
+        assert (own[name].to_numpy() == want).all()
+    batches = samples.buckets(df.select("id", F.col("w").alias("len"), "unused"), 8, 4, seed=7)
+    assert batches.groupBy("pool").count().where("count <> 32").isEmpty()
+
+
+def test_stored_tables_go(spark):
+    storage.stored(spark.range(5), "test-clear")
+    assert storage.clear(spark) >= 1 and storage.clear(spark) == 0
+
+
 def test_signal_scans(spark):
     rng = random.Random(4)
     rows = [(k, i, float(rng.random() < 0.6)) for k in range(30) for i in range(rng.randrange(1, 25))]
@@ -198,3 +220,95 @@ def test_streaming_manifest(spark, tmp_path):
 def test_learning_rates(spark, cosine):
     rows = metrics.learning_rates(spark, 100, 1.0, 10, 0.1, cosine).orderBy("step").collect()
     assert rows[0]["lr"] == 0.1 and rows[9]["lr"] == 1.0 and (rows[99]["lr"] < 0.2) == cosine
+
+
+def test_config(spark, tmp_path):
+    import dataclasses
+
+    @dataclasses.dataclass
+    class Inner:
+        steps: int = 1
+        rates: tuple = ()
+
+    @dataclasses.dataclass
+    class Outer:
+        name: str = ""
+        lr: float = 0.0
+        inner: Inner = dataclasses.field(default_factory=Inner)
+
+    Outer.__annotations__["inner"] = Inner
+    Inner.__annotations__["steps"], Outer.__annotations__["lr"] = int, float
+    got = config.coerced(Outer, {"name": "${A}/x", "lr": "1e-3" and 1, "inner": {"steps": 5.0, "rates": [1, 2]}}, {"A": "here"})
+    assert got.name == "here/x" and got.lr == 1.0 and got.inner.steps == 5 and got.inner.rates == (1, 2)
+    with pytest.raises(ValueError, match="unknown key"):
+        config.coerced(Outer, {"nme": 1})
+    with pytest.raises(ValueError, match="unresolved"):
+        config.expand_variables("${NO_SUCH_NAME_HERE}", {})
+    base = {"model": {"layers": 6}, "x": 1}
+    assert config.overridden(base, {"model.layers": 24})["model"]["layers"] == 24 and base["model"]["layers"] == 6
+    for path in ("model.width", "mode.layers", "x.y"):
+        with pytest.raises(KeyError):
+            config.overridden(base, {path: 1})
+    sinks.write_json(spark, str(tmp_path / "c.json"), base)
+    assert config.load(spark, str(tmp_path / "c.json")) == base
+    with pytest.raises(Exception, match="unresolved"):
+        spark.range(1).select(config.variables_expanded(F.lit("${A}${B}"), {"A": "1"})).collect()
+
+
+def test_sinks(spark, tmp_path):
+    assert sinks.write_tokenizer(spark, str(tmp_path / "t.json")) == sinks.read_tokenizer(spark, str(tmp_path / "t.json")).count() == 53
+    rows = spark.createDataFrame([("r", "a", 1, 1.0), ("r", "a", 2, float("nan")), ("r", "a", 3, None), ("r", "a", 4, float("inf"))], "run string, tag string, step int, value double")
+    for _ in range(2):
+        sinks.append_metrics(rows, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    tone = [0.5, -0.5, 0.25]
+    assert sinks.write_wav(spark.createDataFrame([("a", 8000, tone), ("b", 8000, tone)], "name string, rate int, samples array<double>"), str(tmp_path / "w")) == 2
+    assert wav.read_wav(spark, str(tmp_path / "w")).where("rate = 8000 AND size(samples) = 3").count() == 2
+    info = sinks.export(spark, str(tmp_path / "e"), {"a": spark.range(3)}, {"version": 1})
+    assert info["tables"]["a"]["rows"] == 3 and config.load(spark, str(tmp_path / "e" / "info.json")) == info
+    sinks.make_folders(spark, str(tmp_path / "d" / "e"))
+    assert sinks.data_root(spark, str(tmp_path / "no"), str(tmp_path / "d")) == str(tmp_path / "d")
+    with pytest.raises(FileNotFoundError):
+        sinks.data_root(spark, str(tmp_path / "no"))
+    made = sinks.Registry()
+    made.register("double", by=2)(lambda x, by: x * by)
+    assert made.make("double", x=4) == 8
+    with pytest.raises(KeyError):
+        made.make("none")
+    done = set()
+    steps = [("a", lambda: "a" in done, lambda: done.add("a")), ("b", lambda: "b" in done, lambda: done.add("b"))]
+    assert sinks.run_steps(steps) == ["a", "b"] and sinks.run_steps(steps) == []
+
+
+def test_errors_stop_queries(spark):
+    with pytest.raises(Exception, match="check failed: rows"):
+        weights.checked(spark.range(1).select(F.lit(0).alias("n")), rows=F.col("n") > 0).collect()
+    with pytest.raises(Exception, match="no audio"):
+        cuts.first_audio(spark.createDataFrame([(1, 0)], "id long, offset long"), spark.createDataFrame([(2, "x")], "id long, audio string")).collect()
+    with pytest.raises(Exception, match="nothing to say"):
+        spark.range(1).select(manifest.required(F.lit(""))).collect()
+
+
+def test_latents_edges(spark):
+    row = spark.range(1).select(
+        latents.stitch_window(F.array(F.lit(1.0), F.lit(2.0)), F.lit(1), 3).alias("w"),
+        latents.trimmed(F.lit(5), F.lit(0.999), 12.5).alias("t"),
+        latents.frame_count(F.lit(0), 12.5, 24, F.lit(9)).alias("f"),
+        latents.assembled(F.array(F.lit(1.0)), F.lit(None).cast("array<double>"), F.array(F.lit(2.0))).alias("a"),
+    ).first()
+    assert row["w"] == [2.0, 0.0, 0.0] and row["t"] == 5 and row["f"] == 1
+    assert row["a"]["sequence"] == [1.0, 2.0] and row["a"]["offsets"] == [0, 1, 1]
+
+
+def test_tally_counts_repeats(spark):
+    pairs = spark.createDataFrame([("قصه قصه", "قصَه قصُه"), ("قصه", "قصَه"), ("قصه بيت", "قصَه")], "text string, diac string")
+    got = [r.asDict() for r in vo.tally(pairs).collect()]
+    assert got == [{"word": "قصه", "votes_ta": 2, "votes_ha": 1, "abstain": 0}]
+
+
+def test_stop_on_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "stop").write_text("")
+    stream = spark.readStream.schema("a int").json(str(tmp_path / "in"))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+    assert incremental.stop_on_file(query, str(tmp_path / "stop"), 0.1) and not query.isActive
