@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .tables import clean_input, only_ids, stored, with_group_values, without_ids
+from .workers import tidy
 
 TREES, COORDINATES, DEPTH, LEAF = 16, 64, 4, 24
 #: Second children of a node for each that would make up for the pairs lost at a level.
@@ -150,7 +151,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     sets = _shingle_sets_of(ids, docs, k)
     wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
     wide = wide.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    return stored(wide.select("a", "b", "of_a", "of_b").mapInArrow(_confirmer(percent), "a long, b long"), "links")
+    return stored(wide.select("a", "b", "of_a", "of_b").mapInArrow(tidy(_confirmer(percent)), "a long, b long"), "links")
 
 
 def _alike(a: str, b: str, percent: int):
@@ -238,7 +239,7 @@ def _shingle_sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     texts = only_ids(clean_input(docs, "doc_id", "text").where("doc_id IS NOT NULL"), ids)
     # repeated rows of a doc_id: the same one for all pairs
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    return stored(texts.mapInArrow(_set_maker(k), "id long, shingles binary"), "candidate-sets")
+    return stored(texts.mapInArrow(tidy(_set_maker(k)), "id long, shingles binary"), "candidate-sets")
 
 
 def _crowd_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -328,7 +329,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours and the label's own label, so a chain halves. Every round is stored; joins are plain
     shuffle joins, whose large partitions Spark splits.
     """
-    stars = stored(edges.mapInArrow(_contract, "src long, dst long"), "stars")
+    stars = stored(edges.mapInArrow(tidy(_contract), "src long, dst long"), "stars")
     both = stored(stars.union(stars.select("dst", "src")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("label")), "labels")
     while True:
@@ -342,7 +343,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document; percent: least Jaccard similarity in per cent."""
-    embedded = stored(clean_input(docs, "doc_id", "text").mapInArrow(_embedder(k), _EMBEDDED), "embedded")
+    embedded = stored(clean_input(docs, "doc_id", "text").mapInArrow(tidy(_embedder(k)), _EMBEDDED), "embedded")
     same = embedded.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles")
     classes = stored(same.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens")), "classes")
     found = linked_groups(classes.select("rep", "n_shingles", "sketch", "tokens"), docs, k, percent)

@@ -1,7 +1,9 @@
 """Words, lines and windows of whole Arrow string columns as NumPy arrays.
 
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``; these are ASCII, so cutting UTF-8 by bytes
-is exact. Hashes are 64-bit polynomials in random byte values, finished by a bijective mixer.
+is exact. A short range of bytes is hashed by mixing its bytes, a longer one by XXH3. Windows are
+hashed by halves: a hash of 2n words is a mixed combination of two hashes of n words, so no
+algebraic identity between texts carries over to hashes, as it does with polynomials modulo 2**64.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
 BLOCK = 1 << 20
@@ -36,24 +39,12 @@ def seeds(n: int, stream: int) -> np.ndarray:
         return _mixed((np.arange(1, n + 1, dtype=_U) + _U(stream << 32)) * _U(0x9E3779B97F4A7C15))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
+#: Seed of the hashes of byte ranges, and of the second, independent ones.
+_SEED, _CHECK_SEED = 0x6C62272E, 0x07BB0142
+_LEFT, _RIGHT, _CHECK_LEFT, _CHECK_RIGHT = (_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
-    def __init__(self, base: int):
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), np.ones(1, _U), np.ones(1, _U)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, base, dtype=_U)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS, _CHECK_POWERS = _Powers(0x5851F42D4C957F2D), _Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F)
-_BYTE = seeds(256, 1)
+#: Masks of the first 0 to 8 bytes of an integer.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U)
 
 
 def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,21 +82,34 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; the ranges are in order and don't overlap."""
-    out = np.empty(len(starts), _U)
-    a = 0
-    with np.errstate(over="ignore"):
-        while a < len(starts):
-            base = starts[a]
-            b = max(a + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-            size = int(ends[b - 1] - base)
-            up, down = _BYTE_POWERS(size + 1)
-            total = np.zeros(size + 1, _U)
-            np.cumsum(_BYTE[data[base : base + size]] * up[:size], out=total[1:])
-            s, e = starts[a:b] - base, ends[a:b] - base
-            out[a:b] = _mixed((total[e] - total[s]) * down[s] + (e - s).astype(_U) * _U(0x9E3779B97F4A7C15))
-            a = b
+def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow array; they are in order and don't overlap."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    upto = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    kept = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(upto), pa.py_buffer(np.ascontiguousarray(kept))])
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, check: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte range; the ranges are in order and don't overlap. check: another, independent hash.
+
+    Up to 16 bytes are mixed as two integers and the length; longer ranges are hashed by XXH3.
+    """
+    if not len(starts):
+        return np.zeros(0, _U)
+    seed, left, right = (_CHECK_SEED, _CHECK_LEFT, _CHECK_RIGHT) if check else (_SEED, _LEFT, _RIGHT)
+    size = ends - starts
+    eight = np.ndarray((len(data) + 9,), "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+    low = eight[starts] & _FIRST[np.minimum(size, 8)]
+    high = eight[starts + np.minimum(size, 8)] & _FIRST[np.clip(size - 8, 0, 8)]
+    out = _mixed(_mixed(low + left) * right + _mixed(high + right) * left + size.astype(_U))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        coded, of = ranges(data, starts[long], ends[long]).dictionary_encode(), xxhash.xxh3_64_intdigest
+        own = np.fromiter((of(w, seed) for w in coded.dictionary.to_pylist()), _U, len(coded.dictionary))
+        out[long] = own[np.asarray(coded.indices)]
     return out
 
 
@@ -116,11 +120,18 @@ def windows(words: np.ndarray, first: np.ndarray, k: int, check: bool = False) -
         return np.zeros(0, np.int64), np.zeros(0, _U)
     last = np.repeat(first[1:], np.diff(first))
     at = np.flatnonzero(np.arange(n) + k <= last)
+    left, right = (_CHECK_LEFT, _CHECK_RIGHT) if check else (_LEFT, _RIGHT)
     with np.errstate(over="ignore"):
-        up, down = (_CHECK_POWERS if check else _WORD_POWERS)(n + 1)
-        total = np.zeros(n + 1, _U)
-        np.cumsum((_mixed(words) if check else words) * up[:n], out=total[1:])
-        return at, _mixed((total[at + k] - total[at]) * down[at])
+        power, size, out, done = words, 1, None, 0
+        while True:
+            if k & size:  # what is left of the window, smallest part first
+                part = power[done : done + n - k + 1]
+                out = _mixed(part + left) if out is None else _mixed(out * left + _mixed(part * right + _U(size)))
+                done += size
+            if 2 * size > k:
+                return at, out[at]
+            power = _mixed(power[:-size] * left + _mixed(power[size:] * right + _U(size)))
+            size *= 2
 
 
 def owners(first: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,16 +160,11 @@ def distinct_within(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 
 
 def folded(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each text's sequence of values; 0 for none."""
-    out = []
-    with np.errstate(over="ignore"):
-        for powers in (_WORD_POWERS, _CHECK_POWERS):
-            up, down = powers(len(values) + 1)
-            total = np.zeros(len(values) + 1, _U)
-            np.cumsum(_mixed(values + _U(len(out))) * up[: len(values)], out=total[1:])
-            size = np.diff(first).astype(_U)
-            out.append(np.where(size > 0, _mixed((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + size), _U(0)))
-    return out[0], out[1]
+    """A 128-bit digest of each text's sequence of values, in two halves; 0 for none."""
+    raw, cuts = memoryview(np.ascontiguousarray(values).tobytes()), (8 * first).tolist()
+    both = [xxhash.xxh3_128_intdigest(raw[a:b], _SEED) if a < b else 0 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    half = (1 << 64) - 1
+    return np.fromiter((x >> 64 for x in both), _U, len(both)), np.fromiter((x & half for x in both), _U, len(both))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
