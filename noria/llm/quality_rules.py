@@ -1,16 +1,21 @@
 """Quality rules by weak supervision.
 
-Each rule looks at a few counts of a document and votes good (1), bad (0) or abstains (-1). How
-often rules agree tells how accurate each is: expectation-maximisation fits, without labels, the
-share of good documents and each rule's probability to vote good or bad on either kind. The
-posterior probability of being good then decides, in place of all-must-pass filtering.
+Each rule looks at a few counts of a document and votes good (1), bad (0) or abstains (-1). Several
+rules look at the same fault from different sides, so that agreement carries information: junk
+that one rule sees, others see, too, and a lone bad vote is mostly an error of its rule.
+Expectation-maximisation fits, without labels, a mixture of good documents and KINDS of junk: the share of
+each and, for each rule, how often it votes bad on each when it votes. ``accuracies`` reads off how often rules are
+right. The posterior probability of being good then decides, in place of all-must-pass filtering.
+
+A fitted kind whose documents get less than AGREE bad votes on average is no junk, whatever it started as:
+its documents count as good. Nothing else is fixed: shares and rates are free.
 
 Counts come from one pass over the whole texts (NumPy on Arrow batches, no shuffle). A document
-enters EM only through its pattern of votes, of which there are at most 3**len(RULES) (2,187), so a
+enters EM only through its pattern of votes, of which there are at most 3**len(RULES) (59,049), so a
 map-side-combined count per pattern holds all documents and the driver sees only those counts.
 
-Null or empty text: no words, counts 0, base_failed. Repeated rows are judged alike. An empty
-table gives an empty result. Only the named columns are read, so extra columns can't clash.
+Null or empty text: no words, counts 0, base_failed. Very long texts are counted whole, one at a time. Repeated rows are
+judged alike. An empty table gives an empty result. Only the named columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,11 +29,10 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .tables import clean_input, stored, without_ids
+from .workers import tidy
 
-#: A rule calls at most this share of the good documents bad.
-MOST_FALSE = 0.01
 MIN_WORDS, REPEAT_WINDOW, REPEAT_SHARE = 20, 8, 30
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_stops", "n_letter_words", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_digits", "n_stops", "n_letter_words", "n_distinct", "n_same_next")
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 _SYMBOL, _LETTER, _UPPER, _DIGIT, _STOP = (np.zeros(256, bool) for _ in range(5))
 for table, chars in ((_SYMBOL, "#*$%&|<>"), (_UPPER, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (_LETTER, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (_DIGIT, "0123456789"), (_STOP, ".,;:!?")):
@@ -69,6 +73,10 @@ def count_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.cumsum(_LETTER[data], out=letters[1:])
     out["n_letter_words"] = _per_text(letters[ends] > letters[starts], first)
     out["n_distinct"] = np.diff(wh.distinct_within(word, first)[1])
+    same = np.zeros(len(word), bool)
+    same[1:] = word[1:] == word[:-1]
+    same[first[:-1][first[:-1] < first[1:]]] = False
+    out["n_same_next"] = _per_text(same, first)
     # lines: a text's first line starts at the text, others after a \n
     ls, le, lf = wh.spans(data, offsets, _LINE)
     spoken = np.searchsorted(starts, le) > np.searchsorted(starts, ls)  # a word starts inside the line
@@ -96,7 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def counts(docs: DataFrame) -> DataFrame:
     """One row of COUNTS per document."""
-    return clean_input(docs, "doc_id", "text").mapInArrow(_count, SCHEMA)
+    return clean_input(docs, "doc_id", "text").mapInArrow(tidy(_count), SCHEMA)
 
 
 def _vote(bad, good=None):
@@ -105,60 +113,76 @@ def _vote(bad, good=None):
 
 
 def rules() -> dict[str, F.Column]:
-    """Votes over the COUNTS; short texts abstain where a share says little."""
-    c, n = F.col, F.greatest(F.col("n_words"), F.lit(1))
+    """Votes over the COUNTS; texts of a few words abstain where a share says little."""
+    c, n, chars = F.col, F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     long = c("n_words") >= 50
     return {
-        "symbols": _vote(c("n_symbols") * 4 >= n, c("n_symbols") * 20 <= n),
-        "repeats": _vote(c("n_repeat_words") * 4 >= n, c("n_repeat_words") * 20 <= n),
-        "lines": _vote((c("n_lines") >= 4) & (c("n_dup_lines") * 2 >= c("n_lines")), c("n_dup_lines") * 20 <= c("n_lines")),
-        "capitals": _vote((c("n_letters") >= 20) & (c("n_upper") * 3 >= c("n_letters")), (c("n_letters") >= 20) & (c("n_upper") * 6 <= c("n_letters"))),
-        "stops": _vote((c("n_stops") * 10 >= n * 7) | (long & (c("n_stops") == 0)), (c("n_stops") * 50 >= n) & (c("n_stops") * 2 <= n)),
-        "words": _vote(c("n_letter_words") * 4 <= n * 3, c("n_letter_words") * 10 >= n * 9),
-        "variety": _vote(long & (c("n_distinct") * 100 <= F.least(n, F.lit(1000)) * 15), c("n_distinct") * 10 >= F.least(n, F.lit(200)) * 4),
+        "signs": _vote(c("n_symbols") * 4 >= n, c("n_symbols") * 20 <= n),
+        "sign_share": _vote(c("n_symbols") * 12 >= chars, c("n_symbols") * 50 <= chars),
+        "bare_words": _vote(c("n_letter_words") * 4 <= n * 3, c("n_letter_words") * 10 >= n * 9),
+        "word_length": _vote((chars >= n * 7) | (chars <= n * 3), (chars >= n * 4) & (chars * 2 <= n * 13)),
+        "stops": _vote(c("n_stops") * 20 <= n, (c("n_stops") * 50 >= n * 4) & (c("n_stops") * 2 <= n)),
+        "variety": _vote(c("n_distinct") * 100 <= F.least(n, F.lit(1000)) * 30, c("n_distinct") * 10 >= F.least(n, F.lit(1000)) * 5),
+        "doubled": _vote(c("n_same_next") * 10 >= n, c("n_same_next") * 50 <= n),
+        "repeats": _vote(c("n_repeat_words") * 8 >= n, c("n_repeat_words") * 50 <= n),
+        "lines": _vote((c("n_lines") >= 4) & (c("n_dup_lines") * 4 >= c("n_lines")), c("n_dup_lines") * 20 <= c("n_lines")),
+        "capitals": _vote(long & (c("n_upper") * 3 >= c("n_letters")), c("n_upper") * 10 <= c("n_letters")),
     }
 
 
-RULES = tuple(("symbols", "repeats", "lines", "capitals", "stops", "words", "variety"))
+RULES = ("signs", "sign_share", "bare_words", "word_length", "stops", "variety", "doubled", "repeats", "lines", "capitals")
+#: Kinds of junk by the rules that see each at the start of the fit.
+KINDS = (("signs", "sign_share", "word_length", "stops"), ("signs", "sign_share", "bare_words"), ("variety", "doubled", "stops"), ("repeats", "lines", "variety"))
+#: Bad votes that the documents of a kind of junk get on average, at least.
+AGREE = 1.5
 
 
-def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """EM over distinct vote patterns.
+def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over distinct vote patterns: (share of each class, bad[class, rule], which classes are junk). Class 0 is good, the others start as KINDS.
 
-    Returns the share of good documents and p[kind, rule, vote + 1]. Junk comes in kinds, and most
-    rules see one kind only, so good documents and one kind of junk would explain the votes as well
-    as good and bad do; MOST_FALSE rules that out. It starts from rules that call 1 of 50 good and 2 of 5 bad documents
-    bad, and stays on the side where bad votes speak against a document.
+    bad is the probability of a bad vote of a rule that votes; an abstention says nothing. Every rate has
+    one vote either way as a prior, so that no rate is 0 or 1.
     """
-    m = patterns.shape[1] if patterns.ndim == 2 else 0
-    prior, p = 0.85, np.tile(np.array([[0.1, 0.4, 0.5], [0.1, 0.02, 0.88]])[:, None, :], (1, m, 1))
+    m = patterns.shape[1] if patterns.ndim == 2 and patterns.size else len(RULES)
+    bad = np.full((1 + len(KINDS), m), 0.05)
+    for k, seen in enumerate(KINDS, 1):
+        for r in seen:
+            bad[k, RULES.index(r)] = 0.9
+    share = np.array([0.8] + [0.2 / len(KINDS)] * len(KINDS))
     if not weights.sum():
-        return prior, p
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
+        return share, bad, np.arange(len(share)) > 0
+    is_bad, is_good = (patterns == 0).astype(float), (patterns == 1).astype(float)
     for _ in range(rounds):
-        good = posterior(patterns, prior, p)
-        prior_new = float(np.clip((good * weights).sum() / weights.sum(), 0.05, 0.99))
-        new = np.empty_like(p)
-        for k, g in ((0, 1 - good), (1, good)):
-            mass = ((g * weights)[:, None, None] * hot).sum(0) + (np.array([0.2, 0.02, 1.78]) if k else np.array([0.2, 0.8, 1.0]))
-            new[k] = mass / mass.sum(-1, keepdims=True)
-        over = np.maximum(new[1, :, 1] - MOST_FALSE, 0)
-        new[1, :, 1] -= over
-        new[1, :, 2] += over
-        flipped = new[1, :, 2] * new[0, :, 1] < new[1, :, 1] * new[0, :, 2]
-        new[:, flipped] = new.mean(0, keepdims=True)[:, flipped]  # worse than chance: no say
-        done = abs(prior_new - prior) < 1e-9 and np.abs(new - p).max() < 1e-9
-        prior, p = prior_new, new
+        own = classes(patterns, share, bad) * weights[:, None]
+        new_share = (own.sum(0) + 1) / (own.sum() + len(share))
+        of_bad, of_good = own.T @ is_bad, own.T @ is_good
+        new = (of_bad + 1) / (of_bad + of_good + 2)
+        done = np.abs(new - bad).max() < 1e-9 and np.abs(new_share - share).max() < 1e-9
+        share, bad = new_share, new
         if done:
             break
-    return prior, p
+    own = classes(patterns, share, bad) * weights[:, None]
+    junk = own.T @ is_bad.sum(axis=1) >= AGREE * own.sum(0)
+    junk[0] = False
+    return share, bad, junk
+
+
+def classes(patterns: np.ndarray, share: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Posterior probability of each class for each pattern."""
+    score = np.log(share) + (patterns == 0).astype(float) @ np.log(bad).T + (patterns == 1).astype(float) @ np.log1p(-bad).T
+    score = np.exp(score - score.max(axis=1, keepdims=True))
+    return score / score.sum(axis=1, keepdims=True)
+
+
+def posterior(patterns: np.ndarray, share: np.ndarray, bad: np.ndarray, junk: np.ndarray) -> np.ndarray:
+    """Probability of good for each pattern."""
+    return classes(patterns, share, bad)[:, ~junk].sum(axis=1)
 
 
-def posterior(patterns: np.ndarray, prior: float, p: np.ndarray) -> np.ndarray:
-    """Probability of good for each pattern; an abstention says nothing."""
-    rules_, votes = np.arange(patterns.shape[1]), patterns + 1
-    says = np.where(patterns >= 0, np.log(p[1, rules_, votes]) - np.log(p[0, rules_, votes]), 0.0)
-    return 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + says.sum(1), -500, 500)))
+def accuracies(share: np.ndarray, bad: np.ndarray, junk: np.ndarray) -> dict[str, tuple[float, float]]:
+    """For each rule that votes: how often it calls a good document good, and a bad one bad."""
+    of = lambda which: (share[which, None] * bad[which]).sum(0) / max(share[which].sum(), 1e-12)
+    return {r: (float(1 - g), float(b)) for r, g, b in zip(RULES, of(~junk), of(junk), strict=True)}
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -167,11 +191,11 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     rated = counts(docs).withColumns({"base_failed": (n < MIN_WORDS) | (100 * repeats > REPEAT_SHARE * n), "pattern": F.concat_ws(",", *[r.cast("string") for r in rules().values()])})
     rated = stored(rated, "quality")
     # rules judge only what passes the base rules: the others go in any case
-    seen = rated.where(~F.col("base_failed")).groupBy("pattern").count().collect()  # at most 3**7 rows
+    seen = rated.where(~F.col("base_failed")).groupBy("pattern").count().collect()  # at most 3**10 rows
     names = [r["pattern"] for r in seen]
     votes = np.array([[int(v) for v in x.split(",")] for x in names], dtype=int).reshape(len(names), len(RULES))
-    prior, p = fit(votes, np.array([r["count"] for r in seen], dtype=float))
-    good = posterior(votes, prior, p) if names else []
+    fitted = fit(votes, np.array([r["count"] for r in seen], dtype=float))
+    good = posterior(votes, *fitted) if names else []
     spark = docs.sparkSession
     verdicts = spark.createDataFrame([(x, float(g)) for x, g in zip(names, good, strict=True)], "pattern string, p_good double")
     return rated.join(F.broadcast(verdicts), "pattern", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= threshold))
