@@ -1,14 +1,15 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into text blocks at block-level tags. A logistic classifier over a block's place and
-shape gives it two costs, which become the capacities from the source (content) and to the sink
-(boilerplate). Blocks that follow each other, and blocks in the same container, are tied by edges
-of small capacity. The maximum flow then parts the page where disagreeing with the classifier and
-cutting ties costs least in sum. The classifier is trained here, on blocks made by rule.
+A page is cut into text blocks at block-level tags. A logistic classifier over a block's text, links, tag,
+place among its neighbours and in the page, and containers gives it two costs, which become the capacities from the
+source (content) and to the sink (boilerplate). Blocks that follow each other, and blocks in the same container,
+are tied by edges of small capacity. The maximum flow then parts the page where disagreeing with the
+classifier and cutting ties costs least in sum. The classifier is trained here, on the blocks of PAGES, small
+labelled pages of several styles (half of them name no container), parsed as all pages are.
 
 Each page is a row of its own, so there is no shuffle. Null or empty html gives an empty text;
-very long pages are parsed in one pass; broken and cut-off markup is read as far as it goes.
-Repeated rows are extracted each. Extra columns are not read.
+very long and deeply nested pages are parsed in one pass, in linear time; broken and cut-off markup is read as far
+as it goes. Repeated rows are extracted each; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .tables import clean_input
+from .workers import tidy
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--\s*>|.*$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|/?$|/[^a-zA-Z>][^>]*(?:>|$))""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -46,6 +48,10 @@ NEXT_TIE, CONTAINER_TIE = 0.25, 0.35
 MOST_COST = 8.0
 
 
+_CONTAINERS = frozenset("article section div main ul ol table nav aside footer header form body".split())
+_CELLS, _HEADINGS = frozenset("li td th dt dd".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 class Block:
     """Text of one block with what the classifier needs."""
 
@@ -56,7 +62,16 @@ class Block:
 
     def features(self) -> list[float]:
         words = self.text.count(" ") + 1
-        return [1.0, float(self.place > 0), float(self.place < 0), float(self.away), min(words, 60) / 20, self.linked / max(1, len(self.text)), float(bool(_END.search(self.text))), float(self.tag in ("li", "td", "th", "dt", "dd")), float(self.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(words < 4)]
+        return [float(self.place > 0), float(self.place < 0), float(self.away), min(words, 60) / 20, min(1.0, self.linked / max(1, len(self.text))), float(bool(_END.search(self.text))), float(self.tag in _CELLS), float(self.tag in _HEADINGS), float(words < 4)]
+
+
+def page_features(found: list[Block]) -> np.ndarray:
+    """A row for each block: its own features, length and links of the blocks before and after it, and its place in the page."""
+    own = np.array([b.features() for b in found])
+    near = np.zeros((len(own) + 2, 2))
+    near[1:-1] = own[:, 3:5]
+    at = (np.arange(len(own)) + 0.5) / len(own)
+    return np.column_stack([np.ones(len(own)), own, near[:-2], near[2:], at, (at - 0.5) ** 2])
 
 
 def _side(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
@@ -86,11 +101,21 @@ def _side(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
     return side, hidden
 
 
+class _Open:
+    """An open element: what it and the elements around it say about text inside."""
+
+    __slots__ = ("tag", "side", "away", "hidden", "block", "container", "article")
+
+    def __init__(self, tag: str, side: int, away: bool, hidden: bool, block: int, container: int, article: bool):
+        #: block: place on the stack of the nearest element that isn't inline; container: number of the nearest container
+        self.tag, self.side, self.away, self.hidden, self.block, self.container, self.article = tag, side, away, hidden, block, container, article
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    # open elements: tag, side of the nearest ancestor with one, away from content anywhere, hidden, serial number
-    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+    stack = [_Open("", 0, False, False, 0, 0, False)]
+    open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked, links, serial, at, end = 0, 0, 0, 0, len(page)
 
@@ -99,12 +124,19 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             top = stack[-1]
-            if text and not top[3]:
-                own = next((s for s in reversed(stack) if s[0] not in INLINE), top)
-                parent = next((s for s in reversed(stack) if s[0] in ("article", "section", "div", "main", "ul", "ol", "table", "nav", "aside", "footer", "header", "form", "body")), stack[0])
-                out.append(Block(text, linked, own[1], own[2], parent[4], own[0]))
+            if text and not top.hidden:
+                own = stack[top.block]
+                out.append(Block(text, linked, own.side, own.away, top.container, own.tag))
         parts, linked = [], 0
 
+    def pop(k: int) -> None:
+        """Close the elements from place k on."""
+        nonlocal links
+        for s in stack[k:]:
+            open_tags[s.tag] -= 1
+            links -= s.tag == "a"
+        del stack[k:]
+
     while at < end:
         opening = page.find("<", at)
         if opening < 0:
@@ -129,7 +161,8 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in RAW:
-            if not closing and not attributes.rstrip().endswith("/"):
+            # a slash at the end closes an svg or math element only
+            if not closing and not (attributes.rstrip().endswith("/") and tag in ("svg", "math")):
                 stop = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(page, at)
                 over = page.find(">", stop.start()) if stop else -1
                 if stop:
@@ -141,66 +174,79 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             close()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if inline and any(s[0] not in INLINE for s in stack[k:]):
-                        break  # a stray end tag doesn't close blocks
-                    links -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
-                    break
+            if open_tags.get(tag):
+                # a stray inline end tag doesn't close blocks
+                for k in range(len(stack) - 1, stack[-1].block if inline else 0, -1):
+                    if stack[k].tag == tag:
+                        pop(k)
+                        break
             continue
         if tag in VOID:
             continue
-        # an option's end tag may be left out: a block ends it
-        for k in range(len(stack) - 1, 0, -1) if not inline else ():
-            if stack[k][0] == "option":
-                links -= sum(s[0] == "a" for s in stack[k:])
-                del stack[k:]
-                break
-            if stack[k][0] not in INLINE:
-                break
-        if tag in _CLOSES_P or tag in ("tr", "td", "th", "dt", "dd", "option"):
-            wanted = "li" if tag == "li" else "p"
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == wanted:
-                    links -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        # an option's end tag may be left out: a block ends it; so it is with paragraphs and list items
+        if not inline and stack[stack[-1].block].tag == "option":
+            pop(stack[-1].block)
+        if (tag in _CLOSES_P or tag in ("tr", "td", "th", "dt", "dd", "option")) and stack[stack[-1].block].tag == ("li" if tag == "li" else "p"):
+            pop(stack[-1].block)
         top = stack[-1]
-        side, hidden = _side(tag, attributes, any(s[0] in _TOWARD for s in stack))
+        side, hidden = _side(tag, attributes, top.article)
         serial += 1
-        stack.append((tag, side or top[1], top[2] or side < 0, top[3] or hidden or tag == "option", serial))
+        block = top.block if inline else len(stack)
+        stack.append(_Open(tag, side or top.side, top.away or side < 0, top.hidden or hidden or tag == "option", block, serial if tag in _CONTAINERS else top.container, top.article or tag in _TOWARD))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         links += tag == "a"
     close()
     return out
 
 
-def _training() -> tuple[np.ndarray, np.ndarray]:
-    """Blocks made by rule, and whether they are content."""
-    x, y = [], []
-    sentence, short = "word " * 24 + "end.", "A few words."
-    for text, linked, tag, plain in ((sentence, 0, "p", 1), (sentence * 3, 0, "p", 1), (short, 0, "p", 1), ("A title of it", 0, "h1", 1), ("An item", 0, "li", 1), (sentence, 0, "li", 1), ("Home", 4, "li", 0), ("Read more here", 14, "p", 0), ("Some links to other pages", 24, "div", 0), ("Log in", 0, "div", 0), ("Share", 0, "div", 0)):
-        text = text.strip()
-        for place, away, weight in ((1, False, 6), (-1, True, 6), (0, False, 1), (1, True, 1)):
-            label = {1: 1 if not away and not (linked and tag != "p") else 0, -1: 0, 0: plain}[place]
-            if away:
-                label = 0
-            x += [Block(text, linked, place, away, 0, tag).features()] * weight
-            y += [label] * weight
-    return np.array(x), np.array(y, dtype=float)
+#: Labelled pages: a block that begins with + is content, one that begins with - is not. S is a sentence of some
+#: words, W a word; they differ from page to page.
+PAGES = (
+    "<nav><ul><li><a>-W</a><li><a>-W W</a><li><a>-W</a></ul></nav><div class=ad>-S</div><article><h1>+W W W</h1><p>+S S</p><p>+S</p><p>+S S S</p></article><footer>-W S S</footer>",
+    "<header><a>-W W</a></header><main><h1>+W W</h1><p>+S S S</p><ul><li>+S<li>+W W W</ul><p>+S</p></main><aside><h3>-W</h3><p>-S S</p></aside><footer><p>-S</p></footer>",
+    "<div id=menu><a>-W</a> <a>W</a></div><div id=content><h2>+W W</h2><p>+S</p><blockquote>+S S</blockquote><p>+S S</p></div><div id=sidebar><p>-S S</p></div><div class=comments><p>-S S</p><p>-S</p></div>",
+    "<body><div class=cookie-notice>-S S <button>W</button></div><div class=post><p>+S S S S</p><p>+W W W.</p><p>+S S</p></div><div class=related><a>-W W W W W</a></div><form><label>-W W</label></form>",
+    "<article><header><h1>+W W W W</h1><p>+S</p></header><p>+S S</p><table><tr><td>+W<td>+W W</table><p>+S</p><section class=comments><h2>-W</h2><p>-S S S</p></section></article><div class=newsletter>-S</div>",
+    "<div class=banner>-W S</div><div class=story>+S S S</div><div class=share><a>-W</a> <a>W</a></div><div class=story>+S S</div><div class=footer>-W W S</div>",
+    "<div><a>-W</a> <a>W</a> <a>W</a></div><div><h1>+W W W</h1></div><div><p>+S S S</p><p>+S S</p><p>+W W W W W.</p><p>+S S S S</p></div><div><a>-W W</a> <a>W</a></div><div>-W W W</div>",
+    "<table><tr><td><a>-W</a><td><a>-W W</a></table><p>+S S S S</p><p>+S S S</p><h2>+W W</h2><p>+S S</p><p><a>-W W W</a></p><p>-W</p>",
+    "<div><div>-W</div><div><a>-W W</a></div></div><div><div>+S S S</div><div>+S S S S S</div><div>+S S</div></div><div><div><a>-W W W</a></div><div><a>-W W</a></div></div>",
+    "<p>-W W</p><p><a>-W</a> <a>W</a></p><h1>+W W W W W</h1><p>+S S</p><p>+S <a>W W</a> S S</p><ul><li>+S S<li>+S<li>+W W W W</ul><p>+S S S</p><ul><li><a>-W W W</a><li><a>-W W</a><li><a>-W W W W</a></ul>",
+    "<div>+S S S S S S</div>",
+    "<article><p>+W.</p><p>+S S</p><p>+W</p></article>",
+    "<nav><a>-W</a></nav><article><h1>+W</h1><p>+W</p><p>+S</p><p>+W</p></article><footer>-W S</footer>",
+    "<main><p>+W W</p><p>+S</p><p>+W</p><p>+W.</p></main>",
+    "<div class=ad>-W S</div><article><p>+W.</p><p>+W W</p></article>",
+    "<ul><li><a>-W</a><li><a>-W</a></ul><p>+S</p><p>+S</p><p>+S S</p><ul><li><a>-W</a><li><a>-W W</a></ul><p>-W W W</p>",
+)
+_SYLLABLES = "ba de ka lo mi no pu ri so ta ve zu el an or in un est ol th".split()
+
+
+def labelled_blocks(copies: int = 12, seed: int = 1, pages: tuple[str, ...] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the blocks of labelled pages, each filled with other words several times."""
+    rng, x, y = np.random.default_rng(seed), [], []
+    word = lambda: "".join(rng.choice(_SYLLABLES, rng.integers(1, 4)))
+    for page in pages * copies:
+        filled = re.sub(r"\b[SW]\b", lambda m: word().capitalize() if m[0] == "W" else " ".join(word() for _ in range(rng.integers(6, 22))).capitalize() + ".", page)
+        found = blocks(filled)
+        labels = [b.text[0] == "+" for b in found]
+        for b in found:
+            b.text = b.text.lstrip("+-")
+        x.append(page_features(found))
+        y += labels
+    return np.concatenate(x), np.array(y, float)
 
 
 @functools.cache
 def weights() -> np.ndarray:
     """Logistic regression by gradient descent; small decay, so clear cases become clear."""
-    x, y = _training()
-    w = np.zeros(x.shape[1])
-    for _ in range(4_000):
+    x, y = labelled_blocks()
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    x, w = x / scale, np.zeros(x.shape[1])
+    for _ in range(3_000):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += 0.5 * (x.T @ (y - p) / len(y) - 1e-3 * w)
-    return w
+        w += 2.0 * (x.T @ (y - p) / len(y) - 2e-4 * w)
+    return w / scale
 
 
 def min_cut(costs: np.ndarray, ties: list[tuple[int, int, float]]) -> np.ndarray:
@@ -251,7 +297,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    z = np.array([b.features() for b in found]) @ weights()
+    z = page_features(found) @ weights()
     costs = np.minimum(np.stack([np.logaddexp(0, z), np.logaddexp(0, -z)], axis=1), MOST_COST)
     ties, last = [], {}
     for i, b in enumerate(found):
@@ -272,4 +318,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    return clean_input(pages, "page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return clean_input(pages, "page_id", "url", "html").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
