@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from noria.llm import encoding, exact_dedup, html_text, near_dedup, packing, pieces, quality_rules, substring_dedup, tables, token_counts, url_filters, wavelet  # noqa: E402
+from noria.llm import encoding, exact_dedup, html_text, near_dedup, packing, pieces, quality_rules, queries, substring_dedup, tables, token_counts, url_filters, wavelet  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,23 +104,85 @@ def test_quality_edges(spark, empty, repeated):
     assert quality_rules.keep_good(repeated).where("doc_id IS NOT NULL").count() == 0
 
 
-def test_quality_em_finds_planted_rules():
+def plain_verdicts(rows):
+    """doc_id -> kept, by loops: counts by regular expressions, votes by tests, EM over single documents."""
+    voted, out = [], {}
+    for i, t in rows:
+        n, chars, symbols, dup, rep = counted(t)
+        if n < 20 or 100 * rep > 30 * n:
+            out[i] = False
+            continue
+        w, c = words(t), max(chars, 1)
+        raw = (t or "").encode()
+        letters = sum(chr(x).isascii() and chr(x).isalpha() or x >= 0xC3 for x in raw)
+        upper = sum(65 <= x <= 90 for x in raw)
+        spoken = sum(any(chr(x).isascii() and chr(x).isalpha() or x >= 0xC3 for x in v.encode()) for v in w)
+        stops, distinct, same = sum(v[-1] in ".,;:!?" for v in w), len(set(w)), sum(x == y for x, y in zip(w, w[1:]))
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        tests = (
+            (symbols / n >= 1 / 4, symbols / n <= 1 / 20),
+            (symbols / c >= 1 / 12, symbols / c <= 1 / 50),
+            (spoken / n <= 3 / 4, spoken / n >= 9 / 10),
+            (c / n >= 7 or c / n <= 3, 4 <= c / n <= 6.5),
+            (stops / n <= 1 / 20, 2 / 25 <= stops / n <= 1 / 2),
+            (distinct * 100 <= min(n, 1000) * 30, distinct * 10 >= min(n, 1000) * 5),
+            (same / n >= 1 / 10, same / n <= 1 / 50),
+            (rep / n >= 1 / 8, rep / n <= 1 / 50),
+            (lines >= 4 and dup / lines >= 1 / 4, dup * 20 <= lines),
+            (n >= 50 and upper * 3 >= letters, upper * 10 <= letters),
+        )
+        voted.append((i, [0 if bad else 1 if good else None for bad, good in tests]))
+    k = len(quality_rules.KINDS) + 1
+    share = [0.8] + [0.2 / (k - 1)] * (k - 1)
+    bad = [[0.05] * 10] + [[0.9 if r in kind else 0.05 for r in quality_rules.RULES] for kind in quality_rules.KINDS]
+
+    def own(votes):
+        p = [share[j] * math.prod(bad[j][r] if v == 0 else 1 - bad[j][r] for r, v in enumerate(votes) if v is not None) for j in range(k)]
+        return [x / sum(p) for x in p]
+
+    for _ in range(60):
+        each = [own(v) for _, v in voted]
+        share = [(sum(e[j] for e in each) + 1) / (len(voted) + k) for j in range(k)]
+        bad = [[(sum(e[j] for e, (_, v) in zip(each, voted) if v[r] == 0) + 1) / (sum(e[j] for e, (_, v) in zip(each, voted) if v[r] is not None) + 2) for r in range(10)] for j in range(k)]
+    each = [own(v) for _, v in voted]
+    junk = [j > 0 and sum(e[j] * v.count(0) for e, (_, v) in zip(each, voted)) >= 1.5 * sum(e[j] for e in each) for j in range(k)]
+    return out | {i: sum(e[j] for j in range(k) if not junk[j]) >= 0.5 for e, (i, _) in zip(each, voted)}
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    """The registered query against loops over single documents."""
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = {r["doc_id"]: r["kept"] for r in queries.QUERIES["op1_quality_rules"](spark, folder).collect()}
+    want = plain_verdicts(rows)
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_quality_em_finds_planted_kinds():
     rng = np.random.default_rng(3)
-    good = rng.random(4000) < 0.9
-    bad_vote = np.where(good[:, None], 0.004, 0.35)
-    votes = np.where(rng.random((4000, 7)) < bad_vote, 0, np.where(rng.random((4000, 7)) < 0.1, -1, 1))
+    kind = rng.choice(5, 6000, p=[0.88, 0.04, 0.03, 0.03, 0.02])
+    bad = np.full((5, 10), 0.01)
+    for k, seen in enumerate(quality_rules.KINDS, 1):
+        bad[k, [quality_rules.RULES.index(r) for r in seen]] = 0.85
+    votes = np.where(rng.random((6000, 10)) < bad[kind], 0, np.where(rng.random((6000, 10)) < 0.1, -1, 1))
     patterns, weights = np.unique(votes, axis=0, return_counts=True)
-    prior, p = quality_rules.fit(patterns, weights.astype(float))
-    judged = quality_rules.posterior(votes, prior, p) >= 0.5
-    assert abs(prior - 0.9) < 0.05 and (judged == good).mean() > 0.95 and judged[good].mean() > 0.95
+    fitted = quality_rules.fit(patterns, weights.astype(float))
+    kept = quality_rules.posterior(votes, *fitted) >= 0.5
+    assert abs(fitted[0][0] - 0.88) < 0.03 and kept[kind == 0].mean() > 0.99 and kept[kind > 0].mean() < 0.05
+    assert all(good > 0.97 for good, _ in quality_rules.accuracies(*fitted).values())
+    # good documents with one bad vote stay, which all-must-pass filtering drops
+    lone = (kind == 0) & ((votes == 0).sum(axis=1) == 1)
+    assert lone.sum() > 100 and kept[lone].mean() > 0.95
 
 
 def test_quality_held_out(spark):
-    """Labels play no part in fitting; no document labelled good is dropped, nearly all others are."""
-    folder = "/root/testdata/sf0.01"
+    """Labels play no part in fitting; nearly all documents labelled bad go, and good ones stay, also those with a bad vote."""
+    folder = "/root/testdata/sf0.1"
     judged = quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
     good, bad = [r["kept"] for r in judged if r["quality"] == 1], [r["kept"] for r in judged if r["quality"] == 0]
-    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
+    assert sum(good) >= 0.999 * len(good) and sum(bad) <= 0.02 * len(bad)
+    lone = [r["kept"] for r in judged if r["quality"] == 1 and "0" in r["pattern"].split(",")]
+    assert len(lone) > 10 and all(lone)
 
 
 # exact dedup
@@ -331,6 +393,50 @@ def test_substrings_edges(empty, repeated, spark):
     assert got == {5: 0, 6: 120, 7: 60, 8: 0}
 
 
+def test_substring_factors(spark):
+    """Factors name equal words of a smaller document, and passages that two references share piecewise are found whole."""
+    rng = random.Random(3)
+    a, b, x = (prose(rng, n).split() for n in (300, 200, 40))
+    # 9 crosses from 1 into 2 in a passage that 3 has in one piece; 8 holds 60 words of which 3 has the middle
+    rows = [(1, a[:200]), (2, a[150:]), (3, b), (8, x + b[70:130] + x), (9, x + a[100:300] + b[:120])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    text, gone = dict(rows), {}
+    for r in substring_dedup.factors(df).collect():
+        assert r["source"] < r["doc_id"] and r["length"] >= 50
+        assert text[r["doc_id"]][r["start"] : r["start"] + r["length"]] == text[r["source"]][r["source_start"] : r["source_start"] + r["length"]]
+        gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["length"]))
+    assert {i: len(g) for i, g in gone.items()} == {i: n for i, (_, n, _) in removed([(i, " ".join(w)) for i, w in rows]).items() if n}
+
+
+def test_parse_crosses_blocks_and_differs():
+    source = [f"w{i}".encode() for i in range(400)]
+    blocks = {(1, k): source[64 * k : 64 * k + 113] for k in range(7)}
+    found = substring_dedup.parse(source[30:230], [(0, 1, 30, 151)], blocks)
+    assert substring_dedup.covered(found, 200).all() and all(n >= 50 for *_, n in found)
+    assert substring_dedup.parse(source[30:75] + [b"other"] * 10, [(0, 1, 30, 6)], blocks) == []
+
+
+# texts made so that polynomials modulo 2**64 collide
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[(bin(i).count("1") + swap) & 1] for i in range(n))
+
+
+def test_thue_morse(spark):
+    """Words, lines and sequences of words that any odd base confuses stay different."""
+    one, two = thue_morse(2048, 0), thue_morse(2048, 1)
+    rest = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, f"{one} {rest[:100]}"), (2, f"{two} {rest[:100]}"), (3, f"{one}\n{two}\n{rest}"), (4, " ".join(one)), (5, " ".join(two))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.counts(df).collect()}
+    assert got[3]["n_dup_lines"] == 0
+    assert [got[i]["n_repeat_words"] for i in (4, 5)] == [counted(" ".join(t))[4] for t in (one, two)]
+    rows = [(6, " ".join([*rest.split()[:30], one, *rest.split()[30:]])), (7, " ".join([*rest.split()[:30], two, *rest.split()[30:]]))]
+    assert all(r["n_removed"] == 0 for r in substring_dedup.removed_words(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # two documents that differ in one word only, of a set of 62: 56 shingles of 65 and no link at 95 per cent
+    assert all(r["kept"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 95).collect())
+
+
 # encoding, shards, packing
 
 
@@ -349,13 +455,13 @@ def test_piece_encoder(path, rows):
 
 
 def test_piece_encoder_with_full_memo(rows, monkeypatch):
-    monkeypatch.setattr(encoding, "MEMO", 20)
+    monkeypatch.setattr(encoding, "MEMO_BYTES", 20 * encoding.Memo.ENTRY)
     coder, fresh = encoding.PieceEncoder(BYTE_BPE), encoding.PieceEncoder(BYTE_BPE)
     texts = [t for _, t in rows]
     for part in (texts[:30], texts[30:], texts):
         a, b = coder.encode(pa.array(part, pa.string())), fresh.encode(pa.array(part, pa.string()))
         assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
-    assert len(coder.slots) <= 20
+    assert len(coder.slots.known) <= 20
 
 
 def test_wavelet_matrix():
@@ -422,6 +528,15 @@ def test_packing(docs, rows, empty, repeated):
     assert packing.pack(packing.pieces(repeated, BYTE_BPE)).count() == 5
 
 
+def test_packing_one_length(spark):
+    """All pieces have one length, in more rows than tasks."""
+    rows = spark.range(0, 3000, 1, 5).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"))
+    out = packing.pack(packing.pieces(rows, BYTE_BPE, capacity=16), 16).collect()
+    n = out[0]["length"]
+    assert {r["length"] for r in out} == {n} and len({(r["sequence_id"], r["offset"]) for r in out}) == len(out) == 3000
+    assert len({r["sequence_id"] for r in out}) == -(-3000 // (16 // n))
+
+
 def test_two_fit_beats_greedy():
     counts = np.zeros(11, int)
     counts[[6, 3, 2]] = [1, 1, 2]  # greedy: 6+3, 2+2; a pair of twos fits the widened gap exactly
@@ -467,6 +582,25 @@ def test_min_cut_is_minimal():
         assert abs(price(html_text.min_cut(costs, ties).tolist()) - best) < 1e-9
 
 
+def test_html_held_out_pages():
+    """Block labels of pages of other styles, most without names of containers."""
+    held = (
+        "<table><tr><td><a>-W W</a></td></tr></table><div><h1>+W W W</h1>+S S S<p>+S S</p><p>+S S S</p></div><p><a>-W W</a></p>",
+        "<div><p><a>-W</a></p><p><a>-W W</a></p></div><h2>+W W W</h2><p>+S S S S</p><p>+S S</p><dl><dt>+S<dd>+S S</dl><p>+S S</p><ul><li><a>-W W</a></ul>",
+        "<section><p>+S S</p><p>+S</p><p>+S S S</p></section><section><a>-W</a> <a>W W</a></section><div class=promo>-S S</div>",
+        "<div class=topbar>-W W</div><div class=entry><p>+S S</p><p>+W W</p><p>+S</p></div><div class=disqus><p>-S</p><p>-S S</p></div>",
+    )
+    x, y = html_text.labelled_blocks(10, 7, held)
+    right = ((x @ html_text.weights() > 0) == (y > 0)).mean()
+    assert right > 0.93
+
+
+def test_html_deep_and_self_closed():
+    text = "Real text stands here now. " * 6
+    assert html_text.main_text("<div>" * 20_000 + f"<p>{text}</p>" + "</div>" * 20_000 + "</b>" * 20_000) == text.strip()
+    assert html_text.main_text(f"<article><script src=x />var a = 1;</script><p>{text}</p></article>") == text.strip()
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<article><p>Text of it.</p></article>", "y")], "page_id long, url string, html string, text string")
     assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()} == {1: ("", 0), 2: ("Text of it.", 11)}
@@ -571,19 +705,18 @@ def test_edits_count_as_encoding_anew(spark, docs, rows):
 
     plain, rng = Tokenizer.from_file(BYTE_BPE), random.Random(9)
     coder = encoding.encoder(BYTE_BPE)
-    count = token_counts._counter(coder)
     for _ in range(60):
         text = prose(rng, rng.randrange(0, 400))
-        cut = token_counts.leaves(text)
-        assert "".join(cut) == text
-        tree = token_counts.CountTree(cut, count(cut), count)
+        tree = token_counts._built(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"]), coder)[0]
         for _ in range(8):
             a = rng.randrange(0, len(text) + 3)
             b = a + rng.choice((0, 0, 1, 5, 900))
-            new = rng.choice(("", " ", "x", " new words", "\n", "  ", "é", prose(rng, 150)))
+            new = rng.choice(("", " ", "x", " new words", "\n", "  ", "é", "'s", "\u0301", prose(rng, 150)))
             text = text[: min(a, len(text))] + new + text[min(b, len(text)) :]
-            assert tree.edit(a, b, new) == len(plain.encode(text, add_special_tokens=False).ids)
-            assert tree.text() == text
+            token_counts._apply([tree], [[{"start": a, "stop": b, "new": new}]], coder)
+            assert tree.total == len(plain.encode(text, add_special_tokens=False).ids) and tree.text == text
+            # every sum of the tree is right, not only the root
+            assert (tree.sums == token_counts.tree(tree.sums[:, : tree.leaves])).all()
 
 
 def test_edit_touches_little(spark, docs, rows):
@@ -592,7 +725,27 @@ def test_edit_touches_little(spark, docs, rows):
     want = {i: t or "" for i, t in rows}
     for r in token_counts.edit(state, edits, BYTE_BPE).collect():
         t = want[r["doc_id"]]
-        assert r["text"] == t[:3] + "Q" + t[4:] and sum(r["leaf_tokens"]) == r["n_tokens"]
-        if len(t) > 20_000 and not t.startswith("x x"):
-            assert r["n_encoded_chars"] < len(t) / 5
+        assert r["text"] == t[:3] + "Q" + t[4:] and r["tokens"][-1] == r["n_tokens"] == sum(r["tokens"][: r["leaves"]])
+        if len(t) > 2_000 and t.strip().count(" ") > 100:
+            assert r["n_encoded_chars"] < 100
     assert token_counts.build(spark.createDataFrame([], "doc_id long, text string"), BYTE_BPE).count() == 0
+    # an edit writes its leaves and the paths above them only
+    tree = token_counts._built(pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["word " * 100_000])], names=["doc_id", "text"]), encoding.encoder(BYTE_BPE))[0]
+    token_counts._apply([tree], [[{"start": 250_002, "stop": 250_003, "new": "x"}]], encoding.encoder(BYTE_BPE))
+    assert tree.leaves > 99_000 and tree.written < 60
+
+
+def test_edits_of_odd_rows(spark):
+    """Repeated rows, null ids and texts, null places, clashing names, edits in order and beyond the end."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BYTE_BPE)
+    rows = [(1, "a b c"), (1, "a b c"), (None, "no id"), (2, None), (3, "kept as it is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("leaves", "chars", "tokens", "edits", "edit")})
+    edits = [(1, 1, 0, 1, "first"), (1, 2, 100, 200, " end"), (None, 0, None, None, "x "), (2, 0, 0, 9, None), (2, 1, 0, 0, "new")]
+    edits = spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, new string").withColumns({c: F.lit(c) for c in ("text", "tokens", "_edited")})
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_tokens"]) for r in token_counts.edit(token_counts.build(docs, BYTE_BPE), edits, BYTE_BPE).collect())
+    want = [(0, "x no id"), (1, "first b c end"), (1, "first b c end"), (2, "new"), (3, "kept as it is")]
+    assert got == [(i, t, len(plain.encode(t, add_special_tokens=False).ids)) for i, t in want]
+    one = token_counts.count_edited(docs, BYTE_BPE, F.lit(0), F.lit(1), F.lit("Q")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in one) == sorted((i or 0, len(plain.encode("Q" + (t or "")[1:], add_special_tokens=False).ids)) for i, t in rows)
