@@ -53,6 +53,8 @@ CROWD, CROWD_ROWS = 4_096, 256
 LISTED = 512
 #: Shingles that are multiplied at once.
 COLUMNS = 4_096
+#: Ids whose edges a task contracts together.
+CONTRACTED = 500_000
 _SEEDS, _FACTORS = wh.seeds(COORDINATES, 7), wh.seeds(COORDINATES, 8) | np.uint64(1)
 
 
@@ -302,7 +304,7 @@ def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) ->
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of one partition as edges from each id to the least id that it reaches within the partition."""
+    """Edges (a, b) as edges from each id to the least id that it reaches within a run of CONTRACTED edges."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -311,6 +313,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = root[x]
         return x
 
+    def contracted() -> pa.RecordBatch:
+        ids = list(root)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["src", "dst"])
+
     for batch in batches:
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root.setdefault(x, x)
@@ -318,8 +324,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = find(x), find(y)
             if x != y:
                 root[max(x, y)] = min(x, y)
-    ids = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["src", "dst"])
+        if len(root) > CONTRACTED:
+            yield contracted()
+            root.clear()
+    yield contracted()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +48,7 @@ def tokenizer_path(name: str) -> str:
 
 @_query
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = f"{tables.shared_folder(spark)}/noria-shards-{uuid.uuid4().hex}"
+    to = tables.new_path(spark, "shards")
     wavelet.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), to)
     return wavelet.documents(wavelet.read_shards(spark, to))
 

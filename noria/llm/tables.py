@@ -1,19 +1,14 @@
-"""Intermediate tables in shared storage, and joins that survive hot keys.
-
-Lineage is cut by writing Parquet below the folder that the cluster names in
-``spark.checkpoint.dir``; every executor and the driver can read it again, so a lost executor
-costs a re-read and never a recomputation of everything before it.
-"""
+"""Joins that survive hot keys, on intermediate tables in shared storage (``noria.storage``)."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noria.storage import new_path, shared_folder, stored
+
+__all__ = ["clean_input", "new_path", "only_ids", "shared_folder", "stored", "with_group_values", "without_ids"]
+
 #: Most keys that count as hot: at most TOTAL / THRESHOLD keys can hold THRESHOLD rows or more.
 HOT_KEYS = 1_000
 #: Keys with fewer rows than this are never hot.
@@ -22,29 +17,6 @@ HOT_ROWS = 1_000
 BROADCAST_IDS = 1_000_000
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="noria-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = _own_folder()
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/noria-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_group_values(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per key in ``groups``, safe for hot keys.
 
