@@ -51,17 +51,16 @@ def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[tup
     """(index of the first row, bytes, offsets) of runs of rows with about ``size`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if not len(texts):
-        return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    whole = texts.buffers()[2]
-    data = np.frombuffer(whole, dtype=np.uint8) if whole is not None and whole.size else np.zeros(0, np.uint8)
+    upto = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))])
     row = 0
     while row < len(texts):
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        to = max(row + 1, int(np.searchsorted(upto, upto[row] + size, "right")) - 1)
         to = min(to, len(texts), row + 50_000)
-        yield row, data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
+        part = pc.fill_null(texts.slice(row, to - row), "").cast(pa.large_string())
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        whole = part.buffers()[2]
+        data = np.frombuffer(whole, np.uint8) if whole is not None and whole.size else np.zeros(0, np.uint8)
+        yield row, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         row = to
 
 
