@@ -17,7 +17,7 @@ CLAUSE = ",،;؛:–—"
 SILENT = "\"'()[]{}<>«»“”‘’-_/\\|*#"
 # Letters rewritten to one of LETTERS.
 LETTER_FROM = "أإآٱٰٲٳڤپچگکیےہەۀ"
-LETTER_TO = "اااااااف" + "بججكييههه"
+LETTER_TO = "ااااااافبججكييههه"
 INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁦⁧⁨⁩﻿­"
 ARABIC_DIGITS, PERSIAN_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹"
 # Symbols a diacritizer adds, with full-width forms.

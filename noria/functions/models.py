@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
@@ -38,3 +42,47 @@ def through_model(df: DataFrame, key: str, chunks: Column, model: Callable[[Colu
     done = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_out"))).alias("_o"))
     whole = F.when(F.exists("_o", lambda r: r["_out"].isNull()), F.lit(None)).otherwise(F.array_join(F.col("_o._out"), joiner))
     return rows.select(key).join(done, key, "left").select(key, F.when(F.col("_o").isNull(), "").otherwise(whole).alias("text"))
+
+
+def by_name(name: str) -> Callable:
+    """The function that ``package.module:function`` names; an error that says so where it can't be imported."""
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError) as e:
+        raise LookupError(f"no model {name!r}: {e}") from e
+
+
+class Cache:
+    """What ``load`` gives for a key, for the ``most`` keys used last; one for each worker."""
+
+    def __init__(self, load: Callable[[Any], Any], most: int = 8):
+        self.load, self.most, self.held = load, most, OrderedDict()
+
+    def __call__(self, key: Any) -> Any:
+        if key not in self.held:
+            self.held[key] = self.load(key)
+            if len(self.held) > self.most:
+                self.held.popitem(last=False)
+        self.held.move_to_end(key)
+        return self.held[key]
+
+
+def generated(df: DataFrame, key: str, voice: str, chunks: str, load: Callable[[], tuple[Callable[[Any], Any], Callable[[Any, str], Iterator[list[float]]]]]) -> DataFrame:
+    """key, chunk, part and samples: audio of each text chunk, part by part as the model gives it.
+
+    load() runs once per worker and returns (state of a voice, generator of parts for a state and a text). Each chunk starts
+    from the voice's own state, which is kept for the voices used last. A part is a row as soon as it is there.
+    """
+    kind = df.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state_of, speak = load()
+        states = Cache(state_of)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for c, text in enumerate(batch.column(2)[k].as_py() or ()):
+                    for n, samples in enumerate(speak(states(batch.column(1)[k].as_py()), text)):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([c], pa.int32()), pa.array([n], pa.int32()), pa.array([samples], pa.list_(pa.float32()))], names=[key, "chunk", "part", "samples"])
+
+    return df.select(key, voice, chunks).mapInArrow(run, f"{key} {kind.simpleString()}, chunk int, part int, samples array<float>")

@@ -63,6 +63,7 @@ def decimal_words(token: Column) -> Column:
 
 # ``expand`` replaces matches by computed words, rule after rule. Spark has no such replacement, and as
 # nested expressions ten rules take minutes to plan; one Arrow-batched function does it in one pass.
+# What counts as a number, a date and a time of day.
 _NUMBER = r"\d+(?:\.\d+)?"
 _AR = "؀-ۿ"
 _DMY = re.compile(r"\b(?P<d>\d{1,2})[/-](?P<m>\d{1,2})[/-](?P<y>\d{4})\b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,16 @@ def scalars(df: DataFrame, value: str) -> DataFrame:
 def limited(df: DataFrame, n: int) -> DataFrame:
     """The first n rows, all for 0."""
     return df.limit(n) if n else df
+
+
+def save_step(df: DataFrame, path: str, step: int) -> None:
+    """Write a checkpoint's rows under its step; a step written again replaces its own rows only."""
+    df.write.mode("overwrite").parquet(f"{path}/step={step}")
+
+
+def load_step(spark: SparkSession, path: str, step: int | None = None) -> DataFrame:
+    """The rows of a step, of the latest if none is given; only that step's files are read."""
+    rows = spark.read.parquet(path)
+    if step is None:
+        step = rows.agg(F.max("step").alias("s")).first()["s"]
+    return rows.where(F.col("step") == step).drop("step")

@@ -114,6 +114,18 @@ def q_normalize_numbers(spark, sf_dir):
     return ar.normalize(arabic_documents(spark, sf_dir), "t", "normal").select("doc_id", "normal")
 
 
+#: ASCII letters as the characters that unifying rewrites or drops.
+_TO_UNIFY = A.LETTER_FROM + A.ARABIC_DIGITS + A.PERSIAN_DIGITS + A.EGYPTIAN_SIGN + A.INVISIBLE + A.TATWEEL
+_ASCII = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?")[: len(_TO_UNIFY)]
+
+
+@query(f"SELECT conv_id, turn, translate(translate(text, '{_ASCII}', '{_TO_UNIFY[: len(_ASCII)]}'), '{A.ARABIC_DIGITS}{A.PERSIAN_DIGITS}{A.LETTER_FROM}{A.EGYPTIAN_SIGN}{A.INVISIBLE}{A.TATWEEL}', '01234567890123456789{A.LETTER_TO}~') AS t FROM conversations")
+def q_unify(spark, sf_dir):
+    """Texts made of the characters that the rule is for: foreign digits and letters, invisible signs, tatweel."""
+    t = table(spark, sf_dir, "conversations").withColumn("t", F.translate("text", _ASCII, _TO_UNIFY[: len(_ASCII)]))
+    return t.select("conv_id", "turn", ar.unify(F.col("t")).alias("t"))
+
+
 @query(f"WITH {_NORMAL_CTE} SELECT doc_id, normal FROM n")
 def q_normalize(spark, sf_dir):
     return normal_documents(spark, sf_dir).select("doc_id", "normal")
@@ -182,6 +194,58 @@ def q_expand(spark, sf_dir):
     return orders.select("o_orderkey", nu.expand(text).alias("said"))
 
 
+_MONTHS = "['" + "','".join(A.MONTHS) + "']"
+
+
+@query(
+    f"""WITH w AS (SELECT {_SMALL} AS s), x AS (SELECT o_orderkey, o_orderkey % 28 + 1 AS d, o_custkey % 14 AS m, 1990 + o_custkey % 30 AS y, CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '-' END AS p FROM orders),
+v AS (SELECT x.*, {duck_words('d')} AS dw, {duck_words('m')} AS mw, {duck_words('y')} AS yw FROM x, w)
+SELECT o_orderkey, 'يوم ' || CASE WHEN m BETWEEN 1 AND 12 THEN dw || ' ' || {_MONTHS}[m] || ' سنة ' || yw WHEN o_orderkey % 3 = 0 THEN yw || p || mw || p || dw ELSE dw || p || mw || p || yw END AS said FROM v"""
+)
+def q_expand_dates(spark, sf_dir):
+    """Dates in both orders and with both signs; where the month is none, plain numbers."""
+    d, m, y = F.col("o_orderkey") % 28 + 1, F.col("o_custkey") % 14, F.col("o_custkey") % 30 + 1990
+    sign = F.when(F.col("o_orderkey") % 2 == 0, "/").otherwise("-")
+    date = F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws("|", y, m, d)).otherwise(F.concat_ws("|", d, m, y))
+    text = F.concat(F.lit("يوم "), F.replace(date, F.lit("|"), sign))
+    return table(spark, sf_dir, "orders").select("o_orderkey", nu.expand(text).alias("said"))
+
+
+@query(
+    f"""WITH w AS (SELECT {_SMALL} AS s), x AS (SELECT o_orderkey, o_custkey % 27 AS h, o_orderkey % 70 AS m FROM orders), v AS (SELECT x.*, {duck_words('h')} AS hw, {duck_words('m')} AS mw FROM x, w)
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'الساعة ' WHEN h <= 24 AND m <= 59 THEN 'معاد الساعة ' ELSE 'معاد ' END || hw || CASE WHEN h <= 24 AND m <= 59 THEN CASE WHEN m > 0 THEN ' و' || mw || ' دقيقة' ELSE '' END ELSE ':' || mw END AS said FROM v"""
+)
+def q_expand_clock(spark, sf_dir):
+    """Times with and without the word for hour; what is no time is read as numbers."""
+    h, m = F.col("o_custkey") % 27, F.col("o_orderkey") % 70
+    text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "الساعة ").otherwise("معاد "), h.cast("string"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", nu.expand(text).alias("said"))
+
+
+@query(
+    f"""WITH w AS (SELECT {_SMALL} AS s), x AS (SELECT o_orderkey, o_custkey AS n, o_orderkey % 100 AS f FROM orders), v AS (SELECT x.*, {duck_words('n')} AS nw, {duck_words('f')} AS fw FROM x, w)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'سعر ' || nw || ' دولار' WHEN 1 THEN 'سعر ' || nw || ' يورو' WHEN 2 THEN 'سعر ' || nw || ' فاصلة ' || fw || ' جنيه استرليني' ELSE 'سعر دولار , ' || nw || ' قطعة' END AS said FROM v"""
+)
+def q_expand_money(spark, sf_dir):
+    """Amounts with the sign before or after, decimals, and a sign alone."""
+    n, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
+    cents = F.concat(n, F.lit("."), (F.col("o_orderkey") % 100).cast("string"))
+    text = F.when(k == 0, F.concat(F.lit("سعر $"), n)).when(k == 1, F.concat(F.lit("سعر "), n, F.lit(" €"))).when(k == 2, F.concat(F.lit("سعر £ "), cents)).otherwise(F.concat(F.lit("سعر $ , "), n, F.lit(" قطعة")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", nu.expand(text).alias("said"))
+
+
+@query(
+    f"""WITH w AS (SELECT {_SMALL} AS s), x AS (SELECT o_orderkey, CAST(floor(o_totalprice * 37) AS BIGINT) AS n, o_custkey % 977 AS f FROM orders), v AS (SELECT x.*, {duck_words('n')} AS nw, {duck_words('f')} AS fw FROM x, w)
+SELECT o_orderkey, 'عدد ' || nw || CASE WHEN o_orderkey % 3 = 2 THEN ' فاصلة ' || fw ELSE '' END || ' حبة' AS said FROM v"""
+)
+def q_expand_separators(spark, sf_dir):
+    """Both thousands separators, the Arabic decimal sign, and letters that touch digits."""
+    n, k = F.floor(F.col("o_totalprice") * 37), F.col("o_orderkey") % 3
+    grouped = F.format_number(n, 0)
+    number = F.when(k == 0, grouped).when(k == 1, F.replace(grouped, F.lit(","), F.lit("٬"))).otherwise(F.concat(grouped, F.lit("٫"), (F.col("o_custkey") % 977).cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", nu.expand(F.concat(F.lit("عدد"), number, F.lit("حبة"))).alias("said"))
+
+
 # tokens
 
 _VOCABULARY = "MAP {" + ", ".join(f"'{t}': {i}" for i, t in enumerate(A.vocabulary())) + "}"

@@ -106,3 +106,15 @@ def plain(value: Any) -> Any:
 def dump(value: Any) -> str:
     """Indented JSON (which is YAML, too), keys in their order, text as it is."""
     return json.dumps(plain(value), ensure_ascii=False, indent=2)
+
+
+def model_config(base: Mapping[str, Any], vocabulary: int, root: str = "", size: str = "model.vocab_size", paths: Sequence[str] = ()) -> dict[str, Any]:
+    """``base`` for a vocabulary of so many tokens, with the values at ``paths`` relative to ``root``."""
+    out = overridden(base, {size: vocabulary})
+    for path in paths:
+        *parents, leaf = path.split(".")
+        node = out
+        for key in parents:
+            node = node[key]
+        out = overridden(out, {path: str(node[leaf]).removeprefix(root.rstrip("/") + "/")})
+    return out

@@ -312,3 +312,27 @@ def test_stop_on_file(spark, tmp_path):
     stream = spark.readStream.schema("a int").json(str(tmp_path / "in"))
     query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
     assert incremental.stop_on_file(query, str(tmp_path / "stop"), 0.1) and not query.isActive
+
+
+def test_checkpoints_and_model_config(spark, tmp_path):
+    for step in (10, 9):
+        weights.save_step(spark.range(step), str(tmp_path / "c"), step)
+    assert weights.load_step(spark, str(tmp_path / "c")).count() == 10 and weights.load_step(spark, str(tmp_path / "c"), 9).count() == 9
+    base = {"model": {"vocab_size": 1, "weights": "/data/m/w.bin"}}
+    assert config.model_config(base, 53, "/data/m", paths=["model.weights"]) == {"model": {"vocab_size": 53, "weights": "w.bin"}}
+
+
+def test_generator_starts_each_chunk_from_the_voice(spark):
+    def load():
+        def speak(state, text):
+            for i, _ in enumerate(text):
+                yield [float(state["n"]), float(i)]
+
+        return (lambda voice: {"n": len(voice)}), speak
+
+    rows = spark.createDataFrame([(1, "aa", ["xy", "z"]), (2, "b", None), (3, "b", ["w"])], "id long, voice string, chunks array<string>")
+    got = sorted((r["id"], r["chunk"], r["part"], r["samples"]) for r in models.generated(rows, "id", "voice", "chunks", load).collect())
+    assert got == [(1, 0, 0, [2.0, 0.0]), (1, 0, 1, [2.0, 1.0]), (1, 1, 0, [2.0, 0.0]), (3, 0, 0, [1.0, 0.0])]
+    assert models.by_name("math:sqrt")(4) == 2
+    with pytest.raises(LookupError):
+        models.by_name("no_such_package:f")
