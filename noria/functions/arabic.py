@@ -16,13 +16,23 @@ from pyspark.sql.types import StringType
 
 from . import alphabet as A
 
-_L, _M, _V = A.LETTERS, A.MARKS, A.VOWELS
+_M = A.MARKS
 _SPACES = "(?U)[\\s\\x1c-\\x1f]"
 
 
 def quoted(chars: str) -> str:
-    """chars for a regular expression's class."""
-    return "".join("\\" + c if c in "\\[]^-&" else c for c in chars)
+    """chars for a regular expression's class, as ranges of code points: Java tests a class of single letters one by one."""
+    codes, out = sorted(set(map(ord, chars))), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+#: For classes of regular expressions.
+_L, _MS, _V, _D = (quoted(x) for x in (A.LETTERS, A.MARKS, A.VOWELS, A.DIACRITICS))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -48,7 +58,7 @@ def composed(text: Column, form: str = "NFKC") -> Column:
 
     ASCII, the letters and single marks are in normal form; two marks in a row may be put in order.
     """
-    may_change = text.rlike(f"[^\\x00-\\x7F{_L}{A.DIACRITICS}]|[{A.DIACRITICS}]{{2}}")
+    may_change = text.rlike(f"[^\\x00-\\x7F{_L}{_D}]|[{_D}]{{2}}")
     return F.when(may_change, _composer(form)(F.when(may_change, text))).otherwise(text)
 
 
@@ -60,7 +70,7 @@ def unify(text: Column) -> Column:
 
 def clusters(text: Column) -> Column:
     """Characters with the marks that follow each."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).[{quoted(_M)}]*"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?s).[{_MS}]*"), F.lit(0))
 
 
 def canonical_marks(cluster: Column) -> Column:
@@ -77,9 +87,9 @@ def canonicalize(text: Column) -> Column:
 
 
 def _canonicalized(text: Column) -> Column:
-    parts = F.regexp_extract_all(text, F.lit(f"(?s)[{_L}][{quoted(_M)}]+|[{_L}]+(?![{quoted(_M)}])|[^{_L}]+"), F.lit(0))
-    fixed = F.transform(parts, lambda s: F.when(s.rlike(f"^[{_L}][{quoted(_M)}]"), F.concat(F.substring(s, 1, 1), canonical_marks(s))).when(s.rlike(f"^[{_L}]"), s).otherwise(F.translate(s, _M, "")))
-    return F.when(text.rlike(f"[{quoted(_M)}]"), F.array_join(fixed, "")).otherwise(text)
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)[{_L}][{_MS}]+|[{_L}]+(?![{_MS}])|[^{_L}]+"), F.lit(0))
+    fixed = F.transform(parts, lambda s: F.when(s.rlike(f"^[{_L}][{_MS}]"), F.concat(F.substring(s, 1, 1), canonical_marks(s))).when(s.rlike(f"^[{_L}]"), s).otherwise(F.translate(s, _M, "")))
+    return F.when(text.rlike(f"[{_MS}]"), F.array_join(fixed, "")).otherwise(text)
 
 
 def strip_marks(text: Column) -> Column:
@@ -87,20 +97,20 @@ def strip_marks(text: Column) -> Column:
 
 
 def has_marks(text: Column) -> Column:
-    return text.rlike(f"[{A.DIACRITICS}]")
+    return text.rlike(f"[{_D}]")
 
 
 def clean_characters(text: Column) -> Column:
     """Letters and marks stay; white space, sentence ends and clause marks become ' ', ' . ' and ' , '; other marks go; the rest is a space."""
     text = F.regexp_replace(text, f"[{quoted(A.SENTENCE_END)}]", " . ")
     text = F.regexp_replace(text, f"[{quoted(A.CLAUSE)}]", " , ")
-    text = F.regexp_replace(text, f"[\\p{{Mn}}&&[^{_L}{quoted(_M)}]]", "")
-    return F.regexp_replace(text, f"[^{_L}{quoted(_M)} .,]", " ")
+    text = F.regexp_replace(text, f"[\\p{{Mn}}&&[^{_L}{_MS}]]", "")
+    return F.regexp_replace(text, f"[^{_L}{_MS} .,]", " ")
 
 
 def dropped_characters(text: Column) -> Column:
     """What cleaning replaces though it is no space, known sign or punctuation; in order, with repeats."""
-    return F.regexp_extract_all(text, F.lit(f"(?U)[^{_L}{quoted(_M)}\\s\\x1c-\\x1f{quoted(A.SENTENCE_END + A.CLAUSE + A.SILENT)}\\p{{Mn}}\\p{{P}}]"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?U)[^{_L}{_MS}\\s\\x1c-\\x1f{quoted(A.SENTENCE_END + A.CLAUSE + A.SILENT)}\\p{{Mn}}\\p{{P}}]"), F.lit(0))
 
 
 def collapse(text: Column) -> Column:
@@ -116,8 +126,8 @@ def tidy_punctuation(text: Column) -> Column:
 
 def restore_in_text(text: Column, lexicon: Column) -> Column:
     """The last ه of words whose bare form is in the lexicon (array of strings) becomes ة; marks stay."""
-    word = f"[{_L}{quoted(_M)}]+"
-    parts = F.regexp_extract_all(text, F.lit(f"{word}|[^{_L}{quoted(_M)}]+"), F.lit(0))
+    word = f"[{_L}{_MS}]+"
+    parts = F.regexp_extract_all(text, F.lit(f"{word}|[^{_L}{_MS}]+"), F.lit(0))
 
     def fixed(known: Column) -> Column:
         return F.transform(parts, lambda s: F.when(s.contains(A.HA) & F.array_contains(known, strip_marks(s)), F.regexp_replace(s, f"{A.HA}([^{A.HA}]*)$", A.TA_MARBUTA + "$1")).otherwise(s))
