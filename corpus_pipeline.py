@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences: five stages, each one operator of ``noria.llm``.
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame, written as Parquet and
-read again as the next stage's documents. All but the last return the columns of documents.
+read again as the next stage's documents. All but the last return the columns of documents, extra ones included, whatever
+their names. A stage that an empty table reaches gives an empty table.
+
+A null text is empty: the quality rules reject it, as they do texts of under 20 words. Verdicts are by doc_id: repeated
+rows of a document stay or go together, rows without doc_id pass the first three stages and are packed. Of equal texts the
+largest doc_id stays, of near copies the smallest, so ties don't occur. Very long texts are handled whole.
 """
 
 from __future__ import annotations
