@@ -4,7 +4,8 @@ Rows are grouped by the MD5 of the normalised text together with the text itself
 aggregation meets copies inside each task first, comparing bytes, so a group of copies of any size
 reaches the shuffle as one row per task and two texts that collide in the hash stay apart. Then
 each row looks its group up by hash alone; only hashes that hold several texts (none, but for a
-collision) are looked up by text. The lookup treats hot hashes apart.
+collision) are looked up by the text's SHA-256 as well. The lookup treats hot hashes apart. Very long texts
+are grouped whole.
 
 Null text counts as empty. Rows that repeat a doc_id are the same document and share a verdict.
 A null doc_id is smaller than any other and, alone in its group, stays. An empty table gives an
