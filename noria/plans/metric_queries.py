@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noria.functions import vectors as ve
-from noria.operators import metrics
+from noria.operators import latents, metrics, weights
 
 from .registry import query, table
 from .sequence_queries import _E, _TRACK, track, vectors
@@ -39,9 +39,8 @@ def q_flow_loss(spark, sf_dir):
     """A point between noise and data at time t, held against the flow's target (the point itself as prediction)."""
     t, s = (F.col("vec_id") % 10) / 10.0, 1e-5
     x0, x1 = F.slice("v", 1, 32), F.slice("v", 33, 32)
-    point = F.zip_with(x0, x1, lambda a, b: (1 - (1 - s) * t) * a + t * b)
-    target = F.zip_with(x0, x1, lambda a, b: b - (1 - s) * a)
-    return vectors(spark, sf_dir).select("vec_id", F.round(ve.squared_distance(point, target) / 32, 5).alias("loss"))
+    loss = latents.flow_loss(latents.flow_point(x0, x1, t, s), x0, x1, s)
+    return vectors(spark, sf_dir).select("vec_id", F.round(loss, 5).alias("loss"))
 
 
 @query("SELECT round(avg(m), 6) AS metric FROM (SELECT avg(m) AS m FROM (SELECT user_id % 4 AS r, user_id, avg(value) AS m FROM events GROUP BY ALL) GROUP BY r)")
@@ -97,8 +96,7 @@ def q_latest_step(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
 def q_retention(spark, sf_dir):
     """The newest three of each customer stay."""
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, sf_dir, "orders").withColumn("_n", F.row_number().over(newest)).where("_n <= 3").select("o_orderkey", "o_custkey")
+    return weights.newest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT event_type AS tag, count(*) AS n, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS steps, round(arg_max(value, event_id), 6) AS last FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'::DOUBLE GROUP BY event_type")
@@ -112,17 +110,15 @@ def q_scalars(spark, sf_dir):
 def q_select_layers(spark, sf_dir):
     """Of 24 layers the bottom half and the top half of n."""
     n = spark.range(1, 25).select(F.col("id").alias("n"))
-    bottom = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 2) - 1)
-    top = F.when(F.col("n") >= 2, F.sequence(24 - F.expr("n div 2"), F.lit(23).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return n.select("n", F.explode(F.concat(bottom, top)).alias("layer"))
+    return n.select("n", F.explode(weights.selected_layers(F.lit(24), F.col("n"))).alias("layer"))
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(o.o_totalprice, l.l_extendedprice) AS weight FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus = l.l_linestatus")
 def q_key_match(spark, sf_dir):
     """Values matched on a composite key; matched ones override."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    joined = li.join(o, (o["o_orderkey"] == li["l_orderkey"]) & (o["o_orderstatus"] == li["l_linestatus"]), "left")
-    return joined.select("l_orderkey", "l_linenumber", F.coalesce("o_totalprice", "l_extendedprice").alias("weight"))
+    base = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("key"), F.col("l_linestatus").alias("shape"), F.col("l_extendedprice").alias("value"))
+    other = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("shape"), F.col("o_totalprice").alias("value"))
+    return weights.matched(base, other, ["key", "shape"]).select("l_orderkey", "l_linenumber", F.col("value").alias("weight"))
 
 
 @query("SELECT l.doc_id, CAST(d.n_chars AS BIGINT) AS n_chars FROM labels l JOIN documents d USING (doc_id) WHERE starts_with(d.source, 'src1')")

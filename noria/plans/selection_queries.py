@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noria.functions import arabic as ar
-from noria.operators import samples
+from noria.operators import samples, weights
 from noria.operators import votes as vo
 from noria.operators.ordering import running_number
 
@@ -65,14 +65,12 @@ def q_override(spark, sf_dir):
 def q_layer_rename(spark, sf_dir):
     """Keys of the selected layers, numbered anew."""
     keys = spark.range(24).select(F.explode(F.array(F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".w")), F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".b")))).alias("old"))
-    parts = keys.select("old", F.regexp_extract("old", r"^layers\.(\d+)\.", 1).cast("long").alias("layer"), F.regexp_extract("old", r"^layers\.\d+\.(.*)$", 1).alias("rest"))
-    chosen = spark.createDataFrame([(layer, i) for i, layer in enumerate([0, 1, 2, 21, 22, 23])], "layer long, i int")
-    return parts.join(F.broadcast(chosen), "layer").select("old", F.concat(F.lit("layers."), F.col("i").cast("string"), F.lit("."), F.col("rest")).alias("new"))
+    return weights.renamed_layers(keys, "old", [0, 1, 2, 21, 22, 23]).select("old", "new")
 
 
 @query("SELECT count(*) AS unexpected FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
 def q_unexpected_keys(spark, sf_dir):
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id", "left_anti").select("doc_id").distinct().agg(F.count(F.lit(1)).alias("unexpected"))
+    return weights.unexpected(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id").agg(F.count(F.lit(1)).alias("unexpected"))
 
 
 @query("SELECT CAST(e AS BIGINT) AS epoch, conv_id, turn FROM conversations, range(3) r(e)")
