@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .workers import Memo, give_back
+from .workers import Memo, held
 
 #: Bytes of atoms that a worker remembers.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 96 << 20
 #: Bytes of text for one call of the library, whose results take many times as much.
 CALL_BYTES = 1 << 16
 _WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -229,7 +229,7 @@ def _calls(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
-def by_size(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes of text; one longer text is alone."""
     length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     upto, at = np.concatenate([[0], np.cumsum(length)]), 0
@@ -239,13 +239,10 @@ def by_size(batch: pa.RecordBatch, column: int, size: int = 2 << 20) -> Iterator
         at = to
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a tokenizer file; a worker holds one."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        give_back()
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    known = held("encoder")
+    if path not in known:
+        known.clear()
+        known[path] = PieceEncoder(path)
+    return known[path]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .encoding import by_size, joined
 from .tables import clean_input
-from .workers import Memo, give_back, tidy
+from .workers import Memo, held, tidy
 
 MARK = "▁"
 _RAW_MARK = MARK.encode()
@@ -308,16 +308,13 @@ class Pieces:
         return np.delete(data, drop), ends - np.searchsorted(drop, ends)
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def loaded(path: str) -> Pieces:
     """This worker's pieces of a model file; a worker holds those of one."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        give_back()
-        _LOADED[path] = Pieces.from_file(path)
-    return _LOADED[path]
+    known = held("pieces")
+    if path not in known:
+        known.clear()
+        known[path] = Pieces.from_file(path)
+    return known[path]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -331,7 +328,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[key, "ids"])
 
     rows = clean_input(docs, key, "text")
-    return rows.mapInArrow(tidy(run), f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(tidy(run, "pieces"), f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -348,7 +345,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     rows = clean_input(encoded, key, "ids")
-    return rows.mapInArrow(tidy(run), f"{key} {rows.schema[key].dataType.simpleString()}, text string")
+    return rows.mapInArrow(tidy(run, "pieces"), f"{key} {rows.schema[key].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -369,4 +366,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 columns = [pa.array(np.diff(offsets)), pa.array(np.diff(bytes_)), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=["doc_id", "n_pieces", "n_bytes", "ids_crc32", "exact"])
 
-    return clean_input(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, exact boolean")
+    return clean_input(docs, "doc_id", "text").mapInArrow(tidy(run, "pieces"), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, exact boolean")

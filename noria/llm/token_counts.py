@@ -164,7 +164,7 @@ def build(docs: DataFrame, tokenizer: str) -> DataFrame:
             for some in by_size(batch, 1):
                 yield pa.RecordBatch.from_arrays(_state(some.column(0), _built(some, coder)), names=_names(STATE))
 
-    return clean_input(docs, "doc_id", "text").mapInArrow(tidy(run), STATE)
+    return clean_input(docs, "doc_id", "text").mapInArrow(tidy(run, "encoder"), STATE)
 
 
 def edit(state: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
@@ -187,7 +187,7 @@ def edit(state: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
                 extra = ([t.total for t in trees], before, [t.encoded_chars for t in trees])
                 yield pa.RecordBatch.from_arrays([*_state(some.column(0), trees), *(pa.array(x, pa.int64()) for x in extra)], names=_names(_EDITED))
 
-    return rows.mapInArrow(tidy(run), _EDITED)
+    return rows.mapInArrow(tidy(run, "encoder"), _EDITED)
 
 
 def count_edited(docs: DataFrame, tokenizer: str, start, stop, new) -> DataFrame:
@@ -207,4 +207,4 @@ def count_edited(docs: DataFrame, tokenizer: str, start, stop, new) -> DataFrame
                 columns = (before, [t.total for t in trees], [t.encoded_chars for t in trees])
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", "n_before", "n_tokens", "n_encoded_chars"])
 
-    return docs.select("doc_id", "text", edits.alias("edit")).mapInArrow(tidy(run), "doc_id long, n_before long, n_tokens long, n_encoded_chars long")
+    return docs.select("doc_id", "text", edits.alias("edit")).mapInArrow(tidy(run, "encoder"), "doc_id long, n_before long, n_tokens long, n_encoded_chars long")

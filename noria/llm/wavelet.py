@@ -7,7 +7,7 @@ how often an id occurs in a range (count) and where (occurrences), each in one s
 compressed in chunks, so a lookup opens only the chunks that it touches.
 
 Null text is empty: the end id alone. Null doc_ids come first. Repeated doc_ids are written each,
-ordered by text hash. An empty table writes no shard. Extra columns are not read.
+ordered by text hash; equal rows in any order. Very long texts are encoded whole and have a shard of their own. An empty table writes no shard. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .encoding import by_size, encoder
 from .tables import clean_input
+from .workers import tidy
 
 MAGIC = b"WVM1"
 BLOCK_BITS = 512
 CHUNK_BYTES = 1 << 15
 #: Ids at which a shard is closed; a longer document has a shard of its own.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
 
 
 class WaveletMatrix:
@@ -198,7 +199,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
         if rows:
             yield _shard(part, seq, rows, bits)
 
-    return write
+    return tidy(write, "encoder")
 
 
 def write_shards(docs: DataFrame, tokenizer: str, to: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
@@ -226,7 +227,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
             matrix = WaveletMatrix.from_bytes(row["matrix"])
             ids = matrix.decode(np.dtype("<u2" if matrix.bits <= 16 else "<u4")).astype("<u4")
             raw, sizes = memoryview(ids.tobytes()), np.array(row["lengths"], np.int64)
@@ -237,4 +239,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the shards' ids."""
-    return shards.select("start", "doc_ids", "lengths", "matrix").mapInArrow(_read, _DOCUMENTS)
+    return shards.select("start", "doc_ids", "lengths", "matrix").mapInArrow(tidy(_read), _DOCUMENTS)

@@ -30,10 +30,21 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow, that gives memory back when its task ends."""
+_HELD: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """What this worker keeps between tasks under a name."""
+    return _HELD.setdefault(name, {})
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow. It drops what a worker holds of other operators (all but ``keep``) before, and gives memory back after."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, what in _HELD.items():
+            if name != keep:
+                what.clear()
         try:
             yield from run(batches)
         finally:
