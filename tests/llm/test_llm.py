@@ -537,6 +537,24 @@ def test_packing_one_length(spark):
     assert len({r["sequence_id"] for r in out}) == -(-3000 // (16 // n))
 
 
+def test_plan_levels_off():
+    """The plan of 10**10 pieces is hardly larger than that of 10**7, and places each piece."""
+    share = np.exp(-((np.log(np.arange(1, 2049)) - 6.2) ** 2) / 1.6) / np.arange(1, 2049)
+    sizes = []
+    for n in (10**7, 10**10):
+        counts = np.zeros(2049, np.int64)
+        counts[1:] = share / share.sum() * n
+        fillings = packing.plan(counts, 2048)
+        placed = np.zeros(2049, np.int64)
+        for filling, times in fillings:
+            assert sum(filling) <= 2048
+            for length in filling:
+                placed[length] += times
+        assert (placed == counts).all()
+        sizes.append(sum(len(f) for f, _ in fillings))
+    assert sizes[1] < 1.2 * sizes[0] and sizes[1] < 20_000
+
+
 def test_two_fit_beats_greedy():
     counts = np.zeros(11, int)
     counts[[6, 3, 2]] = [1, 1, 2]  # greedy: 6+3, 2+2; a pair of twos fits the widened gap exactly
