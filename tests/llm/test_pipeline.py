@@ -48,9 +48,4 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text + " x", "en", "s", 1), (4, text.upper(), "en", "s", 1)]
     docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(c) for c in CLASHING})
     docs.write.parquet(str(tmp_path / "b" / "documents.parquet"))
-    state = spark.read.parquet(str(tmp_path / "b" / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        state = stage(spark, state, str(tmp_path / "b"))
-        assert state.columns == docs.columns
-    assert sorted(r["doc_id"] or 0 for r in state.collect()) == [0, 4]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "b")).collect()} == {None, 4}
