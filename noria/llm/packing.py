@@ -5,11 +5,12 @@ many pieces there are of each length, at most ``capacity`` counts however large
 plan fills a sequence greedily (longest piece that fits, again and again), then takes out its
 smallest piece if two unpacked pieces fit the widened gap more tightly, and uses the same filling as
 often as the counts allow. Each piece then finds its slot by its rank among the pieces of its length.
-Ranks come from counts per (length, salt), so a length that half of the corpus shares is spread out.
-Full pieces need no plan.
+A piece's rank is its number within the task that cut it, plus the pieces of its length that tasks
+before have, by a sum over one row per (task, length): no sort, and a length that half of the corpus shares is as
+spread out as the tasks are. The driver sees at most ``capacity`` counts.
 
 Null text is empty: its end id alone. A cut document's first piece is the shorter one. Repeated rows
-are packed each; an empty table gives an empty result; extra columns are not read.
+are packed each; an empty table gives an empty result; very long texts are encoded whole, alone in their batch; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import by_size, encoder
 from .tables import clean_input, stored
+from .workers import tidy
 
-#: Buckets in which the pieces of one length are ranked.
-SALTS = 64
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+#: task and number: the task that cut the piece, and how many of its length the task cut before.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -41,28 +43,30 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _cutter(path: str, end_id: int, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        end = np.array([end_id], "<u4")
+        end, seen, task = np.array([end_id], "<u4"), [0] * (capacity + 1), TaskContext.get().partitionId()
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
         for batch in batches:
             for some in by_size(batch, 1):
                 ids, offsets = coder.encode(some.column(1))
-                ids, out, parts = ids.astype("<u4"), [], []
+                ids, out = ids.astype("<u4"), []
                 for k, doc in enumerate(some.column(0).to_pylist()):
                     raw = np.concatenate([ids[offsets[k] : offsets[k + 1]], end])
                     for i, (s, n) in enumerate(cut(len(raw), capacity)):
                         own = raw[s : s + n].tobytes()
-                        crc = zlib.crc32(own)
-                        out.append((doc, i, s, n, crc, (crc ^ ((doc or 0) * 0x9E3779B1 + i * 0x85EBCA6B)) % SALTS))
-                        parts.append(own)
-                columns = list(zip(*out, strict=True)) if out else [()] * 6
-                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
-                names = [x.split()[0] for x in PIECES.split(", ")]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(parts, pa.binary())] if with_ids else arrays, names=[*names, "ids"] if with_ids else names)
+                        out.append((doc, i, s, n, zlib.crc32(own), task, seen[n], own))
+                        seen[n] += 1
+                columns = list(zip(*out, strict=True)) if out else [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t, _ in zip(columns, types, names, strict=False)], names=names)
 
-    return pieces
+    return tidy(pieces, "encoder")
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """One row per piece. with_ids: also the ids as little-endian unsigned 32-bit integers."""
+    """One row per piece. with_ids: also the ids as little-endian unsigned 32-bit integers.
+
+    (task, length, number) is a piece's key, so the rows of several calls can't be packed together.
+    """
     return clean_input(docs, "doc_id", "text").mapInArrow(_cutter(tokenizer, end_id, capacity, with_ids), PIECES + ", ids binary" * with_ids)
 
 
@@ -140,23 +144,25 @@ def _placer(places: dict[int, np.ndarray], names: list[str]):
                 offset[rows] = table[hit, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return place
+    return tidy(place)
 
 
 def pack(cut_up: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add sequence_id and offset to the rows of ``pieces``."""
+    """Add sequence_id and offset to the rows of ``pieces``.
+
+    Tasks get the plan's slots with their code: at most ``capacity`` lengths and a few fillings for each, whatever the corpus.
+    The join with the sums by (task, length) is Spark's choice: broadcast while that table is below Spark's limit, else a shuffle.
+    """
     cut_up = stored(cut_up, "pieces")
-    per = cut_up.groupBy("length", "salt").count().collect()  # at most capacity * SALTS small rows
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for row in per:
-        counts[row["length"], row["salt"]] = row["count"]
-    bases = np.cumsum(counts, axis=1) - counts
-    spark = cut_up.sparkSession
-    places = slots(plan(counts.sum(1), capacity))
-    rows = [(r["length"], r["salt"], int(bases[r["length"], r["salt"]])) for r in per]
-    base = spark.createDataFrame(rows, "length long, salt int, base long")
-    ranked = cut_up.join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    names = [c for c in cut_up.columns if c != "salt"]
+    per = stored(cut_up.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in per.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
+        counts[row["length"]] = row["n"]
+    places = slots(plan(counts, capacity))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task at most
+    base = per.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = cut_up.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("number"))
+    names = [c for c in cut_up.columns if c not in ("task", "number")]
     types = dict(cut_up.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in names) + ", sequence_id long, offset long"
     return ranked.select(*names, "rank").mapInArrow(_placer(places, names), schema)
