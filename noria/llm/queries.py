@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, near_dedup, packing, pieces, quality_rules, substring_dedup, tables, token_counts, url_filters, wavelet
+from . import cross_tokens, exact_dedup, fill_middle, forced_bpe, html_text, near_dedup, packing, pieces, quality_rules, substring_dedup, tables, token_counts, url_filters, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,3 +93,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     middle = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)
     return token_counts.count_edited(docs, tokenizer_path("byte_bpe_50k.json"), middle, middle + 5, F.lit(" edited words "))
+
+
+@_query
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op12_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    done = forced_bpe.decode(forced_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@_query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.restore(fill_middle.transform(_table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("text", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLE_SQL["op13_fill_middle"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, array_to_string(units[:x], '') AS pre, array_to_string(units[x + 1:y], '') AS mid, array_to_string(units[y + 1:], '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN len(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM c
+"""
