@@ -15,6 +15,7 @@ from noria.operators import alignment, cuts, manifest, metrics, ordering, sample
 from noria import storage
 from noria.operators import latents, weights
 from noria.operators import votes as vo
+from noria.functions import resampling
 from noria.sources import config, files, sinks, wav
 from noria.streaming import incremental
 
@@ -194,7 +195,7 @@ def test_wav(spark, tmp_path):
     got = np.array(rows["tone.wav"]["samples"])
     want = 0.5 * np.sin(np.arange(16000) * 2 * np.pi * 200 / 16000)
     assert len(got) == 16000 and np.abs(got - want)[100:-100].max() < 0.01
-    assert wav.resample(tone, 8000, 8000) is tone
+    assert resampling.resample(tone, 8000, 8000) is tone
 
 
 def test_models(spark):
