@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noria.operators.quantiles import exact_quantiles
+
 FRAME_RATE, MIN_CUT = 12.5, 1.0
 
 
@@ -27,7 +29,7 @@ def keep_best(rated: DataFrame, drop_worst: float, min_timed: float = 0.9) -> Da
     """Rows at or above the exact quantile of ctc_score, with enough timed words."""
     if drop_worst <= 0:
         return rated.where(F.col("timed_ratio") >= min_timed)
-    cut = rated.agg(F.percentile("ctc_score", F.lit(drop_worst)).alias("cut"))
+    cut = exact_quantiles(rated, [], "ctc_score", [drop_worst]).select(F.element_at("q", 1).alias("cut"))
     return rated.join(F.broadcast(cut), (F.col("ctc_score") >= F.col("cut")) & (F.col("timed_ratio") >= min_timed), "left_semi")
 
 
@@ -93,8 +95,8 @@ def worst(rated: DataFrame, n: int, score: str = "ctc_score", key: str = "id") -
 
 
 def quantile_line(rated: DataFrame, share: float, score: str = "ctc_score") -> DataFrame:
-    """One row: the exact quantile of the score."""
-    return rated.agg(F.percentile(score, F.lit(share)).alias("line"))
+    """One row: the exact quantile of the score; none for an empty table."""
+    return exact_quantiles(rated, [], score, [share]).select(F.element_at("q", 1).alias("line"))
 
 
 def first_audio(index: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noria.functions import vectors as ve
+from noria.operators import blocks
+from noria.operators.ordering import number_within
 
 
 def finite(df: DataFrame, value: str = "value") -> DataFrame:
@@ -20,8 +22,8 @@ def series(df: DataFrame) -> DataFrame:
 
 def smoothed(df: DataFrame, keys: list[str], order: str, value: str, k: int) -> DataFrame:
     """Means of k values in a row, full windows only."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("smooth", F.avg(value).over(w.rowsBetween(-(k - 1), 0))).where(F.col("_n") >= k).drop("_n")
+    numbered = number_within(df, keys, [order], "_n")
+    return blocks.moving_mean(numbered, keys, value, k, "smooth", "_n").drop("_n")
 
 
 def ema(values: Column, decay: float) -> Column:
@@ -29,6 +31,14 @@ def ema(values: Column, decay: float) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda s, x: decay * s + (1 - decay) * x)
 
 
+def ema_steps(df: DataFrame, keys: list[str], order: list[str], value: str, decay: float, size: int = blocks.SIZE) -> DataFrame:
+    """Rows with i, their number within the keys, and ema, the state s = d s + (1 - d) x after each, from the first value; of series of any length."""
+    rows = number_within(df, keys, order, "i")
+    first = F.col("i") == 0
+    rows = rows.withColumn("_by", F.when(first, 0.0).otherwise(decay)).withColumn("_plus", F.when(first, F.col(value)).otherwise((1 - decay) * F.col(value)))
+    return blocks.affine_scan(rows, keys, "_by", "_plus", F.lit(0.0), "ema", size=size).drop("_by", "_plus")
+
+
 def masked_mse(df: DataFrame, keys: list[str], order: str, error: str, mask: str) -> DataFrame:
     """Mean squared error under the mask shifted right by one (its first value stays); the denominator is one at least."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -34,3 +34,22 @@ def running_number(df: DataFrame, order: list[str | Column], name: str, weight:
         within = F.col("_before")
     out = rows.join(offsets, "_part").withColumn(name, F.col("_base") + within)
     return out.drop("_w", "_at", "_part", "_before", "_base")
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Number of rows of the same keys before each row in the given order, however many rows a key has.
+
+    A window by key would sort a hot key's rows in one task. Here rows are range-partitioned by keys and order together and written once with
+    their places, so that a hot key fills many partitions; then one row for each key and partition says how many rows the key has in partitions before.
+    Rows that tie are numbered in any order, each differently; null keys are one key.
+    """
+    rows = stored(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_part", F.shiftright("_at", _PLACE_BITS))
+    parts = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[f"_key_{k}" for k in keys]).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = rows["_part"] == parts["_of"]
+    for k in keys:
+        same &= rows[k].eqNullSafe(parts[f"_key_{k}"])
+    found = rows.join(parts, same).withColumn(name, F.col("_base") + F.col("_at") - F.col("_first"))
+    return found.select(*df.columns, name)

@@ -1,6 +1,7 @@
 """Tracks of frames: energy, thresholds, silent runs, scans and the refinement of boundaries.
 
-A track is rows (key, i, x). All windows are partitioned by the key; positions are distinct within it.
+A track is rows (key, i, x), i counting from 0 without gaps. Tracks of any length are worked on in blocks (``noria.operators.blocks``); only what is
+searched between two words is one group.
 """
 
 from __future__ import annotations
@@ -8,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noria.operators import blocks
+from noria.operators.quantiles import exact_quantiles
+
 
 def _own(key: str | list[str]):
     return Window.partitionBy(*([key] if isinstance(key, str) else key))
@@ -21,42 +25,56 @@ def frame_energy(samples: DataFrame, key: str, hop: int) -> DataFrame:
 
 def smooth3(track: DataFrame, key: str) -> DataFrame:
     """Centred mean of three; beyond the ends there are zeros."""
-    w = _own(key).orderBy("i").rowsBetween(-1, 1)
-    return track.withColumn("x", F.sum("x").over(w) / 3)
+    w = blocks.block_window([key]).rowsBetween(-1, 1)
+    return blocks.without_halo(blocks.with_halo(track, 1, 1).withColumn("x", F.sum("x").over(w) / 3))
 
 
-def thresholds(track: DataFrame, key: str) -> DataFrame:
-    """Silence threshold per key from the 5th and 90th percentile."""
-    p = F.percentile("x", F.array(F.lit(0.05), F.lit(0.9)))
+def thresholds(track: DataFrame, key: str, hot: bool = False) -> DataFrame:
+    """Silence threshold per key from the 5th and 90th percentile. hot: a key may have more frames than one task should sort."""
+    parts = [0.05, 0.9]
+    p = exact_quantiles(track, [key], "x", parts).withColumnRenamed("q", "p") if hot else track.groupBy(key).agg(F.percentile("x", F.array(*map(F.lit, parts))).alias("p"))
     low, high = F.element_at("p", 1), F.element_at("p", 2)
-    return track.groupBy(key).agg(p.alias("p")).select(key, F.greatest(high - 35, F.least(low + 8, high - 15)).alias("threshold"))
+    return p.select(key, F.greatest(high - 35, F.least(low + 8, high - 15)).alias("threshold"))
+
+
+def _best_run(found: DataFrame, keys: list[str], start: str, length: str) -> DataFrame:
+    best = F.max_by(F.struct(F.col(start).alias("s"), F.col(length).alias("n")), F.when(F.col(length) > 0, F.struct(length, -F.col(start))))
+    found = found.groupBy(*keys).agg(best.alias("b"))
+    return found.select(*keys, F.coalesce("b.s", F.lit(0)).cast("long").alias("start"), F.coalesce("b.n", F.lit(0)).cast("long").alias("length"))
 
 
-def longest_run(track: DataFrame, keys: list[str], flag: str) -> DataFrame:
+def longest_run(track: DataFrame, keys: list[str], flag: str, size: int = blocks.SIZE) -> DataFrame:
     """start and length of the longest run of flagged frames, the earliest of equals; (0, 0) if there is none."""
+    none = track.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"))
+    return _best_run(blocks.runs(track, keys, flag, size).unionByName(none), keys, "start", "length")
+
+
+def _searched_run(frames: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """``longest_run`` where a group is the few frames between two words."""
     w = _own(keys).orderBy("i")
-    islands = track.withColumn("_n", F.row_number().over(w)).withColumn("_r", F.row_number().over(_own([*keys, flag]).orderBy("i")))
-    runs = islands.groupBy(*keys, flag, (F.col("_n") - F.col("_r")).alias("_g")).agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("n"))
-    best = F.max_by(F.struct("start", "n"), F.when(F.col(flag), F.struct("n", -F.col("start"))))
-    found = runs.groupBy(*keys).agg(best.alias("b"))
-    return found.select(*keys, F.coalesce("b.start", F.lit(0)).cast("long").alias("start"), F.coalesce("b.n", F.lit(0)).cast("long").alias("length"))
+    islands = frames.withColumn("_n", F.row_number().over(w)).withColumn("_r", F.row_number().over(_own([*keys, flag]).orderBy("i")))
+    runs = islands.groupBy(*keys, flag, (F.col("_n") - F.col("_r")).alias("_g")).agg(F.min("i").alias("_s"), F.count_if(flag).alias("_l"))
+    return _best_run(runs, keys, "_s", "_l")
 
 
 def first_minimum(track: DataFrame, keys: list[str]) -> DataFrame:
     return track.groupBy(*keys).agg(F.min_by("i", F.struct("x", "i")).alias("at"))
 
 
-def speech_edges(track: DataFrame, key: str, flag: str, run: int, begin: Column, end: Column) -> DataFrame:
+def speech_edges(track: DataFrame, key: str, flag: str, run: int, begin: Column, end: Column, size: int = blocks.SIZE) -> DataFrame:
     """first_start: after the last silence of ``run`` frames before ``begin``; last_end: where one starts from ``end`` on.
 
     ``begin`` and ``end`` are frame numbers per row, equal within a key. Without such a silence: 0 and the number of frames.
     """
-    own = _own(key)
-    ahead = F.min(flag).over(own.orderBy("i").rowsBetween(0, run - 1))
-    behind = F.min(flag).over(own.orderBy("i").rowsBetween(-run, -1))
-    full = F.count(F.lit(1)).over(own.orderBy("i").rowsBetween(-run, -1)) == run
-    t = track.withColumn("_ahead", ahead).withColumn("_behind", behind & full)
-    found = t.groupBy(key).agg(F.min(F.when(F.col("_ahead") & (F.col("i") >= end), F.col("i"))).alias("e"), F.max(F.when(F.col("_behind") & (F.col("i") <= begin), F.col("i"))).alias("b"), F.count(F.lit(1)).alias("n"))
+    w = blocks.block_window([key])
+    full = F.count(F.lit(1)).over(w.rowsBetween(-run, -1)) == run
+    t = blocks.with_halo(track, run, run - 1, max(size, run))
+    t = t.withColumn("_ahead", F.min(flag).over(w.rowsBetween(0, run - 1))).withColumn("_behind", F.min(flag).over(w.rowsBetween(-run, -1)) & full)
+    found = blocks.without_halo(t).groupBy(key).agg(
+        F.min(F.when(F.col("_ahead") & (F.col("i") >= end), F.col("i"))).alias("e"),
+        F.max(F.when(F.col("_behind") & (F.col("i") <= begin), F.col("i"))).alias("b"),
+        F.count(F.lit(1)).alias("n"),
+    )
     return found.select(key, F.coalesce("b", F.lit(0)).alias("first_start"), F.coalesce("e", "n").alias("last_end"))
 
 
@@ -66,7 +84,7 @@ def refine(frames: DataFrame, keys: list[str], flag: str, min_run: int, hop: flo
     A silent run of ``min_run`` frames or more parts the words; else both meet in the first energy minimum.
     Pairs don't share fields, so all are done at once.
     """
-    runs = longest_run(frames, keys, flag).withColumnRenamed("start", "_s").withColumnRenamed("length", "_n")
+    runs = _searched_run(frames, keys, flag).withColumnRenamed("start", "_s").withColumnRenamed("length", "_n")
     both = runs.join(first_minimum(frames, keys), keys)
     silent = F.col("_n") >= min_run
     middle = (F.col("at") + 0.5) * hop

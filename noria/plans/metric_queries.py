@@ -77,8 +77,8 @@ def q_lr_schedule(spark, sf_dir):
 
 @query("WITH l AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda s, x: 0.9 * s + 0.1 * x), 5) AS ema FROM l")
 def q_ema(spark, sf_dir):
-    v = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    return v.select("user_id", F.round(metrics.ema(F.col("s.value"), 0.9), 5).alias("ema"))
+    steps = metrics.ema_steps(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "value", 0.9)
+    return steps.groupBy("user_id").agg(F.round(F.max_by("ema", "i"), 5).alias("ema"))
 
 
 @query(f"WITH {_TRACK} SELECT user_id, i, round(avg(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS smooth FROM tr QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i) >= 5")
