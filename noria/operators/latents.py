@@ -42,10 +42,12 @@ def with_blocks(cuts: DataFrame, blocks: DataFrame, row: str = "stitch_row") ->
     return cuts.join(blocks, row)
 
 
-def trimmed(length: Column, chance: Column, rate: float) -> Column:
-    """A prompt's length after a random trim that leaves min(length, ⌊rate⌋) frames at least. chance: uniform in [0, 1)."""
-    least = F.least(length, F.lit(int(rate)))
-    return (least + F.floor(chance * (length - least + 1))).cast("long")
+def trimmed(length: Column, chance: Column, rate: float, most: float = 0.5) -> Column:
+    """A prompt's length after a random trim of up to ``most`` seconds (rounded to frames, half to even) that leaves a second, or what there was of it. chance: uniform in [0, 1)."""
+    if most <= 0:
+        return length.cast("long")
+    drop = F.floor(chance * (round(most * rate) + 1))
+    return F.greatest(length - drop, F.least(length, F.lit(int(rate)))).cast("long")
 
 
 def standardised(latent: Column, mean: Column, std: Column) -> Column:
@@ -123,6 +125,15 @@ def ordered_pair(s: Column, t: Column) -> Column:
     return F.struct(F.least(s, t).alias("s"), F.greatest(s, t).alias("t"))
 
 
-def skip_weight(chance: Column, keep: float) -> Column:
-    """0 for a step that is skipped, else 1 / keep, so that expectations stay."""
-    return F.when(chance < keep, 1 / keep).otherwise(0.0)
+def skip_weight(chance: Column, keep: float, equal: float = 0.0, training: bool = True) -> Column:
+    """Weight of the distilled part of a loss whose other part weighs ``equal``: (1 - equal) / keep for a step that has it, 0 for one that skips it, so that
+    expectations stay. Outside training no step skips it and it weighs 1 - equal."""
+    if not training:
+        return F.lit(1.0 - equal)
+    return F.when(chance < keep, (1 - equal) / keep).otherwise(0.0)
+
+
+def skipped_loss(diagonal: Column, distilled: Column, chance: Column, keep: float, equal: float, training: bool = True) -> Column:
+    """The loss of both parts; ``distilled`` isn't needed (and may be null) where it is skipped."""
+    weight = skip_weight(chance, keep, equal, training)
+    return equal * diagonal + F.when(weight > 0, weight * distilled).otherwise(0.0)

@@ -53,3 +53,9 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str) -
         same &= rows[k].eqNullSafe(parts[f"_key_{k}"])
     found = rows.join(parts, same).withColumn(name, F.col("_base") + F.col("_at") - F.col("_first"))
     return found.select(*df.columns, name)
+
+
+def last_by(df: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+    """keys and value of the last row of each key: by the column ``order``, else as rows come in the table. Of equal places the larger value counts."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    return df.select(*keys, value, place.alias("_place")).groupBy(*keys).agg(F.max_by(value, F.struct("_place", value)).alias(value))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from noria.operators.ordering import last_by
 
-def matched(base: DataFrame, other: DataFrame, on: list[str], value: str = "value", protected: list[str] | None = None, key: str | None = None) -> DataFrame:
-    """``base`` with ``value`` from ``other`` where all of ``on`` agree, but for keys with a protected prefix."""
-    there = other.select(*on, F.col(value).alias("_other"))
+
+def matched(base: DataFrame, other: DataFrame, on: list[str], value: str = "value", protected: list[str] | None = None, key: str | None = None, order: str | None = None) -> DataFrame:
+    """``base`` with ``value`` from ``other`` where all of ``on`` agree, but for keys with a protected prefix. Of several rows of ``other`` the last counts, as ``last_by`` has it."""
+    there = last_by(other, on, value, order).withColumnRenamed(value, "_other")
     held = F.lit(False)
     for prefix in protected or []:
         held |= F.col(key or on[0]).startswith(prefix)

@@ -9,6 +9,7 @@ from noria.functions import alphabet as A
 from noria.functions import arabic as ar
 from noria.operators import cuts, manifest, samples
 from noria.operators.ordering import running_number
+from noria.sources import files
 
 from .registry import query, table
 from .text_queries import _NORMAL, LETTERED, _MC
@@ -71,6 +72,31 @@ def q_last_duplicate_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(right, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
+@query("SELECT d.doc_id AS id, coalesce(c.text, d.text) AS text FROM documents d LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id) c ON c.conv_id = d.doc_id")
+def q_last_text(spark, sf_dir):
+    """Texts by id, where an id has as many texts as its conversation has turns: the last one counts."""
+    texts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text", "turn")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return manifest.with_text(rows, texts, order="turn").select("id", "text")
+
+
+@query("SELECT doc_id FROM documents WHERE source || '/' || doc_id || '.wav' IN (SELECT d.source || '/' || (d.doc_id - d.doc_id % 2) || '.wav' FROM documents d JOIN labels USING (doc_id))")
+def q_existing_audio(spark, sf_dir):
+    """Rows whose audio, by folder and name, is in a listing: that of the even number before each labelled document, in that document's folder."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    name = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string"), F.lit(".wav"))
+    listed = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(name.alias("name"))
+    rows = docs.withColumn("audio_path", F.concat(F.lit("./"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")))
+    return files.with_existing(rows, listed).select("doc_id")
+
+
+@query(f"WITH {_CLASSIFIED} SELECT split, coalesce(reason, CASE WHEN id NOT IN (SELECT conv_id FROM conversations) THEN 'missing_audio' END, 'kept') AS reason, count(*) AS n FROM c GROUP BY ALL")
+def q_missing_audio(spark, sf_dir):
+    """As q_reject_reasons, with the last reason too: ids that no conversation has lack audio. The listing names an id once for each turn."""
+    listed = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"))
+    return manifest.reasons(manifest.classify(raw_metadata(spark, sf_dir), LIMITS, listed))
+
+
 # words with synthetic times
 
 _WORDS = """w AS (SELECT conv_id * 100 + turn AS id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM conversations),

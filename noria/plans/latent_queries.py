@@ -69,8 +69,9 @@ def _chance(key: str, seed: int):
     return samples.uniform(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-@query(f"SELECT o_orderkey, n AS before, CAST(least(n, 12) + floor(({_CHANCE.format(k='o_orderkey', s=5)}) * (n - least(n, 12) + 1)) AS BIGINT) AS after FROM (SELECT o_orderkey, o_custkey % 62 + 1 AS n FROM orders)")
+@query(f"SELECT o_orderkey, n AS before, CAST(greatest(n - floor(({_CHANCE.format(k='o_orderkey', s=5)}) * 7), least(n, 12)) AS BIGINT) AS after FROM (SELECT o_orderkey, o_custkey % 62 + 1 AS n FROM orders)")
 def q_prompt_trim(spark, sf_dir):
+    """Half a second is six frames of 12.5 a second: up to six go, and twelve stay."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 62 + 1).alias("before"))
     return rows.withColumn("after", latents.trimmed(F.col("before"), _chance("o_orderkey", 5), 12.5))
 
@@ -155,9 +156,12 @@ def q_logit_normal(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pair.alias("p")).select("event_id", F.round("p.s", 6).alias("s"), F.round("p.t", 6).alias("t"))
 
 
-@query(f"SELECT event_id, CASE WHEN {_CHANCE.format(k='event_id', s=8)} < 0.25 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM events")
+@query(f"SELECT event_id, CASE WHEN {_CHANCE.format(k='event_id', s=8)} < 0.25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight, round(0.75 * value + CASE WHEN {_CHANCE.format(k='event_id', s=8)} < 0.25 THEN value * value ELSE 0 END, 6) AS loss FROM events")
 def q_skip_weight(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", latents.skip_weight(_chance("event_id", 8), 0.25).alias("weight"))
+    """Three quarters for the part that every step has; the other quarter by a quarter of the steps."""
+    chance, value = _chance("event_id", 8), F.col("value")
+    loss = latents.skipped_loss(value, value * value, chance, 0.25, 0.75)
+    return table(spark, sf_dir, "events").select("event_id", latents.skip_weight(chance, 0.25, 0.75).alias("weight"), F.round(loss, 6).alias("loss"))
 
 
 # alignment: eight frames of eight scores, tokens 2, 5 and 3 of the words 0, 0 and 1; word 2 has none

@@ -10,7 +10,7 @@ import dataclasses
 import json
 import os
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any, TypeVar, get_type_hints
 
 from pyspark.sql import Column, SparkSession
@@ -39,40 +39,67 @@ def variables_expanded(text: Column, values: Mapping[str, str]) -> Column:
     return F.when(text.contains("${"), F.raise_error(F.concat(F.lit("unresolved variable in "), text))).otherwise(text)
 
 
+def settings(nested: Mapping[str, Any], sections: Callable[[str], bool] = lambda path: True) -> dict[str, Any]:
+    """A table of dotted path to value. Mappings at paths that are ``sections`` are gone into; an empty one is a value."""
+    table: dict[str, Any] = {}
+    todo = [("", nested)]
+    while todo:
+        prefix, section = todo.pop(0)
+        for key, value in section.items():
+            path = f"{prefix}{key}"
+            if isinstance(value, Mapping) and value and sections(path):
+                todo.append((path + ".", value))
+            else:
+                table[path] = value
+    return table
+
+
+def nested(table: Mapping[str, Any]) -> dict[str, Any]:
+    """The inverse of ``settings``."""
+    tops = dict.fromkeys(path.partition(".")[0] for path in table)
+    below = {top: {p[len(top) + 1 :]: v for p, v in table.items() if p.startswith(top + ".")} for top in tops}
+    return {top: nested(below[top]) if below[top] else table[top] for top in tops}
+
+
+def schema(kind: type) -> dict[str, type]:
+    """A table of dotted path to type of a dataclass's settings, those of dataclasses in it among them, and of these sections themselves."""
+    types = get_type_hints(kind)
+    inner = {f"{name}.{path}": t for name, own in types.items() if dataclasses.is_dataclass(own) for path, t in schema(own).items()}
+    return types | inner
+
+
+def _cast(value: Any, want: type, values: Mapping[str, str] | None) -> Any:
+    """A setting as its type wants it: variables expanded, numbers from text or other numbers, lists as tuples."""
+    read = expand_variables(value, values) if isinstance(value, str) else value
+    return {int: int, float: float}.get(want, lambda v: tuple(v) if isinstance(v, list) else v)(read)
+
+
 def coerced(kind: type[T], data: Mapping[str, Any] | None, values: Mapping[str, str] | None = None) -> T:
-    """A dataclass from a mapping: nested dataclasses, strings expanded, numbers cast, sequences as tuples; an unknown key is an error."""
-    fields, hints = {f.name for f in dataclasses.fields(kind)}, get_type_hints(kind)
-    out = {}
-    for key, value in (data or {}).items():
-        if key not in fields:
-            raise ValueError(f"unknown key {key!r} for {kind.__name__}")
-        want = hints[key]
-        if dataclasses.is_dataclass(want):
-            value = coerced(want, value, values)
-        elif isinstance(value, str):
-            value = expand_variables(value, values)
-        if want in (int, float):
-            value = want(value)
-        elif isinstance(value, list):
-            value = tuple(value)
-        out[key] = value
-    return kind(**out)
+    """A dataclass from nested mappings, by the table of its schema: unknown keys are an error, missing ones keep their defaults."""
+    types = schema(kind)
+    given = settings(data or {}, lambda path: dataclasses.is_dataclass(types.get(path)))
+    unknown = sorted(set(given) - set(types))
+    if unknown:
+        raise ValueError(f"unknown key {', '.join(unknown)} for {kind.__name__}")
+    read = {path: _cast(value, types[path], values) for path, value in given.items() if not dataclasses.is_dataclass(types[path])}
+
+    def made(section: type, prefix: str):
+        own = {f.name: prefix + f.name for f in dataclasses.fields(section)}
+        parts = {name: made(types[path], path + ".") for name, path in own.items() if dataclasses.is_dataclass(types[path]) and any(p.startswith(path + ".") for p in read)}
+        return section(**parts, **{name: read[path] for name, path in own.items() if path in read})
+
+    return made(kind, "")
 
 
 def overridden(data: Mapping[str, Any], changes: Mapping[str, Any]) -> dict[str, Any]:
-    """A copy of nested mappings with values replaced by dotted path; a path that isn't there is an error."""
-    out = json.loads(json.dumps(data))
+    """A copy of nested mappings with values, or whole sections, replaced by dotted path; a path that isn't there is an error."""
+    table = settings(data)
     for path, value in changes.items():
-        *parents, leaf = path.split(".")
-        node = out
-        for key in parents:
-            if not isinstance(node.get(key), dict):
-                raise KeyError(f"no section {key!r} (from {path!r})")
-            node = node[key]
-        if leaf not in node:
-            raise KeyError(f"no field {path!r} to override")
-        node[leaf] = value
-    return out
+        replaced = {p for p in table if p == path or p.startswith(path + ".")}
+        if not replaced:
+            raise KeyError(f"nothing at {path!r} to override")
+        table = {p: v for p, v in table.items() if p not in replaced} | {path: value}
+    return json.loads(json.dumps(nested(table)))
 
 
 def fields_overridden(setting: Column, changes: Mapping[str, Column]) -> Column:
@@ -110,11 +137,5 @@ def dump(value: Any) -> str:
 
 def model_config(base: Mapping[str, Any], vocabulary: int, root: str = "", size: str = "model.vocab_size", paths: Sequence[str] = ()) -> dict[str, Any]:
     """``base`` for a vocabulary of so many tokens, with the values at ``paths`` relative to ``root``."""
-    out = overridden(base, {size: vocabulary})
-    for path in paths:
-        *parents, leaf = path.split(".")
-        node = out
-        for key in parents:
-            node = node[key]
-        out = overridden(out, {path: str(node[leaf]).removeprefix(root.rstrip("/") + "/")})
-    return out
+    table, folder = settings(base), root.rstrip("/") + "/"
+    return overridden(base, {size: vocabulary} | {path: str(table[path]).removeprefix(folder) for path in paths})

@@ -46,8 +46,11 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, length and modificationTime of the files below a folder; their contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    """path, length, modificationTime and name (the path relative to the folder) of the files below a folder; their contents are not read."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", "modificationTime", F.substring("path", len(root) + 1, 1 << 20).alias("name"))
 
 
 def newest(spark: SparkSession, path: str, pattern: str) -> str | None:
@@ -57,15 +60,27 @@ def newest(spark: SparkSession, path: str, pattern: str) -> str | None:
 
 
 def with_existing(rows: DataFrame, files: DataFrame, path: str = "audio_path") -> DataFrame:
-    """The rows whose file is in the listing; a semi join, not a look at each file."""
-    name = F.regexp_extract(F.col("path"), "([^/]*)$", 1)
-    return rows.join(files.select(name.alias("_name")).distinct(), F.regexp_extract(F.col(path), "([^/]*)$", 1) == F.col("_name"), "left_semi")
+    """The rows whose file is in the listing, by its path relative to the listing's folder; a semi join, not a look at each file."""
+    names = files.select(F.col("name").alias("_name")).distinct()
+    return rows.join(names, F.regexp_replace(path, r"^(\./)+", "") == F.col("_name"), "left_semi")
+
+
+#: Bytes at the end of a log that are looked at.
+TAIL_BYTES = 200_000
 
 
 def tail(spark: SparkSession, path: str, n: int) -> list[str]:
-    """The last n lines of a log. Line numbers are Spark's, so only n lines reach the driver."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    return [r["value"] for r in reversed(lines.orderBy(F.desc("_at")).limit(n).collect())]
+    """The last n lines of the last TAIL_BYTES of a log; bytes that aren't UTF-8 become U+FFFD. The rest of the file isn't read."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.open(there)
+    try:
+        stream.seek(max(0, fs.getFileStatus(there).getLen() - TAIL_BYTES))
+        held = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
+    finally:
+        stream.close()
+    lines = bytes(held).decode("utf-8", "replace").splitlines()
+    return lines[-n:] if n > 0 else []
 
 
 class Layout:

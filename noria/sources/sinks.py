@@ -23,15 +23,16 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One file with this text, replaced as a whole."""
+    """One file with this text. It takes the place of an older one in one step, so that a reader finds the old or the new."""
     there, fs = _file_system(spark, path)
     beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(there, False)
-    if not fs.rename(beside, there):
-        raise OSError(f"can't write {path}")
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = overwrite
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(there).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(there), how)
 
 
 def write_json(spark: SparkSession, path: str, value: Any) -> None:

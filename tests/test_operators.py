@@ -1,5 +1,6 @@
 """Operators against plain loops and hand-made inputs."""
 
+import dataclasses
 import json
 import random
 
@@ -94,6 +95,32 @@ def test_countdown(spark):
     assert [r[0] for r in df.select(alignment.countdown(F.col("x"), 1.0, 2)).collect()] == [3, 2, 0]
 
 
+def test_repeated_ids_on_the_right(spark):
+    rows = spark.createDataFrame([("a", "old", 1), ("b", "old", 2), ("b", "older", 3)], "id string, text string, n int")
+    texts = spark.createDataFrame([("a", "x", 1), ("a", "z", 3), ("a", "y", 2), ("c", "w", 1)], "id string, text string, seq int")
+    got = sorted((r["id"], r["text"], r["n"]) for r in manifest.with_text(rows, texts, order="seq").collect())
+    assert got == [("a", "z", 1), ("b", "old", 2), ("b", "older", 3)]
+    in_order = manifest.with_text(rows, texts.coalesce(1)).where("id = 'a'").collect()
+    assert [r["text"] for r in in_order] == ["y"]
+    base = spark.createDataFrame([("k", 1.0), ("l", 2.0)], "key string, value double")
+    other = spark.createDataFrame([("k", 5.0, 1), ("k", 4.0, 2)], "key string, value double, seq int")
+    assert sorted(tuple(r) for r in weights.matched(base, other, ["key"], order="seq").collect()) == [("k", 4.0), ("l", 2.0)]
+    raw = spark.createDataFrame([("a", "ابجد هوز حطي", 2.0, None, None, "train")], "id string, raw_text string, duration double, confidence double, promo boolean, split string")
+    assert manifest.classify(raw, existing=spark.createDataFrame([("a",), ("a",)], "id string")).count() == 1
+
+
+def test_trims_and_skips(spark):
+    df = spark.createDataFrame([(n, c) for n in (1, 12, 14, 62) for c in (0.0, 0.5, 0.999)], "n int, c double")
+    kept = {(r["n"], r["c"]): r["k"] for r in df.select("n", "c", latents.trimmed(F.col("n"), F.col("c"), 12.5).alias("k")).collect()}
+    assert kept == {(n, c): max(n - int(c * 7), min(n, 12)) for n in (1, 12, 14, 62) for c in (0.0, 0.5, 0.999)} and kept[62, 0.999] == 56
+    assert sorted(r["k"] for r in df.select(latents.trimmed(F.col("n"), F.col("c"), 12.5, 0.0).alias("k")).distinct().collect()) == [1, 12, 14, 62]
+    w = df.select(latents.skip_weight(F.col("c"), 0.5, 0.75).alias("w")).distinct().collect()
+    assert sorted(r["w"] for r in w) == [0.0, 0.5]
+    loss = df.where("n = 1").select("c", latents.skipped_loss(F.lit(2.0), F.when(F.col("c") < 0.5, 8.0), F.col("c"), 0.5, 0.75).alias("l")).collect()
+    assert {r["c"]: r["l"] for r in loss} == {0.0: 5.5, 0.5: 1.5, 0.999: 1.5}
+    assert df.select(latents.skip_weight(F.col("c"), 0.5, 0.75, training=False)).distinct().collect()[0][0] == 0.25
+
+
 def test_manifest_order(spark):
     rows = [("a", "ابجد هوز حطي", 2.0, None, None), ("b", "ابجد هوز حطي", 2.0, 0.1, True), ("c", "ابجد هوز حطي", 2.0, 0.1, False), ("d", "ابجد هوز حطي", 99.0, 1.0, False), ("e", "ابجد هوز حطي +", 2.0, 1.0, False), ("f", "ابجدهوز حطي", 2.0, 1.0, False), ("g", "ابجد هوز حطي", 19.0, 1.0, False), ("h", "ابجد هوز حطي", 1.5, 1.0, False), ("i", None, 2.0, 1.0, False), ("j", "ابجد هوز حطي", None, 1.0, False)]
     raw = spark.createDataFrame(rows, "id string, raw_text string, duration double, confidence double, promo boolean").withColumn("split", F.lit("train"))
@@ -181,8 +208,16 @@ def test_files(spark, tmp_path):
         (tmp_path / f"step_{n:03}.pt").write_text("x")
     assert files.newest(spark, str(tmp_path), "step_*.pt").endswith("step_020.pt")
     assert files.newest(spark, str(tmp_path), "none*.pt") is None
-    refs = spark.createDataFrame([("x/step_001.pt",), ("x/none.pt",)], "audio_path string")
-    assert files.with_existing(refs, files.listing(spark, str(tmp_path), "*.pt")).count() == 1
+    for folder in ("train", "dev"):
+        (tmp_path / "a" / folder).mkdir(parents=True)
+        (tmp_path / "a" / folder / f"{folder} 1.wav").write_text("x")
+    (tmp_path / "a" / "train" / "2.wav").write_text("x")
+    refs = spark.createDataFrame([("train/2.wav",), ("./train/2.wav",), ("dev/2.wav",), ("2.wav",), ("dev/dev 1.wav",), ("train/dev 1.wav",), (None,)], "audio_path string")
+    there = files.with_existing(refs, files.listing(spark, str(tmp_path / "a"), "*.wav"))
+    assert sorted(r["audio_path"] for r in there.collect()) == ["./train/2.wav", "dev/dev 1.wav", "train/2.wav"]
+    log = tmp_path / "long.txt"
+    log.write_bytes(b"first\n" + b"x" * 300_000 + b"\nb\xffd\r\nlast")
+    assert files.tail(spark, str(log), 2) == ["b\ufffdd", "last"] and len(files.tail(spark, str(log), 9)) == 3 and files.tail(spark, str(log), 0) == []
     assert files.Layout("/d").work("manifest", "dev") == "/d/work/manifest/split=valid"
 
 
@@ -223,24 +258,32 @@ def test_learning_rates(spark, cosine):
     assert rows[0]["lr"] == 0.1 and rows[9]["lr"] == 1.0 and (rows[99]["lr"] < 0.2) == cosine
 
 
+@dataclasses.dataclass
+class Inner:
+    steps: int = 1
+    rates: tuple = ()
+
+
+@dataclasses.dataclass
+class Outer:
+    name: str = ""
+    lr: float = 0.0
+    inner: Inner = dataclasses.field(default_factory=Inner)
+    free: dict = dataclasses.field(default_factory=dict)
+
+
 def test_config(spark, tmp_path):
-    import dataclasses
-
-    @dataclasses.dataclass
-    class Inner:
-        steps: int = 1
-        rates: tuple = ()
-
-    @dataclasses.dataclass
-    class Outer:
-        name: str = ""
-        lr: float = 0.0
-        inner: Inner = dataclasses.field(default_factory=Inner)
-
-    Outer.__annotations__["inner"] = Inner
-    Inner.__annotations__["steps"], Outer.__annotations__["lr"] = int, float
-    got = config.coerced(Outer, {"name": "${A}/x", "lr": "1e-3" and 1, "inner": {"steps": 5.0, "rates": [1, 2]}}, {"A": "here"})
-    assert got.name == "here/x" and got.lr == 1.0 and got.inner.steps == 5 and got.inner.rates == (1, 2)
+    got = config.coerced(Outer, {"name": "${A}/x", "lr": "1e-3", "inner": {"steps": "5", "rates": [1, 2]}, "free": {"any": {"k": 1}}}, {"A": "here"})
+    assert got == Outer("here/x", 0.001, Inner(5, (1, 2)), {"any": {"k": 1}})
+    assert config.coerced(Outer, {"lr": 1, "inner": {}}) == Outer(lr=1.0) and isinstance(config.coerced(Outer, {"lr": 1}).lr, float)
+    assert config.coerced(Outer, None) == Outer()
+    assert config.schema(Outer) == {"name": str, "lr": float, "inner": Inner, "free": dict, "inner.steps": int, "inner.rates": tuple}
+    with pytest.raises(ValueError, match="unknown key inner.stps"):
+        config.coerced(Outer, {"inner": {"stps": 1}})
+    with pytest.raises(ValueError):
+        config.coerced(Outer, {"lr": "fast"})
+    assert config.nested(config.settings({"a": {"b": {}, "c": {"d": [1]}}, "e": None})) == {"a": {"b": {}, "c": {"d": [1]}}, "e": None}
+    assert config.overridden({"a": {"b": 1, "c": 2}}, {"a": {"d": 3}}) == {"a": {"d": 3}}
     with pytest.raises(ValueError, match="unknown key"):
         config.coerced(Outer, {"nme": 1})
     with pytest.raises(ValueError, match="unresolved"):
@@ -250,7 +293,9 @@ def test_config(spark, tmp_path):
     for path in ("model.width", "mode.layers", "x.y"):
         with pytest.raises(KeyError):
             config.overridden(base, {path: 1})
-    sinks.write_json(spark, str(tmp_path / "c.json"), base)
+    for value in ({}, base):  # the second takes the place of the first
+        sinks.write_json(spark, str(tmp_path / "c.json"), value)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["c.json"]
     assert config.load(spark, str(tmp_path / "c.json")) == base
     with pytest.raises(Exception, match="unresolved"):
         spark.range(1).select(config.variables_expanded(F.lit("${A}${B}"), {"A": "1"})).collect()
