@@ -1,16 +1,18 @@
 """Alignment of two tokenizers over the same bytes.
 
-Each text, with a space before it, is encoded by A (byte-level BPE) and B (SentencePiece, which adds that space itself). The
-tokens of a block of documents are two tables of byte intervals in a DuckDB inside the task: groups are window sums
-over the ends that both have; the tokens of B that a token of A overlaps are found by two ASOF joins (the first and
-the last) and a range join between them. A block counts for each pair of ids how many of its documents hold it linked.
+Each text, with a space before it, is encoded by A (byte-level BPE) and B (SentencePiece, which adds that space itself). At a single space
+between visible characters both end a token, so that texts are cut there and each distinct fragment is encoded and aligned once per block, or
+once per worker while its memo has room. The tokens of new fragments are two tables of byte intervals in a DuckDB inside the task: groups
+are window sums over the ends that both have; the first token of B that a token of A overlaps is found by an ASOF join, and where it ends
+before A's does, the last by another and those between by a range join. A block of documents adds up what its fragments have, and
+counts for each pair of ids how many of its documents hold it linked.
 
 Spark merges the blocks' counts by pair, finds each A id's highest count, and gives every block back the counts of its own pairs; so what is shuffled is a
 row for each block and pair, and no pair has more rows than there are blocks, however frequent it is. The only table broadcast has a row for
 each id of A at most.
 
-Blocks are bounded in bytes; a longer text is aligned in slices, cut at single spaces between visible characters,
-where both tokenizers end a token. Rows are written before block numbers are used, so a task that runs again can't renumber them.
+Blocks are bounded in bytes; a longer text is a block of its own, and a worker's memory follows the longest. Rows are written before block numbers are
+used, so a task that runs again can't renumber them.
 
 Null and empty texts, and texts whose tokens' bytes differ from the text (U+2581 in it, which B reads as a space), have no tokens: zeros and no
 groups. Repeated rows are documents each; a null doc_id stays null. An empty table gives an empty result; extra columns are not read.
@@ -19,6 +21,7 @@ groups. Repeated rows are documents each; a null doc_id stays null. An empty tab
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import PieceEncoder, by_size, gaps, joined
-from .fragments import FragmentEncoder, TokenBytes, starts_of, strings
+from .encoding import _calls, by_size, gaps, joined
+from .fragments import TokenBytes, starts_of
 from .tables import clean_input, stored
-from .workers import Memo, held, tidy
+from .workers import held, tidy
 
-#: Bytes of text of a block, and of a slice of a longer text.
+#: Bytes of text of a block.
 BLOCK_BYTES = 2 << 20
-#: Bytes of fragments that a worker remembers of each tokenizer.
-MEMO_BYTES = 40 << 20
+#: Bytes of fragments that are aligned at once.
+PART_BYTES = 1 << 20
+#: Bytes of fragments and of what is known about them that a worker remembers.
+MEMO_BYTES = 96 << 20
 COUNTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 #: pairs: places in the block's list of pairs, and links of each in the document. The block's first row has the list: a, b, and documents of the block that hold the pair.
 _ALIGNED = COUNTS + ", groups string, block long, pairs array<int>, links array<int>, a array<int>, b array<int>, docs array<int>"
@@ -47,147 +52,179 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-class SentenceEncoder(FragmentEncoder):
-    """A SentencePiece model over texts that begin with the space it adds: words, each encoded alone."""
+class Grown:
+    """An array that is added to at its end and cut there."""
 
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.model = SentencePieceProcessor(model_file=path)
-        ids = range(self.model.get_piece_size())
-        pieces = [self.model.id_to_piece(i) for i in ids]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("a piece that goes on behind a space may cross words")
-        self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)])
-        self.dtype = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
-        self.slots = Memo(MEMO_BYTES)
-        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), bytearray()
+    def __init__(self, dtype: type):
+        self._held, self.n = np.zeros(1024, dtype), 0
 
-    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        at = gaps(data, offsets)
-        return np.union1d(at[data[at] == 0x20], starts_of(offsets))
+    def add(self, values: np.ndarray) -> None:
+        while self.n + len(values) > len(self._held):
+            self._held = np.concatenate([self._held, np.zeros_like(self._held)])
+        self._held[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
-    def _encode_each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, self.dtype).tobytes() for x in self.model.encode([t[1:] for t in texts], num_threads=1)]
+    @property
+    def values(self) -> np.ndarray:
+        return self._held[: self.n]
 
 
 class Aligner:
-    """What a worker needs: both encoders, the texts of ids, and a DuckDB of one thread that never writes to disk."""
+    """Both tokenizers, a DuckDB of one thread that never writes to disk, and what is known of fragments by number.
+
+    sums: rows ok, n_a, n_b, n_groups, n_links; groups: their text, each with a semicolon behind; pairs: a << 32 | b, and links.
+    """
+
+    SUMS = 5
 
     def __init__(self, path_a: str, path_b: str):
         import duckdb
 
-        self.a, self.b = PieceEncoder(path_a), SentenceEncoder(path_b)
-        self.a.tokenizer.encode_special_tokens = True
-        self.a.whole, self.a.slots = b"", Memo(MEMO_BYTES)
-        self.bytes_a = TokenBytes.of_byte_level(self.a.tokenizer)
-        self.ids = max(len(self.bytes_a.size), len(self.b.bytes.size))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
+
+        self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.a.no_truncation()
+        self.a.no_padding()
+        ids = range(self.b.get_piece_size())
+        pieces = [self.b.id_to_piece(i) for i in ids]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError("a piece that goes on behind a space may cross fragments")
+        self.bytes_a = TokenBytes.of_byte_level(self.a)
+        self.bytes_b = TokenBytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces, strict=True)])
+        self.ids = max(len(self.bytes_a.size), len(self.bytes_b.size))
         self.digits = pa.array([f"{i}{end}" for end in ",|;" for i in range(self.ids)], pa.large_string())
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
-
-    def _intervals(self, coder: PieceEncoder, table: TokenBytes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, ends, tokens up to each text, whether a text's tokens are its bytes); ends count over all texts' tokens."""
-        ids, upto = coder.encode(strings(data, offsets))
-        ids = ids.astype(np.int32)
-        ends = np.cumsum(table.size[ids])
-        spelled, at = table.gather(ids), np.concatenate([[0], ends])[upto]
-        same = np.fromiter((y - x == w - v and np.array_equal(spelled[x:y], data[v:w]) for x, y, v, w in zip(at, at[1:], offsets, offsets[1:])), bool, len(offsets) - 1)
-        return ids, ends, upto, same
-
-    def align(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        """Of texts in UTF-8, joined, each beginning with a space: by text ok, n_a, n_b, n_groups, n_links and groups (UTF-8 and offsets); and (doc, a, b, links) of each linked pair."""
-        n = len(offsets) - 1
-        own = [self._intervals(self.a, self.bytes_a, data, offsets), self._intervals(self.b, self.b.bytes, data, offsets)]
-        ok = own[0][3] & own[1][3] & (np.diff(offsets) > 1)
-        out = {"ok": ok}
-        shift = np.where(ok, np.diff(offsets), 0)
-        base = np.cumsum(shift) - shift  # where a text begins among those that count
-        for name, (ids, ends, upto, _), table in zip("ab", own, (self.bytes_a, self.b.bytes), strict=True):
-            doc = np.repeat(np.arange(n), np.diff(upto))
-            held_by = ok[doc]
-            begin = np.concatenate([[0], ends])[upto[:-1]]
-            doc, ids = doc[held_by], ids[held_by]
-            e = ends[held_by] - begin[doc] + base[doc]
-            self.db.register(f"tokens_{name}", pa.table({"pos": np.arange(len(ids)), "doc": doc, "s": e - table.size[ids], "e": e, "id": ids}))
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM tokens_{name}")
-            self.db.unregister(f"tokens_{name}")
-            out[f"n_{name}"], out[f"_{name}"] = np.bincount(doc, minlength=n), (ids, doc)
-        group = {x: self.db.execute(self.GROUPS.format(own=x, other=y)).fetchnumpy() for x, y in ("ab", "ba")}
-        linked = self.db.execute(self.LINKS).fetchnumpy()
-        out |= {k: np.asarray(linked[k], np.int64) for k in ("doc", "a", "b", "links")}
-        out["n_links"] = np.bincount(out["doc"], out["links"], minlength=n).astype(np.int64)
-        ends_a = np.asarray(group["a"]["shared"], bool)
-        out["n_groups"] = np.bincount(out["_a"][1][ends_a], minlength=n)
-        out["groups"] = self._spelled(out, group)
-        return out
+        self.known: dict[bytes, int] = {}
+        self.sums = [Grown(np.int64) for _ in range(self.SUMS)]
+        self.group_ends, self.pair_ends = Grown(np.int64), Grown(np.int64)
+        self.group_ends.add(np.zeros(1, np.int64))
+        self.pair_ends.add(np.zeros(1, np.int64))
+        self.groups, self.pairs, self.links = Grown(np.uint8), Grown(np.int64), Grown(np.int32)
+
+    def _learn(self, fragments: list[bytes]) -> None:
+        """Encode and align fragments, each of which begins with a space."""
+        texts, n = [f.decode() for f in fragments], len(fragments)
+        encoded_a = [e.ids for some in _calls(texts) for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+        encoded_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        length, ok, tokens = np.fromiter(map(len, fragments), np.int64, n), np.ones(n, bool), []
+        for table, encoded in ((self.bytes_a, encoded_a), (self.bytes_b, encoded_b)):
+            of = np.repeat(np.arange(n), np.fromiter(map(len, encoded), np.int64, n))
+            ids = np.fromiter((i for x in encoded for i in x), np.int32, len(of))
+            spelled, at = table.gather(ids).tobytes(), np.concatenate([[0], np.cumsum(np.bincount(of, table.size[ids], n).astype(np.int64))]).tolist()
+            ok &= np.fromiter((spelled[x:y] == f for x, y, f in zip(at, at[1:], fragments)), bool, n)
+            tokens.append((of, ids, table.size[ids]))
+        ok &= length > 1  # the space before an empty text
+        counted = []
+        for name, (of, ids, size) in zip("ab", tokens, strict=True):
+            there = ok[of]
+            of, ids, size = of[there], ids[there], size[there]
+            e = np.cumsum(size)  # fragments that count lie end to end, on both sides alike
+            self.db.register("tokens", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "fragment": of.astype(np.int32), "s": e - size, "e": e, "id": ids}))
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM tokens")
+            self.db.unregister("tokens")
+            counted.append((of, ids))
+        group = [self.db.execute(self.GROUPS.format(own=x, other=y)).fetchnumpy() for x, y in ("ab", "ba")]
+        self.db.execute(self.FIRST)
+        self.db.execute(self.LAST)
+        linked = {k: np.asarray(v, np.int64) for k, v in self.db.execute(self.LINKS).fetchnumpy().items()}
+        (of_a, ids_a), (of_b, ids_b) = counted
+        sums = (ok, np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(of_a, np.asarray(group[0]["shared"]), n), np.bincount(linked["fragment"], linked["links"], n))
+        for held_so_far, x in zip(self.sums, sums, strict=True):
+            held_so_far.add(np.asarray(x, np.int64))
+        text, ends = self._spelled(of_a, ids_a, of_b, ids_b, group, n)
+        self.group_ends.add(self.groups.n + ends)
+        self.groups.add(text)
+        self.pair_ends.add(self.pairs.n + np.cumsum(np.bincount(linked["fragment"], minlength=n)))
+        self.pairs.add(linked["a"] << 32 | linked["b"])
+        self.links.add(linked["links"])
 
     #: A token's group is the number of shared ends before its own.
     GROUPS = """
     WITH t AS (SELECT {own}.pos, {other}.e IS NOT NULL AS shared FROM {own} LEFT JOIN {other} ON {own}.e = {other}.e)
     SELECT shared, coalesce(sum(shared::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grp FROM t ORDER BY pos
     """
+    #: Tables, not subqueries: the range join is chosen by their sizes.
+    FIRST = "CREATE OR REPLACE TEMP TABLE low AS SELECT a.fragment, a.id, a.e, b.pos, b.id AS b, b.e AS stop FROM a ASOF JOIN b ON a.s >= b.s"
+    LAST = "CREATE OR REPLACE TEMP TABLE span AS SELECT low.fragment, low.id, low.pos, b.pos AS high FROM (FROM low WHERE stop < e) low ASOF JOIN b ON low.e > b.s"
     LINKS = """
-    WITH low AS (SELECT a.doc, a.id, a.e, b.pos AS low FROM a ASOF JOIN b ON a.s >= b.s),
-    span AS (SELECT low.doc, low.id, low.low, b.pos AS high FROM low ASOF JOIN b ON low.e > b.s)
-    SELECT span.doc, span.id AS a, b.id AS b, count(*) AS links FROM span JOIN b ON b.pos BETWEEN span.low AND span.high GROUP BY ALL ORDER BY ALL
+    WITH linked AS (SELECT fragment, id AS a, b FROM low UNION ALL SELECT span.fragment, span.id, b.id FROM span JOIN b ON b.pos > span.pos AND b.pos <= span.high)
+    SELECT fragment, a, b, count(*) AS links FROM linked GROUP BY ALL ORDER BY ALL
     """
 
-    def _spelled(self, out: dict, group: dict) -> tuple[bytes, np.ndarray]:
-        """Groups as text, `a1,a2|b1;...`, of all texts in one, and where each text's part starts; each part ends with a semicolon."""
-        (ids_a, doc_a), (ids_b, doc_b) = out.pop("_a"), out.pop("_b")
-        ga, gb = np.asarray(group["a"]["grp"]), np.asarray(group["b"]["grp"])
+    def _spelled(self, of_a: np.ndarray, ids_a: np.ndarray, of_b: np.ndarray, ids_b: np.ndarray, group: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Groups as text, `a1,a2|b1;...;`, of all fragments in one, and where each fragment's part ends."""
+        ga, gb = (np.asarray(g["grp"]) for g in group)
         code = np.empty(len(ids_a) + len(ids_b), np.int64)
-        code[np.arange(len(ga)) + np.searchsorted(gb, ga)] = ids_a + self.ids * np.asarray(group["a"]["shared"], np.int64)
-        code[np.arange(len(gb)) + np.searchsorted(ga, gb, "right")] = ids_b + 2 * self.ids * np.asarray(group["b"]["shared"], np.int64)
+        code[np.arange(len(ga)) + np.searchsorted(gb, ga)] = ids_a + self.ids * np.asarray(group[0]["shared"], np.int64)
+        code[np.arange(len(gb)) + np.searchsorted(ga, gb, "right")] = ids_b + 2 * self.ids * np.asarray(group[1]["shared"], np.int64)
+        upto = np.cumsum(np.bincount(of_a, minlength=n) + np.bincount(of_b, minlength=n))
+        if not len(code):
+            return np.zeros(0, np.uint8), np.zeros(n, np.int64)
         text = self.digits.take(pa.array(code))
-        n = len(out["ok"])
-        upto = np.concatenate([[0], np.cumsum(np.bincount(doc_a, minlength=n) + np.bincount(doc_b, minlength=n))])
-        at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8) if len(text) else np.zeros(1, np.int64)
-        return text.buffers()[2] if len(text) else b"", at[upto]
-
-
-def _slices(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in runs of about BLOCK_BYTES that begin with a space where both tokenizers end a token."""
-    at = gaps(data, np.array([0, len(data)]))
-    at = at[data[at] == 0x20]
-    begin = 0
-    while len(data) - begin > BLOCK_BYTES:
-        k = int(np.searchsorted(at, begin + BLOCK_BYTES))
-        if k == len(at):
-            break
-        yield data[begin : at[k]]
-        begin = int(at[k])
-    yield data[begin:]
+        at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+        return np.frombuffer(text.buffers()[2], np.uint8)[: at[-1]], at[upto]
+
+    def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each fragment, fragments up to each text) of texts in UTF-8, joined, each beginning with a space."""
+        at = gaps(data, offsets)
+        first = np.union1d(at[data[at] == 0x20], starts_of(offsets))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        for f in distinct:
+            self.known.setdefault(f, len(self.known))
+        new, size = [], 0
+        for f in distinct:
+            if self.known[f] >= self.sums[0].n:
+                new.append(f)
+                size += len(f)
+                if size >= PART_BYTES:
+                    self._learn(new)
+                    new, size = [], 0
+        if new:
+            self._learn(new)
+        found = np.fromiter((self.known[f] for f in distinct), np.int64, len(distinct))
+        return found[np.asarray(coded.indices)], np.searchsorted(first, offsets)
+
+    def forget(self) -> None:
+        """Everything, once it takes more than the memo's bytes."""
+        if 200 * len(self.known) + self.groups.n + 12 * self.pairs.n > MEMO_BYTES:
+            self.known = {}
+            for x in (*self.sums, self.groups, self.pairs, self.links):
+                x.n = 0
+            self.group_ends.n = self.pair_ends.n = 1
 
 
 def _aligned(aligner: Aligner, texts: pa.Array, with_groups: bool) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
     """(n_a, n_b, n_groups, n_links, groups_sha256, groups) of each text; and the texts' pairs as (text, a << 32 | b, links), by text."""
     spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.fill_null(texts, "").cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
     data, offsets = joined(spaced)
-    if len(offsets) == 2 and len(data) > 2 * BLOCK_BYTES:
-        parts = [aligner.align(part, np.array([0, len(part)])) for part in _slices(data)]
-    else:
-        parts = [aligner.align(data, offsets)]
-    rows, n = [], len(offsets) - 1
-    keep = np.logical_and.reduce([p["ok"] for p in parts])
-    for k in range(n):
-        if not keep[k]:
-            rows.append((0, 0, 0, 0, "", "" if with_groups else None))
-            continue
-        digest, spelled = hashlib.sha256(), []
-        for i, p in enumerate(parts):
-            buffer, at = p["groups"]
-            some = memoryview(buffer)[at[k] : at[k + 1] - (i + 1 == len(parts))]
-            digest.update(some)
-            spelled += [bytes(some)] * with_groups
-        rows.append((*(sum(int(p[c][k]) for p in parts) for c in ("n_a", "n_b", "n_groups", "n_links")), digest.hexdigest(), b"".join(spelled).decode() if with_groups else None))
-    doc, a, b, links = (np.concatenate([p[c] for p in parts]) for c in ("doc", "a", "b", "links"))
-    there = keep[doc]
-    doc, key, links = doc[there], (a << 32 | b)[there], links[there]
-    if len(parts) > 1:
-        key, back = np.unique(key, return_inverse=True)
-        links, doc = np.bincount(back, links).astype(np.int64), np.zeros(len(key), np.int64)
-    return rows, doc, key, links
+    number, upto = aligner.numbers(data, offsets)
+    n = len(texts)
+    of = np.repeat(np.arange(n), np.diff(upto))
+    ok = np.bincount(of, 1 - aligner.sums[0].values[number], n) == 0
+    there = ok[of]
+    number, of = number[there], of[there]
+    sums = [np.bincount(of, x.values[number], n).astype(np.int64).tolist() for x in aligner.sums[1:]]
+    spelled = pa.Array.from_buffers(pa.large_binary(), aligner.group_ends.n - 1, [None, pa.py_buffer(aligner.group_ends.values), pa.py_buffer(aligner.groups.values)]).take(pa.array(number))
+    at = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, spelled.offset * 8) if len(spelled) else np.zeros(1, np.int64)
+    text, ends = memoryview(spelled.buffers()[2] if len(spelled) else b""), at[np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])].tolist()
+    rows = []
+    for k, good in enumerate(ok.tolist()):
+        own = text[ends[k] : ends[k + 1] - 1] if good else b""  # but for the last semicolon
+        rows.append((*(x[k] for x in sums), hashlib.sha256(own).hexdigest() if good else "", bytes(own).decode() if with_groups else None))
+    # pairs of each text: first its distinct fragments, then their pairs
+    both, times = np.unique(of << 32 | number, return_counts=True)
+    of, number = both >> 32, both & 0xFFFFFFFF
+    start, size = aligner.pair_ends.values[number], aligner.pair_ends.values[number + 1] - aligner.pair_ends.values[number]
+    place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    distinct, pair = np.unique(aligner.pairs.values[place], return_inverse=True)
+    both, back = np.unique(np.repeat(of, size) << 32 | pair, return_inverse=True)
+    links = np.bincount(back, aligner.links.values[place] * np.repeat(times, size), len(both)).astype(np.int64)
+    aligner.forget()
+    return rows, both >> 32, distinct[both & 0xFFFFFFFF], links
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -77,8 +77,3 @@ class FragmentEncoder(PieceEncoder):
 def starts_of(offsets: np.ndarray) -> np.ndarray:
     """Where texts that aren't empty start."""
     return offsets[:-1][offsets[1:] > offsets[:-1]]
-
-
-def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Texts in UTF-8, joined, as an Arrow column that shares their memory."""
-    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

@@ -117,14 +117,17 @@ def test_op11(spark, rows, folder):
     assert sum(w[3] for w in want) > 10_000 and sum(w[0] == 0 for w in want) >= 5
 
 
-def test_long_texts_in_slices(rows, monkeypatch):
-    aligner = cross_tokens.Aligner(BYTE_BPE, PIECES)
-    for text in [t for _, t in rows if t and len(t) > 5000] + ["x " * 4000 + "a▁b " + "y " * 4000]:
-        want, _, keys, links = cross_tokens._aligned(aligner, pa.array([text]), True)
-        with monkeypatch.context() as m:
-            m.setattr(cross_tokens, "BLOCK_BYTES", 1 << 11)
-            got, _, some, counted = cross_tokens._aligned(aligner, pa.array([text]), True)
-        assert got == want and some.tolist() == keys.tolist() and counted.tolist() == links.tolist()
+@pytest.mark.parametrize("part, memo", [(1 << 7, 1 << 30), (1 << 20, 0)])
+def test_small_parts_and_no_memo(rows, part, memo, monkeypatch):
+    texts = [t for _, t in rows]
+    want = cross_tokens._aligned(cross_tokens.Aligner(BYTE_BPE, PIECES), pa.array(texts, pa.string()), True)
+    monkeypatch.setattr(cross_tokens, "PART_BYTES", part)
+    monkeypatch.setattr(cross_tokens, "MEMO_BYTES", memo)
+    aligner, got = cross_tokens.Aligner(BYTE_BPE, PIECES), []
+    for t in texts:
+        got += cross_tokens._aligned(aligner, pa.array([t], pa.string()), True)[0]
+    assert got == want[0]
+    assert (len(aligner.known) == 0) == (memo == 0)
 
 
 def test_alignment_by_blocks(spark, rows, folder):
