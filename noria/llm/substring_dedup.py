@@ -17,8 +17,9 @@ words are equal, by SHA-256, are settled before: they are one factor of the smal
 window are combined before they are shuffled, and lookups treat hot ones apart. Windows are found by two independent
 64-bit hashes; where they collide, the words differ and no factor begins.
 
-Null and empty texts have no words. Repeated rows of a doc_id are the same document and share its
-spans (the largest text decides if they differ). A row without doc_id is left as it is. Very long texts
+Null and empty texts have no words. Repeated rows of a doc_id with the same words are the same document and share its
+spans. Where an id has rows with different words, each of these texts is judged on its own, against the documents with smaller ids
+only: ids give way to numbers of (id, words) in order of id then. A row without doc_id is left as it is. Very long texts
 are parsed whole, their words of more than LONG_WORD bytes compared by SHA-256. An empty
 table gives an empty result; extra columns are kept by ``drop_spans`` and otherwise not read.
 """
@@ -34,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from noria.operators.ordering import running_number
+
 from .tables import clean_input, only_ids, stored, with_group_values
 from .workers import tidy
 
@@ -246,13 +249,40 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
-def owned_windows(docs: DataFrame, outlines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and head of the documents that repeat a smaller one whole, segments of the owned windows of the others)."""
+def _apart(docs: DataFrame, outlines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """(docs, outlines, None, None) as they are where no id has texts of different words. Else with numbers of (id, words) for doc_id, the docs as doc_id, text and row (the whole row), then what stands
+    for each number (_number, _own_id), and the first number of its id for those that aren't the first (doc_id, floor)."""
+    ids = outlines.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("words_sha256").alias("a"), F.max("words_sha256").alias("b"))
+    if ids.where("a <> b").isEmpty():
+        return docs, outlines, None, None
+    texts = outlines.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_of"), F.col("words_sha256").alias("_words")).distinct()
+    numbers = stored(running_number(texts, ["_of", "_words"], "_number"), "text-numbers")
+    floors = numbers.groupBy(F.col("_of").alias("_id")).agg(F.min("_number").alias("floor"))
+    later = numbers.join(floors, F.col("_of") == F.col("_id")).where("_number > floor").select(F.col("_number").alias("doc_id"), "floor")
+    words = F.trim(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), r"[\x20\x09-\x0D]+", " "))
+
+    def numbered(df: DataFrame, *columns: str) -> DataFrame:
+        found = df.join(numbers, (df["doc_id"] == numbers["_of"]) & (df["words_sha256"] == numbers["_words"]), "left")
+        return found.select(F.col("_number").alias("doc_id"), *columns)
+
+    rows = docs.select("doc_id", "text", F.sha2(words, 256).alias("words_sha256"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    outlines = stored(numbered(outlines, "n_words", "words_sha256", "anchors"), "numbered-outlines")
+    return numbered(rows, "text", "row"), outlines, numbers.select("_number", F.col("_of").alias("_own_id")), stored(later, "later-texts")
+
+
+def owned_windows(docs: DataFrame, outlines: DataFrame, later: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and head of the documents that repeat a smaller one whole, segments of the owned windows of the others). later: as ``_apart`` has it."""
+
+    def before(df: DataFrame, source: str) -> DataFrame:
+        if later is None:
+            return df.where(f"{source} < doc_id")
+        return df.join(later, "doc_id", "left").where(f"{source} < coalesce(floor, doc_id)").drop("floor")
+
     long = outlines.where(f"n_words >= {FACTOR} AND doc_id IS NOT NULL")
     same = stored(long.groupBy("words_sha256").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_docs")), "same-words")
     heads = stored(long.select("doc_id", "anchors").join(same.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi"), "heads")
     repeats = with_group_values(long.select("doc_id", "words_sha256"), same.where("head < last").select("words_sha256", "head", "n_docs"), "words_sha256", "n_docs", long.count())
-    copies = repeats.where("head < doc_id").groupBy("doc_id").agg(F.min("head").alias("head"))
+    copies = before(repeats, "head").groupBy("doc_id").agg(F.min("head").alias("head"))
     anchors = stored(heads.select(F.explode("anchors").alias("anchor"), "doc_id").distinct(), "anchors")
     shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
     shared = stored(shared, "shared-anchors")
@@ -262,7 +292,7 @@ def owned_windows(docs: DataFrame, outlines: DataFrame) -> tuple[DataFrame, Data
     windows = stored(windows.select("doc_id", "place", F.struct("b1", "b2").alias("window")), "windows")
     index = windows.groupBy("window").agg(F.min(F.struct(F.col("doc_id").alias("source"), F.col("place").alias("at"))).alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_windows")).where("owner.source < last").drop("last")
     index = stored(index, "index")
-    owned = with_group_values(windows, index, "window", "n_windows", windows.count()).where("owner.source < doc_id")
+    owned = before(with_group_values(windows, index, "window", "n_windows", windows.count()), "owner.source")
     own = owned.groupBy("doc_id").agg(F.collect_list(F.struct("place", "owner.source", "owner.at")).alias("own"))  # at most a document's own words
     return copies, stored(own.mapInArrow(tidy(_segmenter), _SEGMENTS), "segments")
 
@@ -283,34 +313,45 @@ def _cut(docs: DataFrame, segments: DataFrame, whole_text: bool) -> DataFrame:
 
 def factors(docs: DataFrame) -> DataFrame:
     """The parse: doc_id, start, source, source_start and length (in words) of every factor of FACTOR words or more."""
-    outlines = outline(docs)
-    copies, segments = owned_windows(docs, outlines)
+    docs, outlines, own, later = _apart(docs, outline(docs))
+    copies, segments = owned_windows(docs, outlines, later)
     copies = stored(copies, "copies")
     whole = copies.join(outlines.groupBy("doc_id").agg(F.max("n_words").alias("n")), "doc_id").select("doc_id", F.lit(0).alias("start"), F.col("head").alias("source"), F.lit(0).alias("source_start"), F.col("n").cast("int").alias("length"))
     parts = _cut(docs, segments.join(copies, "doc_id", "left_anti"), False).select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.*")
-    return whole.unionByName(parts)
+    found = whole.unionByName(parts)
+    if own is None:
+        return found
+    source = own.select(F.col("_number").alias("source"), F.col("_own_id").alias("_source_id"))
+    named = found.join(own, found["doc_id"] == own["_number"]).join(source, "source")
+    return named.select(F.col("_own_id").alias("doc_id"), "start", F.col("_source_id").alias("source"), "source_start", "length")
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every document."""
-    outlines = outline(docs)
-    copies, segments = owned_windows(docs, outlines)
+    docs, outlines, own, later = _apart(docs, outline(docs))
+    copies, segments = owned_windows(docs, outlines, later)
     copies = stored(copies.select("doc_id"), "copies")
     # a document that repeats both in words and in parts of a smaller one is a copy
     cut = _cut(docs, segments.join(copies, "doc_id", "left_anti"), False).drop("factors")
     whole = copies.select("doc_id", F.lit(None).cast("long").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("cut"))
     found = outlines.select("doc_id", "n_words", "words_sha256").join(stored(cut.unionByName(whole).withColumn("hit", F.lit(True)), "cut"), "doc_id", "left")
     removed = F.when(F.col("hit").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce("n_removed", "n_words"))
+    if own is not None:
+        found = found.join(own, found["doc_id"] == own["_number"], "left").withColumn("doc_id", F.col("_own_id"))
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut", "words_sha256").alias("kept_sha256"))
 
 
 def drop_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with duplicate spans cut out of ``text``; every row stays, emptied ones with an empty text."""
-    outlines = outline(docs)
-    copies, segments = owned_windows(docs, outlines)
+    columns, types = docs.columns, dict(docs.dtypes)
+    docs, outlines, own, later = _apart(docs, outline(docs))
+    copies, segments = owned_windows(docs, outlines, later)
     copies = stored(copies.select("doc_id"), "copies")
     cut = _cut(docs, segments.join(copies, "doc_id", "left_anti"), True).select("doc_id", "cut")
     cut = stored(cut.unionByName(copies.select("doc_id", F.lit("").alias("cut"))), "cut-texts").select(F.col("doc_id").alias("_cut_id"), F.col("cut").alias("_cut"))
     joined = docs.join(cut, docs["doc_id"] == cut["_cut_id"], "left")
-    values = {"text": F.coalesce("_cut", docs["text"]), "n_chars": F.when(F.col("_cut").isNull(), docs["n_chars"]).otherwise(F.length("_cut").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
-    return joined.select(*[values[c].alias(c) if values.get(c) is not None else docs[f"`{c}`"] for c in docs.columns])
+    was = {c: docs[f"`{c}`"] if own is None else docs["row"][c] for c in columns}
+    new = {"text": F.coalesce(cut["_cut"], was["text"])}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(cut["_cut"].isNull(), was["n_chars"]).otherwise(F.length(cut["_cut"]).cast(types["n_chars"]))
+    return joined.select(*[(new | {k: v for k, v in was.items() if k not in new})[c].alias(c) for c in columns])

@@ -374,6 +374,40 @@ def test_substrings(docs, rows, monkeypatch):
         assert got == {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in want.items()}
 
 
+def removed_rows(rows, size=50):
+    """As removed, for rows of which several may have one id: (id, words, removed, kept) of each row."""
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for j in range(len(w) - size + 1):
+            if i is not None:
+                first[tuple(w[j : j + size])] = min(i, first.get(tuple(w[j : j + size]), i))
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for j in range(len(w) - size + 1):
+            if i is not None and first[tuple(w[j : j + size])] < i:
+                gone[j : j + size] = [True] * size
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+def test_substrings_of_one_id_with_several_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 70) for _ in range(3))
+    rows = [(1, a), (2, "z " + a + " q"), (2, "a short other text"), (2, b + " x"), (2, b + "  x"), (3, b), (3, c + " " + a), (3, None), (4, c), (4, c + " y"), (None, a), (5, ""), (2, c + " t " + b)]
+    df = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, text string, n_chars long").withColumns({x: F.lit(x) for x in ("floor", "_number", "own")}).repartition(3)
+    want = removed_rows(rows)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.removed_words(df).collect()), key=repr)
+    assert got == sorted(((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in want), key=repr)
+    cut = substring_dedup.drop_spans(df)
+    assert cut.columns == df.columns
+    assert sorted(((r["doc_id"], " ".join(words(r["text"]))) for r in cut.collect()), key=repr) == sorted(((i, t) for i, _, _, t in want), key=repr)
+    factors = substring_dedup.factors(df).collect()
+    assert factors and all(f["source"] < f["doc_id"] and f["length"] >= 50 for f in factors)
+
+
 def test_substrings_text(docs, rows):
     want = removed(rows)
     texts = dict(rows)
