@@ -7,6 +7,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -86,3 +87,54 @@ def generated(df: DataFrame, key: str, voice: str, chunks: str, load: Callable[[
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([c], pa.int32()), pa.array([n], pa.int32()), pa.array([samples], pa.list_(pa.float32()))], names=[key, "chunk", "part", "samples"])
 
     return df.select(key, voice, chunks).mapInArrow(run, f"{key} {kind.simpleString()}, chunk int, part int, samples array<float>")
+
+
+def _padded(rows: list[np.ndarray], multiple: int) -> np.ndarray:
+    longest = -(-max(map(len, rows)) // multiple) * multiple
+    out = np.zeros((len(rows), longest), np.float32)
+    for k, x in enumerate(rows):
+        out[k, : len(x)] = x
+    return out
+
+
+def ragged_model(
+    df: DataFrame, values: str, name: str, load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], frames: Callable[[np.ndarray], np.ndarray], multiple: int = 1, batch_values: int = 1 << 20
+) -> DataFrame:
+    """df with ``name``, array<array<float>>: what a model makes of an array column, row by row, in padded batches.
+
+    load() runs once per worker and returns f(padded (rows, longest), lengths) -> (rows, frames, features). Rows of an Arrow batch are sorted by
+    length, so that a model batch of at most ``batch_values`` padded values holds rows of like length, padded with zeros to a multiple. ``frames``
+    gives from lengths how many frames of the result are a row's own; a row has no more than the model made. Results come back in the rows' order and don't depend on how rows are
+    batched, if the model's don't depend on padding. A model that gives nothing but zeros for rows that aren't empty is broken: an error. Null values give null, empty ones no frames.
+    """
+    at = df.columns.index(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            lists = batch.column(at)
+            rows = [np.asarray(x.values, np.float32) if x.is_valid else None for x in lists]
+            order = sorted((k for k, x in enumerate(rows) if x is not None and len(x)), key=lambda k: len(rows[k]))
+            made: list[np.ndarray | None] = [None if x is None else np.zeros((0, 0), np.float32) for x in rows]
+            begin = 0
+            while begin < len(order):
+                end = begin + 1
+                while end < len(order) and (end + 1 - begin) * -(-len(rows[order[end]]) // multiple) * multiple <= batch_values:
+                    end += 1
+                own = [rows[k] for k in order[begin:end]]
+                lengths = np.array(list(map(len, own)))
+                out = np.asarray(model(_padded(own, multiple), lengths), np.float32)
+                if out.size and not out.any() and any(x.any() for x in own):
+                    raise ValueError("the model gives zeros only")
+                for k, x, n in zip(order[begin:end], out, np.minimum(frames(lengths), out.shape[1]), strict=True):
+                    made[k] = x[: int(n)]
+                begin = end
+            inner = [0 if x is None else len(x) for x in made]
+            sizes = [s for x in made if x is not None for s in [x.shape[1]] * len(x)]
+            flat = np.concatenate([np.zeros(0, np.float32), *(x.reshape(-1) for x in made if x is not None)])
+            features = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
+            result = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *inner]), pa.int32()), features, mask=pa.array([x is None for x in made]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, result], names=[*batch.schema.names, name])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInArrow(run, f"{schema}, `{name}` array<array<float>>")

@@ -3,51 +3,136 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-_FRAMES = ArrayType(StructType([StructField("token", IntegerType()), StructField("score", DoubleType())]))
+_FRAMES = "array<struct<token: int, score: double>>"
+#: Scores that a batch of rows holds padded, and bytes of its decisions; a row that takes more is alone, its states kept here and there only.
+BATCH_SCORES = 1 << 21
+DECISION_BYTES = 32 << 20
 
 
-def best_path(emissions: np.ndarray, tokens: np.ndarray, blank: int = 0) -> list[tuple[int, float]] | None:
-    """(token index, score) of each frame that speaks a token first; None if there is no alignment.
+class Lattice:
+    """The trellises of a batch of rows, stepped through together.
 
-    Each frame stays (blank) or moves to the next token; where both are as good, it moves.
+    emissions: (rows, frames, ids), tokens: (rows, most tokens), both padded; lengths and counts: what is real of each. Each frame
+    stays (blank) or moves to the next token; where both are as good, it moves.
     """
-    t, n = len(emissions), len(tokens)
-    if not n or t < n:
-        return None
-    best = np.full((t + 1, n + 1), -np.inf)
-    best[0, 0] = 0.0
-    for i in range(t):
-        stay = best[i] + emissions[i, blank]
-        move = np.full(n + 1, -np.inf)
-        move[1:] = best[i, :-1] + emissions[i, tokens]
-        best[i + 1] = np.maximum(stay, move)
-    if not np.isfinite(best[t, n]):
-        return None
-    out, j = [], n
-    for i in range(t, 0, -1):
-        if j and best[i - 1, j - 1] + emissions[i - 1, tokens[j - 1]] >= best[i - 1, j] + emissions[i - 1, blank]:
-            out.append((i - 1, float(emissions[i - 1, tokens[j - 1]])))
-            j -= 1
-    return None if j else out[::-1]
 
+    def __init__(self, emissions: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, counts: np.ndarray, blank: int = 0):
+        self.emissions, self.lengths, self.tokens, self.counts, self.blank = emissions, lengths, tokens, counts, blank
+        self.rows, self.steps = emissions.shape[:2]
+        self.row = np.arange(self.rows)[:, None]
+
+    def step(self, state: np.ndarray, t: int, moves: np.ndarray | None = None) -> np.ndarray:
+        """The state after frame t, (rows, tokens + 1); rows that have ended keep theirs. moves: takes which tokens are reached by a move."""
+        frame = self.emissions[:, t]
+        stay = state + frame[:, self.blank][:, None]
+        move = state[:, :-1] + frame[self.row, self.tokens]
+        by_move = move >= stay[:, 1:]
+        if moves is not None:
+            moves[:] = np.packbits(by_move, axis=1)
+        after = stay
+        np.copyto(after[:, 1:], move, where=by_move)
+        return np.where((t < self.lengths)[:, None], after, state)
+
+    def first_state(self) -> np.ndarray:
+        state = np.full((self.rows, self.tokens.shape[1] + 1), -np.inf)
+        state[:, 0] = 0.0
+        return state
+
+    def paths(self, decision_bytes: int = DECISION_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a row can be aligned, the frame that speaks each token first).
+
+        Decisions are a bit each. If they take more than ``decision_bytes``, states are kept every so many frames instead, and decisions made again
+        from the last state before, block by block, as the way back comes to it.
+        """
+        width = -(-self.tokens.shape[1] // 8)
+        each = max(1, self.rows * width)
+        run = self.steps if self.steps * each <= decision_bytes else max(1, min(int(np.sqrt(self.steps)) + 1, decision_bytes // each))
+        state, kept = self.first_state(), {}
+        moves = np.zeros((min(run, self.steps), self.rows, width), np.uint8)
+        for t in range(self.steps):
+            if t % run == 0:
+                kept[t] = state
+            state = self.step(state, t, moves[t % run] if run >= self.steps else None)
+        good = (self.counts > 0) & (self.lengths >= self.counts) & np.isfinite(state[np.arange(self.rows), self.counts])
+        at, frames = np.where(good, self.counts, 0), np.zeros(self.tokens.shape, np.int64)
+        rows = np.arange(self.rows)
+        for begin in sorted(kept, reverse=True):
+            if run < self.steps:
+                state = kept.pop(begin)
+                for t in range(begin, min(begin + run, self.steps)):
+                    state = self.step(state, t, moves[t - begin])
+            for t in range(min(begin + run, self.steps) - 1, begin - 1, -1):
+                place = np.maximum(at - 1, 0)
+                bit = moves[t - begin, rows, place >> 3] >> (7 - (place & 7)) & 1
+                moved = np.flatnonzero((bit == 1) & (at > 0) & (t < self.lengths))
+                frames[moved, place[moved]] = t
+                at[moved] -= 1
+        return good & (at == 0), frames
+
+
+def best_paths(emissions: list[np.ndarray], tokens: list[np.ndarray], blank: int = 0, scores: int = BATCH_SCORES, decision_bytes: int = DECISION_BYTES) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Of each row (frames and scores of its tokens), None if it can't be aligned. Rows of like length are padded to one batch of at most ``scores`` scores."""
+    out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(emissions)
+    todo = sorted((k for k in range(len(emissions)) if len(tokens[k]) and len(emissions[k]) >= len(tokens[k])), key=lambda k: (emissions[k].shape[1], len(emissions[k])))
+    begin = 0
+    while begin < len(todo):
+        ids, end, widest = emissions[todo[begin]].shape[1], begin, 0
+        while end < len(todo) and emissions[todo[end]].shape[1] == ids:
+            most = max(widest, len(tokens[todo[end]]))
+            if end > begin and (end + 1 - begin) * len(emissions[todo[end]]) * max(ids, most) > scores:
+                break
+            widest, end = most, end + 1
+        batch = todo[begin:end]
+        lengths, counts = (np.array([len(x[k]) for k in batch]) for x in (emissions, tokens))
+        padded, said = np.zeros((len(batch), lengths.max(), ids)), np.zeros((len(batch), widest), np.int64)
+        for i, k in enumerate(batch):
+            padded[i, : lengths[i]], said[i, : counts[i]] = emissions[k], tokens[k]
+        good, frames = Lattice(padded, lengths, said, counts, blank).paths(decision_bytes)
+        for i in np.flatnonzero(good).tolist():
+            at = frames[i, : counts[i]]
+            out[batch[i]] = (at, padded[i, at, said[i, : counts[i]]])
+        begin = end
+    return out
 
-def aligned(emissions: Column, tokens: Column) -> Column:
-    """Array of (frame, score) per token, null where the text can't be aligned. emissions: array<array<double>>."""
 
-    @F.pandas_udf(_FRAMES)
-    def run(e: pd.Series, t: pd.Series) -> pd.Series:
-        def one(frames, ids):
-            if frames is None or ids is None or not len(frames):
-                return None
-            path = best_path(np.stack([np.asarray(f, float) for f in frames]), np.asarray(ids, int))
-            return None if path is None else [{"token": frame, "score": score} for frame, score in path]
+def best_path(emissions: np.ndarray, tokens: np.ndarray, blank: int = 0) -> list[tuple[int, float]] | None:
+    """(frame, score) of each token of one row; None if there is no alignment."""
+    found = best_paths([np.asarray(emissions, float)], [np.asarray(tokens, np.int64)], blank)[0]
+    return None if found is None else [(int(f), float(x)) for f, x in zip(*found, strict=True)]
+
 
-        return pd.Series([one(a, b) for a, b in zip(e, t, strict=True)], dtype=object)
+def _frames_of(lists: pa.Array) -> list[np.ndarray | None]:
+    """(frames, ids) of each row of a column of arrays of arrays; null where a row, a frame or a score is."""
+    out = []
+    for row in lists:
+        if not row.is_valid or row.values.null_count or row.values.flatten().null_count:
+            out.append(None)
+            continue
+        flat, sizes = np.asarray(row.values.flatten(), float), np.asarray(row.values.value_lengths())
+        if len(sizes) and (sizes != sizes[0]).any():
+            raise ValueError("frames of one row have different numbers of scores")
+        out.append(flat.reshape(len(sizes), int(sizes[0]) if len(sizes) else 0))
+    return out
+
+
+def aligned(emissions: Column, tokens: Column) -> Column:
+    """Array of (frame, score) per token, null where the text can't be aligned. emissions: array<array<double>>. Rows are aligned in padded batches."""
+
+    @F.arrow_udf(_FRAMES)
+    def run(e: pa.Array, t: pa.Array) -> pa.Array:
+        frames = _frames_of(e)
+        said = [np.asarray(x.values, np.int64) if x.is_valid else None for x in t]
+        there = [k for k, (f, x) in enumerate(zip(frames, said, strict=True)) if f is not None and x is not None]
+        found = dict(zip(there, best_paths([frames[k] for k in there], [said[k] for k in there]), strict=True))
+        paths = [found.get(k) for k in range(len(frames))]
+        ends = np.cumsum([0] + [0 if p is None else len(p[0]) for p in paths])
+        flat = [np.concatenate([np.zeros(0), *(p[i] for p in paths if p is not None)]) for i in (0, 1)]
+        parts = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1])], ["token", "score"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts, mask=pa.array([p is None for p in paths]))
 
     return run(emissions, tokens)
 

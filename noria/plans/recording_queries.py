@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noria.functions import resampling
+from noria.functions import models, resampling
 from noria.operators import recordings, signal
 
 from .registry import query
@@ -43,3 +43,26 @@ def q_block_energy(spark, sf_dir):
     blocks = recordings.cut_blocks(vectors(spark, sf_dir), "vec_id", "v", 24)
     track = recordings.energy(blocks, 8)
     return signal.smooth3(track, "key").select("key", "i", F.round("x", 5).alias("x"))
+
+
+def _codec():
+    """A stub for a codec: of every eight samples their mean and their peak. Padding has no part in a row's own frames."""
+    import numpy as np
+
+    def encode(padded, lengths):
+        frames = padded.reshape(len(padded), -1, 8)
+        real = np.arange(padded.shape[1])[None, :] < lengths[:, None]
+        n = np.maximum(real.reshape(frames.shape).sum(-1), 1)
+        return np.stack([frames.sum(-1) / n, np.abs(frames).max(-1)], axis=-1)
+
+    return encode
+
+
+@query(f"""WITH {_E}, r AS (SELECT vec_id, v[1:1 + CAST(vec_id % 64 AS BIGINT)] AS v FROM e), f AS (SELECT vec_id, i AS frame, v[8 * i + 1:8 * i + 8] AS x FROM r, range(8) t(i) WHERE 8 * i < len(v))
+SELECT vec_id, CAST(frame AS INTEGER) AS frame, round(list_avg(x), 4) + 0.0 AS mean, round(list_max(list_transform(x, lambda y: abs(y))), 4) AS peak FROM f""")
+def q_ragged_codec(spark, sf_dir):
+    """Rows of 1 to 64 samples through a model in padded batches."""
+    rows = vectors(spark, sf_dir).select("vec_id", F.slice("v", F.lit(1), (F.col("vec_id") % 64 + 1).cast("int")).alias("x"))
+    done = models.ragged_model(rows, "x", "z", _codec, lambda n: -(-n // 8), multiple=8, batch_values=4096)
+    frames = done.select("vec_id", F.posexplode("z").alias("frame", "f"))
+    return frames.select("vec_id", "frame", (F.round(F.element_at("f", 1).cast("double"), 4) + 0.0).alias("mean"), F.round(F.element_at("f", 2).cast("double"), 4).alias("peak"))
