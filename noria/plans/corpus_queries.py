@@ -12,7 +12,7 @@ from noria.operators.ordering import running_number
 from noria.sources import files
 
 from .registry import query, table
-from .text_queries import _NORMAL, LETTERED, _MC
+from .text_queries import _MC, _NORMAL, ARABIC, LETTERED, duck_canonicalize
 
 LIMITS = manifest.Limits(max_duration=200.0)
 
@@ -213,8 +213,14 @@ def q_text_mix(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", samples.mix_mode(u).alias("mode"))
 
 
-@query(None)
+_KEPT = "CAST('0x' || md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || CAST(i - 1 AS VARCHAR))[:7] AS BIGINT) / 268435456.0 < 0.5"
+
+
+@query(
+    f"WITH a AS (SELECT conv_id, turn, {ARABIC} AS t FROM conversations), b AS (SELECT conv_id, turn, regexp_extract_all({duck_canonicalize('t')}, '(?s).[{_MC}]*') AS c FROM a) "
+    f"SELECT conv_id, turn, array_to_string(list_transform(c, lambda x, i: CASE WHEN length(x) = 1 OR {_KEPT} THEN x ELSE substr(x, 1, 1) END), '') AS t FROM b"
+)
 def q_subsample(spark, sf_dir):
-    """Marks kept by chance, all or none of a letter; tests check the letters and both extremes."""
+    """Marks kept by chance, all or none of a letter."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", ar.canonicalize(ar.arabize(F.col("text"))).alias("t"))
     return t.select("conv_id", "turn", samples.subsample_marks(F.col("t"), F.concat_ws(":", "conv_id", "turn"), 0.5).alias("t"))

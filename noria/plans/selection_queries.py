@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from noria.functions import alphabet as A
 from noria.functions import arabic as ar
 from noria.operators import samples, weights
 from noria.operators import votes as vo
 from noria.operators.ordering import running_number
 
 from .registry import query, table
-from .text_queries import _WORDS, plain_documents
+from .text_queries import _MC, _WORDS, ARABIC, plain_documents
 
 _U = "CAST('0x' || md5({})[:7] AS BIGINT) / 268435456.0"
 
@@ -126,9 +127,21 @@ def q_stitch_join(spark, sf_dir):
     return named.join(n, "n_nationkey", "left").select("n_nationkey", "r_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(None)
+def _duck_chance(key: str) -> str:
+    return f"CAST('0x' || md5({key})[:7] AS BIGINT) / 268435456.0"
+
+
+_MARKED = f"CASE WHEN length(w) < 2 THEN w ELSE substr(w, 1, length(w) - 1) || CASE (doc_id + length(w)) % 3 WHEN 0 THEN '{A.FATHA}' WHEN 1 THEN '{A.DAMMA}' ELSE '' END || right(w, 1) END"
+
+
+@query(
+    f"WITH a AS (SELECT doc_id, trim(regexp_replace(translate({ARABIC}, '{_MC}', ''), '\\s+', ' ', 'g')) AS t, {_duck_chance("doc_id || ':1'")} AS u FROM documents), "
+    "m AS (SELECT *, CASE WHEN u < 0.55 THEN 'plain' WHEN u < 0.85 THEN 'partial' ELSE 'full' END AS mode FROM a), "
+    f"x AS (SELECT doc_id, mode, array_to_string(list_transform(string_split(t, ' '), lambda w, i: CASE WHEN mode = 'full' OR mode = 'partial' AND {_duck_chance("doc_id || ':' || (i - 1)")} < 0.3 THEN {_MARKED} ELSE w END), ' ') AS t FROM m) "
+    f"SELECT doc_id, mode, t, regexp_matches(t, '[{A.DIACRITICS}]') AS marked FROM x"
+)
 def q_mixed_text(spark, sf_dir):
-    """Plain, partly and fully marked texts by chance; tests check the modes."""
+    """Plain, partly and fully marked texts by chance."""
     docs = vo.stub_marks(plain_documents(spark, sf_dir)).withColumn("k", F.col("doc_id").cast("string"))
     words = F.transform(F.arrays_zip(F.split("text", " ").alias("word"), F.split("diac", " ").alias("diac")), lambda w: F.struct(w["word"].alias("word"), w["diac"].alias("diac")))
     mode = samples.mix_mode(samples.uniform(F.concat_ws(":", "k", F.lit("1"))))

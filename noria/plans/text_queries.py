@@ -380,6 +380,43 @@ def q_sentence_chunks(spark, sf_dir):
     return c.select("conv_id", "turn", F.size("chunks").cast("long").alias("n_chunks"), F.array_join("chunks", "|").alias("chunks"))
 
 
+def _duck_letters(e: str) -> str:
+    return f"length(regexp_replace({e}, '[^{_L}]', '', 'g'))"
+
+
+def _duck_merged(parts: str) -> str:
+    """DuckDB: neighbours of a list joined by a space while they have 160 letters at most together."""
+    start = f"list_transform({parts}, lambda w: {{'done': CAST([] AS VARCHAR[]), 'now': w, 'n': {_duck_letters('w')}}})"
+    step = "CASE WHEN s.n + w.n > 160 THEN {'done': list_append(s.done, s.now), 'now': w.now, 'n': w.n} ELSE {'done': s.done, 'now': s.now || ' ' || w.now, 'n': s.n + w.n} END"
+    return f"list_reduce({start}, lambda s, w: {step})"
+
+
+def _duck_split(e: str, after: str) -> str:
+    """DuckDB: a text's parts that end after a sign and white space."""
+    return f"list_filter(list_transform(string_split(regexp_replace({e}, '([{after}])\\s', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def _subscripts(e: str) -> str:
+    return f"unnest({e}) AS x, generate_subscripts({e}, 1) AS k"
+
+
+_CHUNKS = f"""{_NORMAL_CTE},
+s AS (SELECT doc_id, x AS sentence, k AS si FROM (SELECT doc_id, {_subscripts(_duck_split('normal', '.'))} FROM n)),
+p AS (SELECT doc_id, si, x AS part, k AS pi, long FROM (SELECT doc_id, si, long, {_subscripts("CASE WHEN long THEN " + _duck_split('sentence', ',') + " ELSE [sentence] END")} FROM (SELECT *, {_duck_letters('sentence')} > 160 AS long FROM s))),
+w AS (SELECT doc_id, si, pi, CASE WHEN long AND {_duck_letters('part')} > 160 THEN {_duck_merged("list_filter(string_split(part, ' '), lambda w: w <> '')")} ELSE {{'done': CAST([] AS VARCHAR[]), 'now': part, 'n': 0}} END AS r FROM p),
+q AS (SELECT doc_id, si, pi, {_subscripts('list_append(r.done, r.now)')} FROM w),
+l AS (SELECT doc_id, list(x ORDER BY si, pi, k) AS pieces FROM q GROUP BY doc_id),
+c AS (SELECT doc_id, list_append(r.done, r.now) AS chunks FROM (SELECT doc_id, {_duck_merged('pieces')} AS r FROM l))"""
+
+
+@query(f"WITH {_CHUNKS} SELECT n.doc_id, CAST(coalesce(len(chunks), 0) AS BIGINT) AS n_chunks, coalesce(array_to_string(list_transform(chunks, lambda c: CASE WHEN ends_with(c, '.') THEN c ELSE regexp_replace(c, ',+$', '') || '.' END), '|'), '') AS chunks FROM n LEFT JOIN c USING (doc_id)")
+def q_letter_chunks(spark, sf_dir):
+    """Chunks of whole documents whose digits are letters, too; the twin folds lists of structs."""
+    df = table(spark, sf_dir, "documents").select("doc_id", ar.arabize(F.col("text"), True).alias("t"))
+    c = ar.normalize(df, "t", "normal").select("doc_id", ar.sentence_chunks(F.col("normal")).alias("chunks"))
+    return c.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.array_join("chunks", "|").alias("chunks"))
+
+
 @query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 128 AS BIGINT) AS block FROM documents")
 def q_blocks(spark, sf_dir):
     from noria.operators.ordering import running_number
