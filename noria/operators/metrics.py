@@ -61,12 +61,29 @@ def mean_of_means(df: DataFrame, outer: str, inner: str, value: str) -> DataFram
     return batches.groupBy(outer).agg(F.avg("m").alias("m")).agg(F.avg("m").alias("metric"))
 
 
-def learning_rates(spark, steps: int, peak: float, warmup: int, floor: float, cosine: bool) -> DataFrame:
-    """step, lr: linear warm-up, then constant or a cosine down to the floor."""
-    s = F.col("id")
-    late = (s - warmup) / max(1, steps - warmup)
+def learning_rate(step: Column, steps: int, peak: float, warmup: int, floor: float, cosine: bool) -> Column:
+    """The rate at a step: linear warm-up, then constant or a cosine down to the floor."""
+    late = (step - warmup) / max(1, steps - warmup)
     down = F.lit(floor) + (F.lit(peak) - floor) * 0.5 * (1 + F.cos(F.least(late, F.lit(1.0)) * 3.141592653589793))
-    return spark.range(steps).select(s.alias("step"), F.when(s < warmup, peak * (s + 1) / warmup).otherwise(down if cosine else F.lit(peak)).alias("lr"))
+    return F.when(step < warmup, peak * (step + 1) / warmup).otherwise(down if cosine else F.lit(peak))
+
+
+def learning_rates(spark, steps: int, peak: float, warmup: int, floor: float, cosine: bool) -> DataFrame:
+    """step and lr of all steps."""
+    return spark.range(steps).select(F.col("id").alias("step"), learning_rate(F.col("id"), steps, peak, warmup, floor, cosine).alias("lr"))
+
+
+def due(step: Column, every: int, start: Column | None = None, verbose: int = 0) -> Column:
+    """Whether a step is one of every so many, or one of the first ``verbose`` after the start."""
+    begun = F.lit(0) if start is None else start
+    return (step % every == 0) | ((F.lit(verbose) > 0) & (step - begun <= verbose))
+
+
+def sample_statistics(rows: DataFrame, length: str, margin: float = 0.1) -> DataFrame:
+    """One row: the mean length, and the share of rows within ``margin`` of the longest."""
+    longest = rows.agg(F.max(length).alias("_most"))  # one row
+    value = F.col(length)
+    return rows.join(F.broadcast(longest)).agg(F.avg(value).alias("mean"), F.avg((value >= F.col("_most") - margin).cast("double")).alias("at_limit"))
 
 
 def real_time(df: DataFrame, keys: list[str], audio: str, wall: str, ready: str, began: str) -> DataFrame:

@@ -46,6 +46,26 @@ def newest(df: DataFrame, per: list[str], order: list[Column], n: int) -> DataFr
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def retained(df: DataFrame, per: list[str], kind: str, order: list[Column], keep: dict[str, int]) -> DataFrame:
+    """Of each group the newest files of each kind that ``keep`` names, as many as it says (three checkpoints, one optimizer); other kinds stay."""
+    place = F.row_number().over(Window.partitionBy(*per, kind).orderBy(*order))
+    most = F.create_map(*[x for k, n in keep.items() for x in (F.lit(k), F.lit(n))])
+    return df.withColumn("_n", place).where(F.col("_n") <= F.coalesce(F.try_element_at(most, F.col(kind)), F.col("_n"))).drop("_n")
+
+
+def sanity(values: DataFrame, value: str, digest: Column, expected_digest: Column, window: Column, expected_window: Column) -> DataFrame:
+    """One row (n, largest) of the numbers in an array column, or an error: no number may be infinite or NaN, not all may be zero, and the table's
+    digest and window (aggregates, or literals) must be what is expected."""
+    x = F.col(value)
+    bad = F.sum(F.size(F.filter(x, lambda v: F.isnan(v) | (F.abs(v) == float("inf")))))
+    one = values.agg(
+        F.sum(F.size(x)).alias("n"), F.max(F.array_max(F.transform(x, lambda v: F.abs(v)))).alias("largest"), bad.alias("_bad"),
+        digest.alias("_digest"), expected_digest.alias("_wanted"), window.alias("_window"), expected_window.alias("_asked"),
+    )
+    held = checked(one, finite=F.col("_bad") == 0, some_not_zero=F.col("largest") > 0, same_digest=F.col("_digest") == F.col("_wanted"), same_window=F.col("_window") == F.col("_asked"))
+    return held.select("n", "largest")
+
+
 def unexpected(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Distinct keys of ``found`` that ``known`` lacks."""
     return found.select(key).distinct().join(known.select(key), key, "left_anti")
@@ -68,6 +88,11 @@ def limited(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n) if n else df
 
 
+def first_batches(df: DataFrame, batch: str, n: int) -> DataFrame:
+    """The rows of the first n batches, numbered from 0; all for 0."""
+    return df.where((F.col(batch) >= 0) & (F.col(batch) < n)) if n else df
+
+
 def save_step(df: DataFrame, path: str, step: int) -> None:
     """Write a checkpoint's rows under its step; a step written again replaces its own rows only."""
     df.write.mode("overwrite").parquet(f"{path}/step={step}")

@@ -43,6 +43,12 @@ def q_manifest_stats(spark, sf_dir):
     return manifest.stats(manifest.classify(raw_metadata(spark, sf_dir), LIMITS))
 
 
+@query(f"WITH {_CLASSIFIED.replace('200.0', '20.0')} SELECT split, coalesce(reason, 'kept') AS reason, count(*) AS n FROM c GROUP BY ALL")
+def q_reject_reasons_default(spark, sf_dir):
+    """With the limits as they are by default: 20 seconds at most."""
+    return manifest.reasons(manifest.classify(raw_metadata(spark, sf_dir)))
+
+
 @query(f"WITH {_CLASSIFIED} SELECT id, split, round(duration, 6) AS duration, text, coalesce(confidence, 1.0) AS confidence FROM c WHERE reason IS NULL")
 def q_manifest(spark, sf_dir):
     kept = manifest.kept(manifest.classify(raw_metadata(spark, sf_dir), LIMITS))

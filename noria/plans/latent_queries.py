@@ -404,18 +404,50 @@ def q_checked(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 40")
 def q_batch_limit(spark, sf_dir):
-    """The first batches only; 0 would be all."""
-    ordered = table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey")
-    return weights.limited(ordered, 40).unionByName(weights.limited(ordered.where("o_orderkey < 0"), 0))
+    """The first five batches of eight; 0 would be all."""
+    ordered = running_number(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "n").withColumn("batch", F.expr("n div 8"))
+    return weights.first_batches(ordered, "batch", 5).unionByName(weights.first_batches(ordered.where("o_orderkey < 0"), "batch", 0)).select("o_orderkey")
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, CAST(unnest(list_concat(range(0, CAST(ceil(n / 2.0) AS BIGINT)), range(24 - n // 2, 24))) AS BIGINT) AS layer FROM range(1, 25) r(n)")
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, CASE WHEN o_orderstatus = 'O' THEN 'optimizer' ELSE 'checkpoint' END ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, o_orderstatus AS s FROM orders) WHERE n <= CASE WHEN s = 'O' THEN 1 ELSE 3 END")
+def q_retention_kinds(spark, sf_dir):
+    """Three checkpoints and one optimizer of each run stay."""
+    files = table(spark, sf_dir, "orders").withColumn("kind", F.when(F.col("o_orderstatus") == "O", "optimizer").otherwise("checkpoint"))
+    return weights.retained(files, ["o_custkey"], "kind", [F.desc("o_orderdate"), F.desc("o_orderkey")], {"checkpoint": 3, "optimizer": 1}).select("o_orderkey")
+
+
+@query("SELECT CAST(sum(len(embedding)) AS BIGINT) AS n, round(max(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))))), 6) AS largest FROM embeddings")
+def q_sanity(spark, sf_dir):
+    """All numbers are finite, some aren't zero, and count and width are those of the table as read before."""
+    v = vectors(spark, sf_dir)
+    before = v.agg(F.sha2(F.count(F.lit(1)).cast("string"), 256).alias("digest"), F.max(F.size("v")).alias("window"))  # one row
+    found = weights.sanity(v.join(F.broadcast(before)), "v", F.sha2(F.count(F.lit(1)).cast("string"), 256), F.max("digest"), F.min(F.size("v")), F.max("window"))
+    return found.select("n", F.round("largest", 6).alias("largest"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents")
+def q_sorted_by_id(spark, sf_dir):
+    """Documents in order of id, each with its place."""
+    return running_number(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "place")
+
+
+@query("SELECT l_orderkey, min([CAST(l_linenumber AS BIGINT), l_partkey])[2] AS first, max([CAST(l_linenumber AS BIGINT), l_partkey])[2] AS last FROM lineitem GROUP BY l_orderkey")
+def q_first_last(spark, sf_dir):
+    """First and last element of an order's lines, by number and part."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    return lines.select("l_orderkey", F.element_at("l", 1)["l_partkey"].alias("first"), F.element_at("l", -1)["l_partkey"].alias("last"))
+
+
+@query("SELECT n_nationkey, CAST(unnest(list_concat(range(0, CAST(ceil(n / 2.0) AS BIGINT)), range(depth - n // 2, depth))) AS BIGINT) AS layer FROM (SELECT n_nationkey, 12 + n_regionkey AS depth, 1 + n_nationkey % 12 AS n FROM nation)")
 def q_layers_chosen(spark, sf_dir):
-    n = spark.range(1, 25).select(F.col("id").alias("n"))
-    return n.select("n", F.explode(weights.selected_layers(F.lit(24), F.col("n"))).alias("layer"))
+    """Layers of models of different depths."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", (12 + F.col("n_regionkey")).alias("depth"), (1 + F.col("n_nationkey") % 12).alias("n"))
+    return n.select("n_nationkey", F.explode(weights.selected_layers(F.col("depth"), F.col("n"))).alias("layer"))
 
 
-@query("SELECT k AS old, 'layers.' || CAST(list_position([0, 1, 22, 23], n) - 1 AS VARCHAR) || '.' || part AS new FROM (SELECT 'layers.' || n || '.' || part AS k, n, part FROM range(24) r(n), (VALUES ('w'), ('b')) p(part) WHERE n < 2 OR n >= 22)")
+@query("SELECT o_orderkey, 'block_' || k || '_' || o_orderstatus AS old, 'layers.' || CAST(list_position([0, 1, 22, 23], k) - 1 AS VARCHAR) || '.' || o_orderstatus AS new FROM (SELECT *, CAST(o_custkey % 24 AS INTEGER) AS k FROM orders) WHERE list_contains([0, 1, 22, 23], k)")
 def q_layers_renamed(spark, sf_dir):
-    parts = F.array(F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".w")), F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".b")))
-    return weights.renamed_layers(spark.range(24).select(F.explode(parts).alias("old")), "old", [0, 1, 22, 23]).select("old", "new")
+    """Keys of another form, by another pattern."""
+    old = F.concat(F.lit("block_"), (F.col("o_custkey") % 24).cast("string"), F.lit("_"), "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", old.alias("old"))
+    return weights.renamed_layers(rows, "old", [0, 1, 22, 23], r"^block_(\d+)_(.*)$").select("o_orderkey", "old", "new")

@@ -70,9 +70,10 @@ def q_calibration(spark, sf_dir):
     return f.join(F.broadcast(floor)).agg((F.coalesce(F.max(F.when(F.col("rel") > F.greatest(1.5 * F.col("floor"), F.lit(1e-3)), F.col("i"))), F.lit(-1)) + 5).cast("long").alias("margin"))
 
 
-@query("SELECT range AS step, round(CASE WHEN range < 500 THEN 2e-4 * (range + 1) / 500 ELSE 1e-5 + (2e-4 - 1e-5) * 0.5 * (1 + cos(least((range - 500) / 1500.0, 1.0) * 3.141592653589793)) END, 9) AS lr FROM range(2000)")
+@query("SELECT event_id, round(CASE WHEN event_id < 500 THEN 2e-4 * (event_id + 1) / 500 ELSE 1e-5 + (2e-4 - 1e-5) * 0.5 * (1 + cos(least((event_id - 500) / 1500.0, 1.0) * 3.141592653589793)) END, 9) AS lr FROM events")
 def q_lr_schedule(spark, sf_dir):
-    return metrics.learning_rates(spark, 2000, 2e-4, 500, 1e-5, True).select("step", F.round("lr", 9).alias("lr"))
+    """The rate at each event's number as a step."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(metrics.learning_rate(F.col("event_id"), 2000, 2e-4, 500, 1e-5, True), 9).alias("lr"))
 
 
 @query("WITH l AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda s, x: 0.9 * s + 0.1 * x), 5) AS ema FROM l")
@@ -106,11 +107,11 @@ def q_scalars(spark, sf_dir):
     return s.select("tag", F.size("step").cast("long").alias("n"), F.md5(F.array_join(F.col("step").cast("array<string>"), ",")).alias("steps"), F.round(F.element_at("value", -1), 6).alias("last"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, CAST(unnest(list_concat(range(0, CAST(ceil(n / 2.0) AS BIGINT)), range(24 - n // 2, 24))) AS BIGINT) AS layer FROM range(1, 25) r(n)")
+@query("SELECT p_partkey, CAST(unnest(list_concat(range(0, CAST(ceil(n / 2.0) AS BIGINT)), range(24 - n // 2, 24))) AS BIGINT) AS layer FROM (SELECT p_partkey, 1 + p_size % 24 AS n FROM part)")
 def q_select_layers(spark, sf_dir):
-    """Of 24 layers the bottom half and the top half of n."""
-    n = spark.range(1, 25).select(F.col("id").alias("n"))
-    return n.select("n", F.explode(weights.selected_layers(F.lit(24), F.col("n"))).alias("layer"))
+    """Of 24 layers the bottom half and the top half of n, for the n of each part."""
+    n = table(spark, sf_dir, "part").select("p_partkey", (1 + F.col("p_size") % 24).cast("long").alias("n"))
+    return n.select("p_partkey", F.explode(weights.selected_layers(F.lit(24), F.col("n"))).alias("layer"))
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(o.o_totalprice, l.l_extendedprice) AS weight FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus = l.l_linestatus")
@@ -147,7 +148,7 @@ def q_throughput(spark, sf_dir):
     return e.select("user_id", "event_id", F.round("gap", 6).alias("gap"), F.round(F.col("value") / F.greatest("gap", F.when(F.col("gap").isNotNull(), F.lit(1e-6))), 4).alias("rate"))
 
 
-@query("SELECT round(avg(l_quantity), 6) AS mean, round(avg(CAST(l_quantity >= 49.9 AS DOUBLE)), 6) AS at_limit FROM lineitem")
+@query("SELECT round(avg(l_quantity), 6) AS mean, round(avg(CAST(l_quantity >= (SELECT max(l_quantity) FROM lineitem) - 0.1 AS DOUBLE)), 6) AS at_limit FROM lineitem")
 def q_sample_stats(spark, sf_dir):
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.avg(q), 6).alias("mean"), F.round(F.avg((q >= 49.9).cast("double")), 6).alias("at_limit"))
+    found = metrics.sample_statistics(table(spark, sf_dir, "lineitem"), "l_quantity")
+    return found.select(F.round("mean", 6).alias("mean"), F.round("at_limit", 6).alias("at_limit"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from noria.functions import alphabet as A
 from noria.functions import arabic as ar
-from noria.operators import samples, weights
+from noria.operators import metrics, samples, weights
 from noria.operators import votes as vo
-from noria.operators.ordering import running_number
+from noria.operators.ordering import number_within, running_number
 
 from .registry import query, table
 from .text_queries import _MC, _WORDS, ARABIC, plain_documents
@@ -62,11 +62,12 @@ def q_override(spark, sf_dir):
     return joined.select("l_orderkey", "l_linenumber", F.when(keep, F.col("l_extendedprice")).otherwise(F.col("p_retailprice")).alias("v"))
 
 
-@query("SELECT k AS old, 'layers.' || CAST(row_number() OVER (PARTITION BY part ORDER BY n) - 1 AS VARCHAR) || '.' || part AS new FROM (SELECT 'layers.' || n || '.' || part AS k, n, part FROM range(24) r(n), (VALUES ('w'), ('b')) p(part) WHERE n < 3 OR n >= 21)")
+@query("SELECT l_orderkey, l_linenumber, 'layers.' || k || '.' || l_returnflag AS old, 'layers.' || CAST(list_position([0, 1, 2, 21, 22, 23], k) - 1 AS VARCHAR) || '.' || l_returnflag AS new FROM (SELECT *, CAST(l_partkey % 24 AS INTEGER) AS k FROM lineitem) WHERE list_contains([0, 1, 2, 21, 22, 23], k)")
 def q_layer_rename(spark, sf_dir):
-    """Keys of the selected layers, numbered anew."""
-    keys = spark.range(24).select(F.explode(F.array(F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".w")), F.concat(F.lit("layers."), F.col("id").cast("string"), F.lit(".b")))).alias("old"))
-    return weights.renamed_layers(keys, "old", [0, 1, 2, 21, 22, 23]).select("old", "new")
+    """Keys of the selected layers, numbered anew; those of other layers go."""
+    old = F.concat(F.lit("layers."), (F.col("l_partkey") % 24).cast("string"), F.lit("."), "l_returnflag")
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", old.alias("old"))
+    return weights.renamed_layers(keys, "old", [0, 1, 2, 21, 22, 23]).select("l_orderkey", "l_linenumber", "old", "new")
 
 
 @query("SELECT count(*) AS unexpected FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
@@ -80,10 +81,11 @@ def q_epochs(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("epoch"), "conv_id", "turn")
 
 
-@query("SELECT CAST(range AS BIGINT) AS step, range % 500 = 0 AS logged, range % 500 = 0 OR range <= 10 AS verbose FROM range(5000)")
+@query("SELECT event_id, i % 5 = 0 AS logged, i % 5 = 0 OR i - 2 <= 10 AS verbose FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)")
 def q_step_schedule(spark, sf_dir):
-    step = F.col("id")
-    return spark.range(5000).select(step.alias("step"), (step % 500 == 0).alias("logged"), ((step % 500 == 0) | (step <= 10)).alias("verbose"))
+    """Each user's events as steps of a run that begins at step 2: which are logged, and which in the run's first ten too."""
+    steps = number_within(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "i")
+    return steps.select("event_id", metrics.due(F.col("i"), 5).alias("logged"), metrics.due(F.col("i"), 5, F.lit(2), 10).alias("verbose"))
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice) / greatest(sum(l_quantity), 1e-9), 6) AS factor FROM lineitem GROUP BY l_returnflag")

@@ -252,9 +252,16 @@ _VOCABULARY = "MAP {" + ", ".join(f"'{t}': {i}" for i, t in enumerate(A.vocabula
 _TOKENS = f"regexp_extract_all(t, 'ة[{_V}]|(?s:.)')"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), '{t}')" for i, t in enumerate(A.vocabulary())) + ") v(id, token)")
+@query(
+    "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), '{t}')" for i, t in enumerate(A.vocabulary())) + ") v(id, token)), "
+    f"a AS (SELECT {ARABIC} AS t FROM conversations), c AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM a) GROUP BY token) "
+    "SELECT id, v.token, coalesce(n, 0) AS n FROM v LEFT JOIN c ON c.token = v.token"
+)
 def q_vocab(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in A.vocabulary()])).alias("id", "token"))
+    """The vocabulary, with how often each token occurs in the conversations."""
+    said = table(spark, sf_dir, "conversations").select(F.explode(ar.tokens(ar.arabize(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in A.vocabulary()])).alias("id", "token"))
+    return F.broadcast(vocabulary).join(said, "token", "left").select("id", "token", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH m AS MATERIALIZED (SELECT {_VOCABULARY} AS v), a AS (SELECT conv_id, turn, {ARABIC} AS t FROM conversations) SELECT conv_id, turn, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, array_to_string(list_transform({_TOKENS}, lambda x: coalesce(m.v[x], 0)), ',') AS ids FROM a, m")

@@ -382,3 +382,27 @@ def test_generator_starts_each_chunk_from_the_voice(spark):
     assert models.by_name("math:sqrt")(4) == 2
     with pytest.raises(LookupError):
         models.by_name("no_such_package:f")
+
+
+def test_retention_and_sanity(spark):
+    files_ = spark.createDataFrame([("r", k, n) for k, most in (("checkpoint", 5), ("optimizer", 3), ("log", 4)) for n in range(most)], "run string, kind string, n int")
+    kept = weights.retained(files_, ["run"], "kind", [F.desc("n")], {"checkpoint": 3, "optimizer": 1}).collect()
+    assert sorted((r["kind"], r["n"]) for r in kept) == [("checkpoint", 2), ("checkpoint", 3), ("checkpoint", 4), ("log", 0), ("log", 1), ("log", 2), ("log", 3), ("optimizer", 2)]
+    same = (F.lit("a"), F.lit("a"), F.lit(5), F.lit(5))
+    table = lambda *v: spark.createDataFrame([(list(v),)], "v array<double>")
+    assert tuple(weights.sanity(table(1.0, -3.0), "v", *same).first()) == (2, 3.0)
+    for bad, tests, what in ((table(1.0, float("nan")), same, "finite"), (table(float("-inf"), 1.0), same, "finite"), (table(0.0, 0.0), same, "some_not_zero"), (table(1.0), (F.lit("a"), F.lit("b"), F.lit(5), F.lit(5)), "same_digest"), (table(1.0), (F.lit("a"), F.lit("a"), F.lit(5), F.lit(4)), "same_window")):
+        with pytest.raises(Exception, match=what):
+            weights.sanity(bad, "v", *tests).collect()
+    batches = spark.createDataFrame([(b,) for b in (0, 0, 1, 2, 2)], "b int")
+    assert weights.first_batches(batches, "b", 2).count() == 3 and weights.first_batches(batches, "b", 0).count() == 5
+
+
+def test_schedules(spark):
+    df = spark.range(0, 40)
+    due = [r["id"] for r in df.where(metrics.due(F.col("id"), 10)).collect()]
+    assert sorted(due) == [0, 10, 20, 30]
+    verbose = [r["id"] for r in df.where(metrics.due(F.col("id"), 10, F.lit(5), 3)).collect()]
+    assert sorted(verbose) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 20, 30]
+    rows = spark.createDataFrame([(1.0,), (4.0,), (5.0,), (4.95,)], "x double")
+    assert tuple(metrics.sample_statistics(rows, "x").first()) == (pytest.approx(14.95 / 4), 0.5)
