@@ -7,7 +7,8 @@ are tied by edges of small capacity. The maximum flow then parts the page where
 classifier and cutting ties costs least in sum. The classifier is trained here, on the blocks of PAGES, small
 labelled pages of several styles (half of them name no container), parsed as all pages are.
 
-Each page is a row of its own, so there is no shuffle. Null or empty html gives an empty text;
+Each page is a row of its own, so there is no shuffle. Formulas, fallbacks of objects and canvases, and buttons within sentences are text like any
+other; what is hidden, other buttons, and what stands in a noscript outside an article are blocks that the classifier sees as away from content. Null or empty html gives an empty text;
 very long and deeply nested pages are parsed in one pass, in linear time; broken and cut-off markup is read as far
 as it goes. Repeated rows are extracted each; an empty table gives an empty result. Extra columns are not read.
 """
@@ -29,11 +30,16 @@ from .workers import tidy
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--\s*>|.*$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|/?$|/[^a-zA-Z>][^>]*(?:>|$))""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select button".split())
+#: Never text of the page: code, drawings and form controls. What is inside is skipped.
+RAW = frozenset("script style template textarea iframe svg select".split())
 #: Of these, the ones that hold text only: without an end tag they hold the rest of the page.
 _TEXT_ONLY = frozenset("script style textarea iframe".split())
 VOID = frozenset("br img meta link hr input wbr area base col embed source track param".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input object canvas".split()) | frozenset(
+    "math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd merror".split()
+)
+#: A button in one of these is part of a sentence; elsewhere it is a control.
+_SENTENCES = frozenset("p li dd td th blockquote figcaption caption summary h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = frozenset("p div ul ol dl li h1 h2 h3 h4 h5 h6 article section nav header footer aside main table blockquote pre form figure hr address details fieldset".split())
 _AWAY = frozenset("nav footer aside form head menu dialog fieldset title".split())
 _TOWARD = frozenset("article main".split())
@@ -104,11 +110,11 @@ def _side(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
 class _Open:
     """An open element: what it and the elements around it say about text inside."""
 
-    __slots__ = ("tag", "side", "away", "hidden", "block", "container", "article")
+    __slots__ = ("tag", "side", "away", "option", "block", "container", "article")
 
-    def __init__(self, tag: str, side: int, away: bool, hidden: bool, block: int, container: int, article: bool):
+    def __init__(self, tag: str, side: int, away: bool, option: bool, block: int, container: int, article: bool):
         #: block: place on the stack of the nearest element that isn't inline; container: number of the nearest container
-        self.tag, self.side, self.away, self.hidden, self.block, self.container, self.article = tag, side, away, hidden, block, container, article
+        self.tag, self.side, self.away, self.option, self.block, self.container, self.article = tag, side, away, option, block, container, article
 
 
 def blocks(page: str) -> list[Block]:
@@ -124,7 +130,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             top = stack[-1]
-            if text and not top.hidden:
+            if text and not top.option:
                 own = stack[top.block]
                 out.append(Block(text, linked, own.side, own.away, top.container, own.tag))
         parts, linked = [], 0
@@ -171,6 +177,9 @@ def blocks(page: str) -> list[Block]:
                     at = end
             continue
         inline = tag in INLINE
+        if tag == "button":
+            opened = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if closing else 0
+            inline = stack[opened].block < opened if closing else stack[stack[-1].block].tag in _SENTENCES
         if not inline:
             close()
         if closing:
@@ -183,16 +192,18 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
-        # an option's end tag may be left out: a block ends it; so it is with paragraphs and list items
-        if not inline and stack[stack[-1].block].tag == "option":
+        # an option's end tag may be left out: a block ends it, and a button if it is no mere div; so it is with paragraphs and list items
+        if not inline and (stack[stack[-1].block].tag == "option" or stack[stack[-1].block].tag == "button" and tag in _CLOSES_P and tag != "div"):
             pop(stack[-1].block)
         if (tag in _CLOSES_P or tag in ("tr", "td", "th", "dt", "dd", "option")) and stack[stack[-1].block].tag == ("li" if tag == "li" else "p"):
             pop(stack[-1].block)
         top = stack[-1]
         side, hidden = _side(tag, attributes, top.article)
+        if (tag == "button" and not inline) or (tag == "noscript" and not top.article):
+            side = -1
         serial += 1
         block = top.block if inline else len(stack)
-        stack.append(_Open(tag, side or top.side, top.away or side < 0, top.hidden or hidden or tag == "option", block, serial if tag in _CONTAINERS else top.container, top.article or tag in _TOWARD))
+        stack.append(_Open(tag, side or top.side, top.away or side < 0 or hidden, top.option or tag == "option", block, serial if tag in _CONTAINERS else top.container, top.article or tag in _TOWARD))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         links += tag == "a"
     close()
@@ -205,7 +216,7 @@ PAGES = (
     "<nav><ul><li><a>-W</a><li><a>-W W</a><li><a>-W</a></ul></nav><div class=ad>-S</div><article><h1>+W W W</h1><p>+S S</p><p>+S</p><p>+S S S</p></article><footer>-W S S</footer>",
     "<header><a>-W W</a></header><main><h1>+W W</h1><p>+S S S</p><ul><li>+S<li>+W W W</ul><p>+S</p></main><aside><h3>-W</h3><p>-S S</p></aside><footer><p>-S</p></footer>",
     "<div id=menu><a>-W</a> <a>W</a></div><div id=content><h2>+W W</h2><p>+S</p><blockquote>+S S</blockquote><p>+S S</p></div><div id=sidebar><p>-S S</p></div><div class=comments><p>-S S</p><p>-S</p></div>",
-    "<body><div class=cookie-notice>-S S <button>W</button></div><div class=post><p>+S S S S</p><p>+W W W.</p><p>+S S</p></div><div class=related><a>-W W W W W</a></div><form><label>-W W</label></form>",
+    "<body><div class=cookie-notice>-S S <button>-W</button></div><div class=post><p>+S S S S</p><p>+W W W.</p><p>+S S</p></div><div class=related><a>-W W W W W</a></div><form><label>-W W</label></form>",
     "<article><header><h1>+W W W W</h1><p>+S</p></header><p>+S S</p><table><tr><td>+W<td>+W W</table><p>+S</p><section class=comments><h2>-W</h2><p>-S S S</p></section></article><div class=newsletter>-S</div>",
     "<div class=banner>-W S</div><div class=story>+S S S</div><div class=share><a>-W</a> <a>W</a></div><div class=story>+S S</div><div class=footer>-W W S</div>",
     "<div><a>-W</a> <a>W</a> <a>W</a></div><div><h1>+W W W</h1></div><div><p>+S S S</p><p>+S S</p><p>+W W W W W.</p><p>+S S S S</p></div><div><a>-W W</a> <a>W</a></div><div>-W W W</div>",

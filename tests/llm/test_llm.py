@@ -615,6 +615,34 @@ def test_html():
     assert html_text.main_text("<article>" + "<p>word</p>" * 5000).count("\n\n") == 4999
 
 
+_STORY = "<p>It was a long day in the valley, and nobody came down before the evening.</p>"
+
+
+@pytest.mark.parametrize("inside, text", [
+    ("The sum <math>x=3</math> holds here, as was shown.", "The sum x=3 holds here, as was shown."),
+    ("So <math><mrow><mi>a</mi><mo>+</mo><msup><mi>b</mi><mn>2</mn></msup></mrow></math> is known to be even.", "So a+b2 is known to be even."),
+    ("See <object data='a.pdf'>the printed report</object> for all of the numbers.", "See the printed report for all of the numbers."),
+    ("The chart <canvas>shows sales by year</canvas> as they were counted.", "The chart shows sales by year as they were counted."),
+    ("Press <button>Start</button> and wait until the light is green.", "Press Start and wait until the light is green."),
+    ("Rain fell <noscript>all through the night</noscript> on the town.", None),
+    ("It stays <span hidden>even so</span> in the sentence that it is in.", "It stays even so in the sentence that it is in."),
+])
+def test_html_keeps_text_of_articles(inside, text):
+    page = f"<nav><a>Home</a> <a>News</a></nav><article><h1>The valley report</h1>{_STORY}<p>{inside}</p>{_STORY}</article><footer>All rights</footer>"
+    got = html_text.main_text(page)
+    for words_ in re.sub("<[^>]*>", "|", re.sub(r"</?(?:math|m[a-z]+|object|canvas|button|span)[^>]*>", "", inside)).split("|"):
+        assert " ".join(words_.split()) in got
+    assert text is None or text in got.split("\n\n")
+    assert "Home" not in got and "rights" not in got
+
+
+def test_html_drops_controls_and_hidden_notices():
+    page = f"<body><noscript>Please switch on scripts to use this page.</noscript><button>Menu</button><div hidden><p>You have no new messages yet.</p></div><article><h1>The valley report</h1>{_STORY * 3}<script>x()</script><template><p>Never shown at all.</p></template></article><button>Top</button></body>"
+    got = html_text.main_text(page)
+    assert got.startswith("The valley report") and got.count("valley") == 4
+    assert not any(x in got for x in ("scripts", "Menu", "messages", "x()", "Never", "Top"))
+
+
 @pytest.mark.parametrize("before", ["<datalist id=x><option value=a><option value=b></datalist>", "<select><option>A", "<option>A<option>B", "<optgroup><option>A", "<button>", "<svg><path d='x'>", "<object data=x>", "<canvas>", "<noscript>", "<select><option>A</select>", "<option>A</option>"])
 def test_html_left_out_end_tags(before):
     """Only elements of plain text hold the rest of the page where their end tag is missing."""
