@@ -9,6 +9,7 @@ from noria.functions import alphabet as A
 from noria.functions import arabic as ar
 from noria.operators import cuts, manifest, samples
 from noria.operators.ordering import running_number
+from noria.session import spread
 from noria.sources import files
 
 from .registry import query, table
@@ -19,7 +20,7 @@ LIMITS = manifest.Limits(max_duration=200.0)
 
 def raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and labels in the shape of raw metadata."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     split = F.when(F.col("doc_id") % 10 == 0, "valid").when(F.col("doc_id") % 10 == 1, "test").otherwise("train")
     duration = F.col("n_chars") / (3.0 + F.col("doc_id") % 20)
     return docs.select(F.col("doc_id").alias("id"), ar.arabize(F.col("text"), True).alias("raw_text"), duration.alias("duration"), F.col("quality").cast("double").alias("confidence"), (F.col("toxic") == 1).alias("promo"), split.alias("split"), "lang")

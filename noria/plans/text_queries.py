@@ -9,6 +9,7 @@ from noria.functions import alphabet as A
 from noria.functions import arabic as ar
 from noria.functions import numerals as nu
 from noria.operators import votes as vo
+from noria.session import spread
 
 from .registry import query, table
 
@@ -22,7 +23,7 @@ LETTERED = f"translate(lower(text), '{A.LATIN}0123456789', '{A.AS_ARABIC}{A.LETT
 
 
 def arabic_documents(spark: SparkSession, sf_dir: str, digits: bool = False) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", ar.arabize(F.col("text"), digits).alias("t"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", ar.arabize(F.col("text"), digits).alias("t"))
 
 
 def _docs(expression: str, columns: str = "doc_id", where: str = "", source: str = "documents") -> str:
@@ -419,7 +420,7 @@ c AS (SELECT doc_id, list_append(r.done, r.now) AS chunks FROM (SELECT doc_id, {
 @query(f"WITH {_CHUNKS} SELECT n.doc_id, CAST(coalesce(len(chunks), 0) AS BIGINT) AS n_chunks, coalesce(array_to_string(list_transform(chunks, lambda c: CASE WHEN ends_with(c, '.') THEN c ELSE regexp_replace(c, ',+$', '') || '.' END), '|'), '') AS chunks FROM n LEFT JOIN c USING (doc_id)")
 def q_letter_chunks(spark, sf_dir):
     """Chunks of whole documents whose digits are letters, too; the twin folds lists of structs."""
-    df = table(spark, sf_dir, "documents").select("doc_id", ar.arabize(F.col("text"), True).alias("t"))
+    df = arabic_documents(spark, sf_dir, True)
     c = ar.normalize(df, "t", "normal").select("doc_id", ar.sentence_chunks(F.col("normal")).alias("chunks"))
     return c.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.array_join("chunks", "|").alias("chunks"))
 

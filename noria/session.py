@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Inputs of fewer bytes than this may be a row group or two, whatever their number of rows.
+SMALL_INPUT = 64 << 20
 
 
 def session(name: str = "noria", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -15,3 +18,12 @@ def session(name: str = "noria", master: str | None = None, shuffle_partitions:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores where its input, by the planner's figures, is too small for the scan to do so; a larger one as it is, without a shuffle.
+
+    For work that costs much more than moving its rows does, as text functions.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df
