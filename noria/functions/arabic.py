@@ -124,13 +124,22 @@ def tidy_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^[.,] ?", ""), " ([.,])", "$1")
 
 
+def word_runs(text: Column) -> Column:
+    """A text's runs of letters and marks, and what stands between them, in order: joined, they are the text."""
+    return F.regexp_extract_all(text, F.lit(f"[{_L}{_MS}]+|[^{_L}{_MS}]+"), F.lit(0))
+
+
+def with_ta_marbuta(word: Column) -> Column:
+    """A word whose last ه is ة; what follows it stays."""
+    return F.regexp_replace(word, f"{A.HA}([^{A.HA}]*)$", A.TA_MARBUTA + "$1")
+
+
 def restore_in_text(text: Column, lexicon: Column) -> Column:
-    """The last ه of words whose bare form is in the lexicon (array of strings) becomes ة; marks stay."""
-    word = f"[{_L}{_MS}]+"
-    parts = F.regexp_extract_all(text, F.lit(f"{word}|[^{_L}{_MS}]+"), F.lit(0))
+    """The last ه of words whose bare form is in the lexicon (array of strings) becomes ة; marks stay. Each word looks through the lexicon: for short ones."""
+    parts = word_runs(text)
 
     def fixed(known: Column) -> Column:
-        return F.transform(parts, lambda s: F.when(s.contains(A.HA) & F.array_contains(known, strip_marks(s)), F.regexp_replace(s, f"{A.HA}([^{A.HA}]*)$", A.TA_MARBUTA + "$1")).otherwise(s))
+        return F.transform(parts, lambda s: F.when(s.contains(A.HA) & F.array_contains(known, strip_marks(s)), with_ta_marbuta(s)).otherwise(s))
 
     return F.array_join(let(lexicon, fixed), "")
 

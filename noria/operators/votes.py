@@ -75,3 +75,29 @@ def all_keys(*tables: DataFrame) -> DataFrame:
 def in_order(words: DataFrame) -> DataFrame:
     """Words by code point."""
     return words.orderBy("word")
+
+
+#: Words of a lexicon that each word of a text may look through, and those that are broadcast to the tasks that look words up.
+FEW_WORDS, BROADCAST_WORDS = 200, 1_000_000
+
+
+def restored_running(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """Rows whose running ``text`` has ة for the last ه of each word that the lexicon (word) has in its bare form; marks and all else stay.
+
+    A short lexicon goes into the expression. A longer one is joined: the distinct words with ه of each key are looked up, by hash, in a lexicon that is broadcast up to
+    BROADCAST_WORDS words, by their count, and shuffled beyond; a word's new form doesn't depend on its text, so what comes back to a key's texts is a map of the
+    words that change. Texts without such a word aren't taken apart again. Rows with a null key or text stay as they are.
+    """
+    words = lexicon.select("word").where("word IS NOT NULL").distinct()
+    n = words.limit(BROADCAST_WORDS + 1).count()
+    if n <= FEW_WORDS:
+        known = words.agg(F.collect_list("word").alias("_known"))  # one row of few words
+        return rows.join(F.broadcast(known)).withColumn(text, F.when(F.col(key).isNull(), F.col(text)).otherwise(ar.restore_in_text(F.col(text), F.col("_known")))).drop("_known")
+    spoken = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.filter(ar.word_runs(F.col(text)), lambda s: s.contains(A.HA)))).alias("_said"))
+    asked = spoken.withColumn("_bare", ar.strip_marks(F.col("_said")))
+    words = words.withColumnRenamed("word", "_bare")
+    found = asked.join(F.broadcast(words) if n <= BROADCAST_WORDS else words, "_bare", "left_semi")
+    changes = found.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("_said", ar.with_ta_marbuta(F.col("_said"))))).alias("_changes"))
+    changed = F.array_join(F.transform(ar.word_runs(F.col(text)), lambda s: F.when(s.contains(A.HA), F.coalesce(F.try_element_at("_changes", s), s)).otherwise(s)), "")
+    joined = rows.join(changes, rows[key] == changes["_key"], "left")
+    return joined.withColumn(text, F.when(F.col("_changes").isNull(), F.col(text)).otherwise(changed)).drop("_key", "_changes")

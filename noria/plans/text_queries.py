@@ -388,6 +388,21 @@ def q_sentence_chunks(spark, sf_dir):
     return c.select("conv_id", "turn", F.size("chunks").cast("long").alias("n_chunks"), F.array_join("chunks", "|").alias("chunks"))
 
 
+_RUNS = f"regexp_extract_all(t, '[{_L}{_MC}]+|[^{_L}{_MC}]+')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {ARABIC} AS t FROM documents), r AS (SELECT doc_id, unnest({_RUNS}) AS x, generate_subscripts({_RUNS}, 1) AS k FROM a),
+l AS (SELECT DISTINCT translate(x, '{_MC}', '') AS word FROM r WHERE contains(x, 'ه') AND len(translate(x, '{_MC}', '')) % 2 = 1),
+d AS (SELECT doc_id, k, CASE WHEN contains(x, 'ه') AND l.word IS NOT NULL THEN regexp_replace(x, 'ه([^ه]*)$', 'ة\\1') ELSE x END AS x FROM r LEFT JOIN l ON l.word = translate(x, '{_MC}', ''))
+SELECT a.doc_id, md5(coalesce(string_agg(x, '' ORDER BY k), '')) AS digest FROM a LEFT JOIN d USING (doc_id) GROUP BY a.doc_id""")
+def q_restore_running(spark, sf_dir):
+    """Marked running text by a lexicon of all its bare forms of odd length with ه."""
+    docs = arabic_documents(spark, sf_dir)
+    bare = docs.select(F.explode(F.filter(ar.word_runs(F.col("t")), lambda s: s.contains(A.HA))).alias("s")).select(ar.strip_marks(F.col("s")).alias("word"))
+    done = vo.restored_running(docs, "doc_id", "t", bare.where(F.length("word") % 2 == 1).distinct())
+    return done.select("doc_id", F.md5("t").alias("digest"))
+
+
 def _duck_letters(e: str) -> str:
     return f"length(regexp_replace({e}, '[^{_L}]', '', 'g'))"
 

@@ -124,3 +124,27 @@ def test_idempotent(spark, f):
     texts = ["ًا~ّ بُّ , . ةّ", "ا , , ب", "اَُّ~ب", "abc"]
     once = many(spark, texts, f)
     assert many(spark, once, f) == once
+
+
+@pytest.mark.parametrize("few, most", [(10**9, 10**9), (0, 10**9), (0, 0)])
+def test_restored_running(spark, monkeypatch, few, most):
+    from noria.operators import votes
+
+    monkeypatch.setattr(votes, "FEW_WORDS", few)
+    monkeypatch.setattr(votes, "BROADCAST_WORDS", most)
+    texts = [(1, "مدرسه، مَدرَسَهُ ! وهنا مدرسه"), (1, "كلمه اخرى"), (2, "لا شيء هنا"), (3, None), (None, "مدرسه"), (4, ""), (5, "هه ههه كلمهم")]
+    df = spark.createDataFrame(texts, "id int, t string").withColumn("word", F.lit("w"))
+    lexicon = spark.createDataFrame([("مدرسه",), ("هه",), ("كلمه",), ("مدرسه",), (None,)], "word string")
+    got = sorted(((r["id"], r["t"]) for r in votes.restored_running(df, "id", "t", lexicon).collect()), key=repr)
+    want = [(1, "مدرسة، مَدرَسَةُ ! وهنا مدرسة"), (1, "كلمة اخرى"), (2, "لا شيء هنا"), (3, None), (None, "مدرسه"), (4, ""), (5, "هة ههه كلمهم")]
+    assert got == sorted(want, key=repr)
+
+
+def test_a_lexicon_of_many_words(spark):
+    from noria.operators import votes
+
+    many = spark.range(100_000).select(F.concat(F.translate(F.col("id").cast("string"), "0123456789", "ابتثجحخدرز"), F.lit("ه")).alias("word"))
+    df = many.where("substring(word, 2, 1) <> 'ه'").groupBy((F.hash("word") % 20).alias("id")).agg(F.array_join(F.collect_list("word"), " ").alias("t"))
+    done = votes.restored_running(df, "id", "t", many.where("length(word) <> 4")).cache()
+    words = done.select(F.explode(F.split("t", " ")).alias("w"))
+    assert words.where("length(w) <> 4 AND w NOT LIKE '%ة' OR length(w) = 4 AND w NOT LIKE '%ه'").count() == 0 and words.count() == 99_990
