@@ -28,6 +28,8 @@ from .encoding import by_size, encoder
 from .tables import clean_input, stored
 from .workers import tidy
 
+#: Bytes of atoms that a worker remembers here, and bytes of text that it encodes at once: the pipeline's last stage comes when executors have grown.
+MEMO_BYTES, BATCH_BYTES = 32 << 20, 1 << 20
 #: task and number: the task that cut the piece, and how many of its length the task cut before.
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
@@ -43,11 +45,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _cutter(path: str, end_id: int, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
+        coder.slots.most = MEMO_BYTES
         end, seen, task = np.array([end_id], "<u4"), [0] * (capacity + 1), TaskContext.get().partitionId()
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
         for batch in batches:
-            for some in by_size(batch, 1):
+            for some in by_size(batch, 1, BATCH_BYTES):
                 ids, offsets = coder.encode(some.column(1))
                 ids, out = ids.astype("<u4"), []
                 for k, doc in enumerate(some.column(0).to_pylist()):
