@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +44,29 @@ _LEADS = {2: [*range(0xC4, 0xCC), *range(0xCE, 0xE0)], 3: [0xE0, *range(0xE4, 0x
 _LEAD = np.zeros(256, np.uint8)
 for _n, _leads in _LEADS.items():
     _LEAD[_leads] = _n
-_VISIBLE = np.array([c in (_LETTER, _DIGIT, _SIGN, _WHOLE) for c in range(7)])
-_PLAIN = np.array([c in (_LETTER, _DIGIT, _SIGN) for c in range(7)])
+
+
+def _plain(kind: np.ndarray) -> np.ndarray:
+    """Where letters, digits and signs are."""
+    return (kind >= _LETTER) & (kind <= _SIGN)
 
 
 def _kinds(data: np.ndarray, whole: bytes) -> np.ndarray:
     """The class of each byte."""
-    kind, n = _CLASS[data], len(data)
+    classes, n = _CLASS, len(data)
     if whole:
-        kind[np.isin(data, np.frombuffer(whole, np.uint8))] = _WHOLE
-    latin = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+        classes = _CLASS.copy()
+        classes[list(whole)] = _WHOLE
+    kind = classes.take(data)
+    high = np.flatnonzero(data >= 0x80)
+    byte = data[high]
+    latin = high[byte == 0xC3]
+    latin = latin[latin < n - 1]
+    latin = latin[_LATIN[data[latin + 1]]]
     kind[latin], kind[latin + 1] = _LETTER, _LETTER
-    lead = _LEAD[data]
+    lead = _LEAD[byte]
     for size in _LEADS:
-        at = np.flatnonzero(lead == size)
+        at = high[lead == size]
         for k in range(size):
             kind[np.minimum(at + k, n - 1)] = _WHOLE
     return kind
@@ -64,12 +74,13 @@ def _kinds(data: np.ndarray, whole: bytes) -> np.ndarray:
 
 def _gaps(kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places of single spaces and newlines between visible characters of one text."""
-    edge = np.zeros(len(kind) + 1, bool)
-    edge[offsets] = True
-    edge[-1] = True
-    gap = np.flatnonzero((kind == _BLANK) | (kind == _LINE))
-    gap = gap[~edge[gap] & ~edge[gap + 1]]
-    return gap[_VISIBLE[kind[gap - 1]] & _VISIBLE[kind[gap + 1]]]
+    gap, visible = (kind == _BLANK) | (kind == _LINE), _plain(kind) | (kind == _WHOLE)
+    gap[1:] &= visible[:-1]
+    gap[:-1] &= visible[1:]
+    gap[offsets[offsets < len(kind)]] = False
+    gap[offsets[offsets > 0] - 1] = False
+    gap[-1] = False
+    return np.flatnonzero(gap)
 
 
 def gaps(data: np.ndarray, offsets: np.ndarray, whole: bytes = b"") -> np.ndarray:
@@ -88,14 +99,14 @@ def atoms(data: np.ndarray, offsets: np.ndarray, whole: bytes = b"") -> np.ndarr
     cut[offsets] = True
     cut[gap] = True
     cut[gap[kind[gap] == _LINE] + 1] = True
-    plain = _PLAIN[kind]
+    starts = np.flatnonzero(cut[:n])
+    plain = _plain(kind)
     plain[gap] = True
-    chunk = np.cumsum(cut[:n], dtype=np.int32) - 1
-    mixed = np.zeros(int(chunk[-1]) + 1, bool)
-    mixed[chunk[~plain]] = True
-    meet = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-    meet = meet[(kind[meet - 1] != _BLANK) & ~mixed[chunk[meet]]]
-    cut[meet] = True
+    mixed = np.zeros(len(starts), bool)
+    mixed[np.searchsorted(starts, np.flatnonzero(~plain), "right") - 1] = True
+    meet = (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK) & ~cut[1:n]
+    meet = np.flatnonzero(meet) + 1
+    cut[meet[~mixed[np.searchsorted(starts, meet, "right") - 1]]] = True
     return np.flatnonzero(cut[:n])
 
 
@@ -110,6 +121,15 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _values(strings: pa.Array) -> list[bytes]:
+    """As to_pylist() of large binary values without nulls, by slices of their joined bytes."""
+    if not len(strings):
+        return []
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    raw = strings.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 class PieceEncoder:
     """Encodes Arrow string columns. path: a file of the tokenizers library, with BPE of either kind."""
 
@@ -158,8 +178,7 @@ class PieceEncoder:
 
     def _slots_of(self, distinct: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Where the ids of each distinct atom lie, and the atoms that are new."""
-        find = self.slots.known.get
-        out = np.fromiter((find(p, -1) for p in distinct), np.int64, len(distinct))
+        out = np.fromiter(map(self.slots.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(out < 0)
         if not len(missing):
             return out, []
@@ -185,7 +204,7 @@ class PieceEncoder:
         first = atoms(data, offsets, self.whole)
         raw = pa.py_buffer(np.ascontiguousarray(data))
         coded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(data))), raw]).dictionary_encode()
-        found, new = self._slots_of(coded.dictionary.to_pylist())
+        found, new = self._slots_of(_values(coded.dictionary))
         return first, found[np.asarray(coded.indices)], new
 
     def _remember(self, new: list[bytes]) -> None:

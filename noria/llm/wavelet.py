@@ -30,10 +30,25 @@ from .workers import tidy
 MAGIC = b"WVM1"
 BLOCK_BITS = 512
 CHUNK_BYTES = 1 << 15
+#: Bits of a plane that are parted at once; their places stay in the processor's cache.
+RUN_BITS = 1 << 16
 #: Ids at which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 1 << 21
 
 
+def _sides(ones: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice, np.ndarray, slice]]:
+    """For each run of a plane's bits: where it is, its zeros and where they go when parted, its ones and where they go.
+
+    Places in short runs instead of masks over the plane: masks take several times as long on bits without a pattern.
+    """
+    low, high = 0, zeros
+    for i in range(0, len(ones), RUN_BITS):
+        run = ones[i : i + RUN_BITS]
+        zero, one = np.flatnonzero(~run), np.flatnonzero(run)
+        yield slice(i, i + len(run)), zero, slice(low, low + len(zero)), one, slice(high, high + len(one))
+        low, high = low + len(zero), high + len(one)
+
+
 class WaveletMatrix:
     """A sequence of unsigned integers below 2**bits."""
 
@@ -45,15 +60,23 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
         pack = zstandard.ZstdCompressor(level=1)
         n, zeros, ranks, chunks = len(values), [], [], []
+        spare = np.empty_like(values), np.empty_like(values)
         for b in range(bits - 1, -1, -1):
             ones = ((values >> values.dtype.type(b)) & values.dtype.type(1)).astype(bool)
-            plane = np.packbits(ones, bitorder="little")
-            per = np.add.reduceat(ones, np.arange(0, n, BLOCK_BITS), dtype=np.uint32) if n else np.zeros(0, np.uint32)
+            raw = np.packbits(ones, bitorder="little").tobytes()
+            blocks = np.zeros(-(-n // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
+            blocks[: len(raw)] = np.frombuffer(raw, np.uint8)
+            per = np.bitwise_count(blocks.view("<u8")).reshape(-1, BLOCK_BITS // 64).sum(axis=1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(per)]).astype(np.uint32))
-            raw = plane.tobytes()
             chunks.append([pack.compress(raw[i : i + CHUNK_BYTES]) for i in range(0, len(raw), CHUNK_BYTES)])
-            zeros.append(int(n - ones.sum()))
-            values = np.concatenate([values[~ones], values[ones]])
+            zeros.append(int(n - ranks[-1][-1]))
+            if not b:
+                break
+            parted = spare[b % 2]
+            for here, zero, low, one, high in _sides(ones, zeros[-1]):
+                values[here].take(zero, out=parted[low], mode="clip")
+                values[here].take(one, out=parted[high], mode="clip")
+            values = parted
         return cls(n, bits, zeros, ranks, chunks)
 
     def to_bytes(self) -> bytes:
@@ -158,15 +181,16 @@ class WaveletMatrix:
 
     def decode(self, dtype: np.dtype) -> np.ndarray:
         """All values, plane by plane from the last."""
-        values = np.zeros(self.n, dtype)
+        values, up = np.zeros(self.n, dtype), np.empty(self.n, dtype)
         unpack = zstandard.ZstdDecompressor()
         for p in range(self.bits - 1, -1, -1):
             plane = np.frombuffer(b"".join(unpack.decompress(c) for c in self.chunks[p]), np.uint8)
             ones = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            up = np.empty_like(values)
-            up[~ones] = values[: self.zeros[p]]
-            up[ones] = values[self.zeros[p] :] | dtype.type(1 << (self.bits - 1 - p))
-            values = up
+            bit = dtype.type(1 << (self.bits - 1 - p))
+            for here, zero, low, one, high in _sides(ones, self.zeros[p]):
+                run = up[here]
+                run[zero], run[one] = values[low], values[high] | bit
+            values, up = up, values
         return values
 
 
