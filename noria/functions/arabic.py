@@ -1,7 +1,8 @@
 """Arabic text functions as Column expressions.
 
-Everything but Unicode composition is a built-in function, so plans stay on the JVM side; regular
-expressions are preferred to higher-order functions where both say the same.
+Single rules are built-in functions, so plans stay on the JVM side; regular expressions are preferred to
+higher-order functions where both say the same. Unicode composition, and chains of rules over whole texts,
+are Arrow-batched functions (``batches``).
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from . import alphabet as A
+from . import batches
 
 _M = A.MARKS
 _SPACES = "(?U)[\\s\\x1c-\\x1f]"
@@ -40,9 +42,17 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _exchanged(old: str, new: str) -> Callable[[Column], Column]:
+    @F.pandas_udf(StringType())
+    def exchanged(text: pd.Series) -> pd.Series:
+        return pd.Series(batches.sliced(batches.exchanged, text.tolist(), old, new), dtype=object)
+
+    return exchanged
+
+
 def arabize(text: Column, digits: bool = False) -> Column:
     """Latin letters as Arabic letters and marks by a fixed table; the rest as it is. digits: those as letters, too."""
-    return F.translate(F.lower(text), A.LATIN + "0123456789" * digits, A.AS_ARABIC + A.LETTERS[3:13] * digits)
+    return _exchanged(A.LATIN + "0123456789" * digits, A.AS_ARABIC + A.LETTERS[3:13] * digits)(F.lower(text))
 
 
 def _composer(form: str) -> Callable[[Column], Column]:
@@ -196,8 +206,9 @@ def detokenize(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")
 
 
-def letter_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{_L}]", ""))
+@F.pandas_udf(IntegerType())
+def letter_count(text: pd.Series) -> pd.Series:
+    return pd.Series(batches.sliced(batches.letters, text.tolist()), dtype="Int32")
 
 
 def pack_words(text: Column, most: int = 120) -> Column:
@@ -213,32 +224,14 @@ def pack_words(text: Column, most: int = 120) -> Column:
     return F.aggregate(words, state, step, lambda s: F.when(F.length(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
 
 
-def _merge_by_letters(parts: Column, most: int) -> Column:
-    """Neighbours joined by a space while they have at most ``most`` letters together."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
-
-    def step(s: Column, w: Column) -> Column:
-        n = letter_count(w)
-        over = s["now"].isNotNull() & (s["n"] + n > most)
-        return F.struct(F.when(over, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), F.when(over | s["now"].isNull(), w).otherwise(F.concat(s["now"], F.lit(" "), w)).alias("now"), F.when(over | s["now"].isNull(), n).otherwise(s["n"] + n).alias("n"))
-
-    return F.aggregate(parts, state, step, lambda s: F.when(s["now"].isNotNull(), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
-
-
 def sentence_chunks(text: Column, most: int = 160) -> Column:
     """Sentences, split after commas and then between words where they have more than ``most`` letters, merged again up to it; each ends in a stop."""
 
-    def stripped(parts: Column) -> Column:
-        return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
-
-    def words_of(part: Column) -> Column:
-        return F.when(letter_count(part) <= most, F.array(part)).otherwise(_merge_by_letters(F.filter(F.split(part, "\\s+"), lambda w: w != ""), most))
+    @F.pandas_udf(ArrayType(StringType()))
+    def chunked(text: pd.Series) -> pd.Series:
+        return pd.Series(batches.sliced(batches.chunks, text.tolist(), most), dtype=object)
 
-    def split_long(sentence: Column) -> Column:
-        return F.when(letter_count(sentence) <= most, F.array(sentence)).otherwise(F.flatten(F.transform(stripped(F.split(sentence, "(?<=,)\\s")), words_of)))
-
-    pieces = F.flatten(F.transform(stripped(F.split(text, "(?<=\\.)\\s")), split_long))
-    return F.transform(_merge_by_letters(pieces, most), lambda c: F.when(c.endswith("."), c).otherwise(F.concat(F.regexp_replace(c, ",+$", ""), F.lit("."))))
+    return chunked(text)
 
 
 def drop_final_stop(text: Column) -> Column:
@@ -246,22 +239,30 @@ def drop_final_stop(text: Column) -> Column:
     return let(text, lambda t: F.coalesce(F.nullif(F.regexp_replace(t, "\\.\\s*$", ""), F.lit("")), t))
 
 
+def _normalizer(form: str | None, verbose: bool) -> Callable[[Column], Column]:
+    @F.pandas_udf(StringType())
+    def normal(text: pd.Series) -> pd.Series:
+        return pd.Series(batches.sliced(batches.normal, text.tolist(), form), dtype=object)
+
+    @F.pandas_udf("normal string, dropped array<string>")
+    def normal_and_dropped(text: pd.Series) -> pd.DataFrame:
+        rows = batches.sliced(batches.normal, text.tolist(), form, True)
+        return pd.DataFrame({"normal": pd.Series([r and r[0] for r in rows], dtype=object), "dropped": pd.Series([r and r[1] for r in rows], dtype=object)})
+
+    return normal_and_dropped if verbose else normal
+
+
 def normalize(df: DataFrame, column: str, into: str, lexicon: Column | None = None, form: str | None = "NFKC", verbose: str | None = None) -> DataFrame:
     """The whole front end over ``column``: composition, letters, numbers, cleaning, marks, punctuation, lexicon.
 
-    verbose: also a column of the characters that cleaning drops.
+    One Arrow-batched function; the parts above say the same rule by rule. verbose: also a column of the characters that cleaning drops.
     """
-    from .numerals import expand
-
-    df = df.withColumn(into, F.col(column) if form is None else composed(F.col(column), form))
-    df = df.withColumn(into, expand(unify(F.col(into))))
-    if verbose:
-        df = df.withColumn(verbose, dropped_characters(F.col(into)))
-    df = df.withColumn(into, clean_characters(F.col(into)))
-    df = df.withColumn(into, _canonicalized(F.col(into))).withColumn(into, tidy_punctuation(F.col(into)))
+    normal = _normalizer(form, verbose is not None)(F.col(column))
+    df = df.withColumns({into: normal["normal"], verbose: normal["dropped"]}) if verbose else df.withColumn(into, normal)
     return df if lexicon is None else df.withColumn(into, restore_in_text(F.col(into), lexicon))
 
 
-def plain_text(normalized: Column) -> Column:
+@F.pandas_udf(StringType())
+def plain_text(normalized: pd.Series) -> pd.Series:
     """Without marks and punctuation."""
-    return collapse(F.regexp_replace(strip_marks(normalized), "[,.]", " "))
+    return normalized.map(batches.plain, na_action="ignore")
