@@ -106,7 +106,7 @@ _NORMAL_CTE = f"a AS (SELECT doc_id, {LETTERED} AS t FROM documents), n AS (SELE
 
 def normal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and normal text. Digits come in as letters: DuckDB can't follow the number rules, which q_expand and tests cover."""
-    return ar.normalize(arabic_documents(spark, sf_dir, digits=True), "t", "normal", verbose="dropped")
+    return ar.normalize(arabic_documents(spark, sf_dir, digits=True), "t", "normal")
 
 
 @query(None)
