@@ -118,29 +118,34 @@ def _said_with(ending: str):
     return lambda m: f"{spoken_token(m[1])} {ending}"
 
 
-#: (pattern, replacement), applied one after the other.
+#: (signs, pattern, replacement), applied one after the other to texts that have one of the signs; to all for "".
+_WITHIN = [
+    (",٬", re.compile(r"[,٬](?<=\d[,٬])(?=\d{3}(?!\d))"), ""),
+    ("٫", re.compile(r"٫(?<=\d٫)(?=\d)"), "."),
+]
+#: A space between Arabic characters and digits. Where Arabic digits are both, pairs count from the left.
+_FOREIGN_DIGIT = re.compile(f"[{A.ARABIC_DIGITS}{A.PERSIAN_DIGITS}]")
+_PAIRS = [("", re.compile(rf"([{_AR}])(\d)"), r"\1 \2"), ("", re.compile(rf"(\d)([{_AR}])"), r"\1 \2")]
+_APART = [("", re.compile(rf"\d(?<=[{_AR}]\d)"), r" \g<0>"), ("", re.compile(rf"\d(?=[{_AR}])"), r"\g<0> ")]
 _RULES = [
-    (re.compile(r"(?<=\d)[,٬](?=\d{3}(?!\d))"), ""),
-    (re.compile(r"(?<=\d)٫(?=\d)"), "."),
-    (re.compile(rf"([{_AR}])(\d)"), r"\1 \2"),
-    (re.compile(rf"(\d)([{_AR}])"), r"\1 \2"),
-    (_DMY, _said_date),
-    (_YMD, _said_date),
-    (_CLOCK, _said_clock),
-    (re.compile(rf"({_NUMBER})\s*[%٪]"), _said_with("في المية")),
+    ("/-", _DMY, _said_date),
+    ("/-", _YMD, _said_date),
+    (":", _CLOCK, _said_clock),
+    ("%٪", re.compile(rf"({_NUMBER})\s*[%٪]"), _said_with("في المية")),
 ]
 for _sign, _word in A.CURRENCIES.items():
-    _RULES += [(re.compile(rf"{re.escape(_sign)}\s*({_NUMBER})"), _said_with(_word)), (re.compile(rf"({_NUMBER})\s*{re.escape(_sign)}"), _said_with(_word)), (re.compile(re.escape(_sign)), f" {_word} ")]
-_RULES += [(re.compile(r"\d+\.\d+"), lambda m: spoken_token(m[0])), (re.compile(r"\d+"), lambda m: spoken_token(m[0])), (re.compile(r"\s+"), " ")]
+    _RULES += [(_sign, re.compile(rf"{re.escape(_sign)}\s*({_NUMBER})"), _said_with(_word)), (_sign, re.compile(rf"({_NUMBER})\s*{re.escape(_sign)}"), _said_with(_word)), (_sign, re.compile(re.escape(_sign)), f" {_word} ")]
+_RULES += [("", re.compile(r"\d+(?:\.\d+)?"), lambda m: spoken_token(m[0]))]
 _ANY_DIGIT = re.compile(r"\d")
 
 
 def expanded(text: str) -> str:
     if not _ANY_DIGIT.search(text):
         return text
-    for pattern, new in _RULES:
-        text = pattern.sub(new, text)
-    return text.strip()
+    for signs, pattern, new in (*_WITHIN, *(_PAIRS if _FOREIGN_DIGIT.search(text) else _APART), *_RULES):
+        if not signs or any(c in text for c in signs):
+            text = pattern.sub(new, text)
+    return " ".join(text.split())
 
 
 @F.pandas_udf(StringType())
