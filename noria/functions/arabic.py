@@ -106,6 +106,12 @@ def strip_marks(text: Column) -> Column:
     return F.translate(text, _M, "")
 
 
+@F.pandas_udf(StringType())
+def bare_text(text: pd.Series) -> pd.Series:
+    """Without marks, in single spaces."""
+    return text.map(batches.bare, na_action="ignore")
+
+
 def has_marks(text: Column) -> Column:
     return text.rlike(f"[{_D}]")
 
@@ -139,6 +145,12 @@ def word_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[{_L}{_MS}]+|[^{_L}{_MS}]+"), F.lit(0))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def words_with_ha(text: pd.Series) -> pd.Series:
+    """A text's distinct runs of letters and marks that have ه."""
+    return text.map(batches.words_with_ha, na_action="ignore")
+
+
 def with_ta_marbuta(word: Column) -> Column:
     """A word whose last ه is ة; what follows it stays."""
     return F.regexp_replace(word, f"{A.HA}([^{A.HA}]*)$", A.TA_MARBUTA + "$1")

@@ -11,7 +11,7 @@ import codecs
 import functools
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import numpy as np
 
@@ -198,6 +198,27 @@ def bare(text: str) -> str:
     return " ".join(text.split())
 
 
+_RUN = re.compile(f"[{A.LETTERS}{A.MARKS}]+")
+
+
+def words_with_ha(text: str) -> list[str]:
+    """The distinct runs of letters and marks that have ه."""
+    return [w for w in set(_RUN.findall(text)) if A.HA in w]
+
+
+def restored(text: str, changing: Container[str]) -> str:
+    """The last ه of each run of letters and marks in ``changing`` as ة."""
+
+    def new(m: re.Match) -> str:
+        word = m[0]
+        if word not in changing:
+            return word
+        head, _, tail = word.rpartition(A.HA)
+        return head + A.TA_MARBUTA + tail
+
+    return _RUN.sub(new, text)
+
+
 _AFTER_STOP, _AFTER_COMMA, _WORD = (re.compile(x, re.ASCII) for x in (r"\.\s", r",\s", r"\S+"))
 _LAST_COMMAS = re.compile(r",+(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from noria.functions import alphabet as A
 from noria.functions import arabic as ar
+from noria.functions import batches
+from noria.storage import stored
 
 
 def word_frequency(docs: DataFrame, text: str) -> DataFrame:
@@ -15,11 +20,21 @@ def word_frequency(docs: DataFrame, text: str) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
+@F.pandas_udf(StringType())
+def _stub(doc_id: pd.Series, text: pd.Series) -> pd.Series:
+    def marked(i: str | None, t: str | None) -> str | None:
+        def mark(word: str) -> str:
+            n = -1 if i is None else int(i) + len(word)
+            return "" if len(word) < 2 or n < 0 and n % 3 else (A.FATHA, A.DAMMA, "")[n % 3]
+
+        return None if t is None else " ".join(w[:-1] + mark(w) + w[-1:] for w in t.split(" "))
+
+    return pd.Series([marked(i, t) for i, t in zip(doc_id.tolist(), text.tolist())], dtype=object)
+
+
 def stub_marks(docs: DataFrame, plug: Column | None = None) -> DataFrame:
     """doc_id, text and diac: a test stand-in for a diacritizer, not one. plug: a real model's column."""
-    mark = lambda w: F.when((F.col("doc_id") + F.length(w)) % 3 == 0, A.FATHA).when((F.col("doc_id") + F.length(w)) % 3 == 1, A.DAMMA).otherwise("")
-    stub = F.array_join(F.transform(F.split("text", " "), lambda w: F.when(F.length(w) < 2, w).otherwise(F.concat(F.substr(w, F.lit(1), F.length(w) - 1), mark(w), F.substring(w, -1, 1)))), " ")
-    return docs.withColumn("diac", stub if plug is None else plug)
+    return docs.withColumn("diac", _stub(F.col("doc_id").cast("string"), F.col("text")) if plug is None else plug)
 
 
 def valid_diacritics(docs: DataFrame) -> DataFrame:
@@ -34,6 +49,27 @@ def tally(pairs: DataFrame) -> DataFrame:
     """
     words = pairs.select(F.split("text", " ").alias("w"), F.split("diac", " ").alias("d")).where(F.size("w") == F.size("d"))
     words = words.select(F.inline(F.arrays_zip("w", "d"))).where(F.col("w").endswith(A.HA)).groupBy("w", "d").agg(F.count(F.lit(1)).alias("n"))
+    return _tallied(words)
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """w, d and n: how often each word of (text, diac) has which marked form, null in texts whose word counts differ. For tallies and frequencies from one pass over texts in single spaces."""
+    words = pairs.select(F.split("text", " ").alias("w"), F.split("diac", " ").alias("d"))
+    fitting = F.when(F.size("w") == F.size("d"), F.col("d")).otherwise(F.array().cast("array<string>"))
+    return words.select(F.inline(F.arrays_zip("w", fitting.alias("d")))).groupBy("w", "d").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tally_of(counts: DataFrame) -> DataFrame:
+    """As ``tally``, from what ``counted`` gives."""
+    return _tallied(counts.where(F.col("w").endswith(A.HA) & F.col("d").isNotNull()))
+
+
+def frequency_of(counts: DataFrame) -> DataFrame:
+    """As ``word_frequency``, from what ``counted`` gives."""
+    return counts.where("w <> ''").groupBy(F.col("w").alias("word")).agg(F.sum("n").alias("freq"))
+
+
+def _tallied(words: DataFrame) -> DataFrame:
     voted = words.where(ar.is_candidate(F.col("w")) & (ar.strip_marks(F.col("d")) == F.col("w"))).select(F.col("w").alias("word"), "n", ar.vote(F.col("d")).alias("v"))
     each = {name: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name) for name, test in (("votes_ta", F.col("v") > 0), ("votes_ha", F.col("v") < 0), ("abstain", F.col("v") == 0))}
     return voted.groupBy("word").agg(*each.values())
@@ -79,25 +115,31 @@ def in_order(words: DataFrame) -> DataFrame:
 
 #: Words of a lexicon that each word of a text may look through, and those that are broadcast to the tasks that look words up.
 FEW_WORDS, BROADCAST_WORDS = 200, 1_000_000
+#: Rows whose distinct words are looked up together. Neighbours share most of their words.
+BATCH_ROWS = 2048
 
 
 def restored_running(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Rows whose running ``text`` has ة for the last ه of each word that the lexicon (word) has in its bare form; marks and all else stay.
 
-    A short lexicon goes into the expression. A longer one is joined: the distinct words with ه of each key are looked up, by hash, in a lexicon that is broadcast up to
-    BROADCAST_WORDS words, by their count, and shuffled beyond; a word's new form doesn't depend on its text, so what comes back to a key's texts is a map of the
-    words that change. Texts without such a word aren't taken apart again. Rows with a null key or text stay as they are.
+    A short lexicon goes into the expression. A longer one is joined: rows are stored in batches of BATCH_ROWS, the distinct words with ه of each batch are looked up, by hash, in
+    a lexicon that is broadcast up to BROADCAST_WORDS words, by their count, and shuffled beyond; a word's new form doesn't depend on its text, so what comes back to
+    a batch are the words that change. Rows with a null key or text stay as they are.
     """
-    words = lexicon.select("word").where("word IS NOT NULL").distinct()
-    n = words.limit(BROADCAST_WORDS + 1).count()
+    words = stored(lexicon.select("word").where("word IS NOT NULL").distinct(), "lexicon")
+    n = words.count()
     if n <= FEW_WORDS:
         known = words.agg(F.collect_list("word").alias("_known"))  # one row of few words
         return rows.join(F.broadcast(known)).withColumn(text, F.when(F.col(key).isNull(), F.col(text)).otherwise(ar.restore_in_text(F.col(text), F.col("_known")))).drop("_known")
-    spoken = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.filter(ar.word_runs(F.col(text)), lambda s: s.contains(A.HA)))).alias("_said"))
-    asked = spoken.withColumn("_bare", ar.strip_marks(F.col("_said")))
+    batched = stored(rows.withColumn("_batch", F.expr(f"monotonically_increasing_id() div {BATCH_ROWS}")), "rows")
+    asked = batched.where(F.col(key).isNotNull()).select("_batch", F.explode(ar.words_with_ha(F.col(text))).alias("_said")).distinct()
     words = words.withColumnRenamed("word", "_bare")
-    found = asked.join(F.broadcast(words) if n <= BROADCAST_WORDS else words, "_bare", "left_semi")
-    changes = found.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("_said", ar.with_ta_marbuta(F.col("_said"))))).alias("_changes"))
-    changed = F.array_join(F.transform(ar.word_runs(F.col(text)), lambda s: F.when(s.contains(A.HA), F.coalesce(F.try_element_at("_changes", s), s)).otherwise(s)), "")
-    joined = rows.join(changes, rows[key] == changes["_key"], "left")
-    return joined.withColumn(text, F.when(F.col("_changes").isNull(), F.col(text)).otherwise(changed)).drop("_key", "_changes")
+    found = asked.withColumn("_bare", ar.strip_marks(F.col("_said"))).join(F.broadcast(words) if n <= BROADCAST_WORDS else words, "_bare", "left_semi").select(F.col("_batch").alias("_in"), "_said")
+
+    def changed(batch: pa.Table, said: pa.Table) -> pa.Table:
+        changing = set(said["_said"].to_pylist())
+        new = [t if t is None or not there else batches.restored(t, changing) for t, there in zip(batch[text].to_pylist(), batch[key].is_valid().to_pylist())]
+        out = batch.drop_columns("_batch")
+        return out.set_column(out.schema.get_field_index(text), text, pa.array(new, batch[text].type))
+
+    return batched.groupBy("_batch").cogroup(found.groupBy("_in")).applyInArrow(changed, rows.schema)

@@ -12,7 +12,7 @@ from noria.operators import alignment, cuts, latents, manifest, metrics, samples
 from noria.operators import votes as vo
 from noria.operators.ordering import running_number
 from noria.sources import config
-from noria.storage import new_path
+from noria.storage import new_path, stored
 
 from .corpus_queries import _CUTS, _WORDS, eligible, raw_metadata, timed_words
 from .registry import query, table
@@ -319,8 +319,9 @@ def q_top_not_restored(spark, sf_dir):
 @query(f"WITH {_VOTED} SELECT word FROM tally UNION SELECT word FROM lexicon UNION SELECT word FROM freq WHERE freq > 20")
 def q_all_keys(spark, sf_dir):
     docs = plain_documents(spark, sf_dir)
-    tally = vo.tally(vo.stub_marks(docs))
-    return vo.in_order(vo.all_keys(tally, vo.lexicon(tally), vo.word_frequency(docs, "text").where("freq > 20")))
+    counts = stored(vo.counted(vo.stub_marks(docs)), "words")
+    tally = vo.tally_of(counts)
+    return vo.in_order(vo.all_keys(tally, vo.lexicon(tally), vo.frequency_of(counts).where("freq > 20")))
 
 
 @query("SELECT conv_id * 100 + turn AS id, array_to_string(list_transform(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: reverse(w)), ' ') AS text FROM conversations")

@@ -314,7 +314,7 @@ freq AS (SELECT word, count(*) AS freq FROM pairs WHERE word <> '' GROUP BY word
 
 
 def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arabic_documents(spark, sf_dir).select("doc_id", ar.collapse(ar.strip_marks(F.col("t"))).alias("text"))
+    return arabic_documents(spark, sf_dir).select("doc_id", ar.bare_text(F.col("t")).alias("text"))
 
 
 @query(f"WITH {_WORDS} SELECT DISTINCT word, {_duck_candidate('word')} AS candidate FROM pairs WHERE word <> ''")
@@ -398,7 +398,7 @@ SELECT a.doc_id, md5(coalesce(string_agg(x, '' ORDER BY k), '')) AS digest FROM
 def q_restore_running(spark, sf_dir):
     """Marked running text by a lexicon of all its bare forms of odd length with ه."""
     docs = arabic_documents(spark, sf_dir)
-    bare = docs.select(F.explode(F.filter(ar.word_runs(F.col("t")), lambda s: s.contains(A.HA))).alias("s")).select(ar.strip_marks(F.col("s")).alias("word"))
+    bare = docs.select(F.explode(ar.words_with_ha(F.col("t"))).alias("s")).distinct().select(ar.strip_marks(F.col("s")).alias("word"))
     done = vo.restored_running(docs, "doc_id", "t", bare.where(F.length("word") % 2 == 1).distinct())
     return done.select("doc_id", F.md5("t").alias("digest"))
 
