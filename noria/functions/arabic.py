@@ -7,13 +7,15 @@ are Arrow-batched functions (``batches``).
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import alphabet as A
 from . import batches
@@ -145,10 +147,23 @@ def word_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[{_L}{_MS}]+|[^{_L}{_MS}]+"), F.lit(0))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def words_with_ha(text: pd.Series) -> pd.Series:
-    """A text's distinct runs of letters and marks that have ه."""
-    return text.map(batches.words_with_ha, na_action="ignore")
+def words_with_ha(rows: DataFrame, text: str, into: str, key: str | None = None, latin: bool = False) -> DataFrame:
+    """The runs of letters and marks that have ه in running texts, by ``key`` if one is named; each at least once, repeats within a piece of a batch go. latin: lower-case texts are read as ``arabize`` makes them."""
+
+    def said(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for b in parts for x in batches.pieces(b, text)):
+            texts = part[text].to_pylist()
+            texts = batches.sliced(batches.exchanged, texts, A.LATIN, A.AS_ARABIC) if latin else texts
+            found: dict = {}
+            for k, t in zip(part[key].to_pylist() if key else itertools.repeat(None), texts):
+                if t is not None:
+                    found.setdefault(k, set()).update(batches.words_with_ha(t))
+            words = pa.array([w for ws in found.values() for w in ws], pa.string())
+            keys = {key: pa.array([k for k, ws in found.items() for _ in ws], part[key].type)} if key else {}
+            yield pa.RecordBatch.from_pydict({**keys, into: words})
+
+    kept = [rows.schema[key]] if key else []
+    return rows.select(*[f.name for f in kept], text).mapInArrow(said, StructType([*kept, StructField(into, StringType())]))
 
 
 def with_ta_marbuta(word: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,21 +24,29 @@ def word_frequency(docs: DataFrame, text: str) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def _stub(i: str | int | None, t: str | None) -> str | None:
+    def mark(word: str) -> str:
+        n = -1 if i is None else int(i) + len(word)
+        return "" if len(word) < 2 or n < 0 and n % 3 else (A.FATHA, A.DAMMA, "")[n % 3]
+
+    return None if t is None else " ".join(w[:-1] + mark(w) + w[-1:] for w in t.split(" "))
+
+
 @F.pandas_udf(StringType())
-def _stub(doc_id: pd.Series, text: pd.Series) -> pd.Series:
-    def marked(i: str | None, t: str | None) -> str | None:
-        def mark(word: str) -> str:
-            n = -1 if i is None else int(i) + len(word)
-            return "" if len(word) < 2 or n < 0 and n % 3 else (A.FATHA, A.DAMMA, "")[n % 3]
+def _stubs(doc_id: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([_stub(i, t) for i, t in zip(doc_id.tolist(), text.tolist())], dtype=object)
 
-        return None if t is None else " ".join(w[:-1] + mark(w) + w[-1:] for w in t.split(" "))
 
-    return pd.Series([marked(i, t) for i, t in zip(doc_id.tolist(), text.tolist())], dtype=object)
+def stub_pairs(ids: list[int | None], texts: list[str | None]) -> Iterator[tuple[str | None, str | None]]:
+    """Lower-case texts as bare Arabic, with their stub marks: a test stand-in for a model, for ``counted``."""
+    for i, t in zip(ids, batches.sliced(batches.exchanged, texts, A.LATIN, A.AS_ARABIC)):
+        bare = None if t is None else batches.bare(t)
+        yield bare, _stub(i, bare)
 
 
 def stub_marks(docs: DataFrame, plug: Column | None = None) -> DataFrame:
     """doc_id, text and diac: a test stand-in for a diacritizer, not one. plug: a real model's column."""
-    return docs.withColumn("diac", _stub(F.col("doc_id").cast("string"), F.col("text")) if plug is None else plug)
+    return docs.withColumn("diac", _stubs(F.col("doc_id").cast("string"), F.col("text")) if plug is None else plug)
 
 
 def valid_diacritics(docs: DataFrame) -> DataFrame:
@@ -52,11 +64,24 @@ def tally(pairs: DataFrame) -> DataFrame:
     return _tallied(words)
 
 
-def counted(pairs: DataFrame) -> DataFrame:
-    """w, d and n: how often each word of (text, diac) has which marked form, null in texts whose word counts differ. For tallies and frequencies from one pass over texts in single spaces."""
-    words = pairs.select(F.split("text", " ").alias("w"), F.split("diac", " ").alias("d"))
-    fitting = F.when(F.size("w") == F.size("d"), F.col("d")).otherwise(F.array().cast("array<string>"))
-    return words.select(F.inline(F.arrays_zip("w", fitting.alias("d")))).groupBy("w", "d").agg(F.count(F.lit(1)).alias("n"))
+def counted(docs: DataFrame, pairs: Callable[[list, list], Iterable[tuple[str | None, str | None]]] = zip) -> DataFrame:
+    """w, d and n: how often each word of a text has which marked form, null in texts whose word counts differ. For tallies and frequencies from one pass over texts.
+
+    docs: two columns, of which ``pairs`` makes (text in single spaces, marked text) by lists; texts and marked texts as they are by default. Counted by
+    pieces of batches, then over all.
+    """
+    first, text = docs.columns
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for b in parts for x in batches.pieces(b, text)):
+            n: Counter = Counter()
+            for t, d in pairs(part[first].to_pylist(), part[text].to_pylist()):
+                words, marked = (x if x is None else x.split(" ") for x in (t, d))
+                if words is not None:
+                    n.update(zip(words, marked if marked and len(marked) == len(words) else itertools.repeat(None)))
+            yield pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in n], pa.string()), "d": pa.array([d for _, d in n], pa.string()), "n": pa.array(n.values(), pa.int64())})
+
+    return docs.mapInArrow(count, "w string, d string, n long").groupBy("w", "d").agg(F.sum("n").alias("n"))
 
 
 def tally_of(counts: DataFrame) -> DataFrame:
@@ -132,7 +157,7 @@ def restored_running(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -
         known = words.agg(F.collect_list("word").alias("_known"))  # one row of few words
         return rows.join(F.broadcast(known)).withColumn(text, F.when(F.col(key).isNull(), F.col(text)).otherwise(ar.restore_in_text(F.col(text), F.col("_known")))).drop("_known")
     batched = stored(rows.withColumn("_batch", F.expr(f"monotonically_increasing_id() div {BATCH_ROWS}")), "rows")
-    asked = batched.where(F.col(key).isNotNull()).select("_batch", F.explode(ar.words_with_ha(F.col(text))).alias("_said")).distinct()
+    asked = ar.words_with_ha(batched.where(F.col(key).isNotNull()), text, "_said", "_batch").distinct()
     words = words.withColumnRenamed("word", "_bare")
     found = asked.withColumn("_bare", ar.strip_marks(F.col("_said"))).join(F.broadcast(words) if n <= BROADCAST_WORDS else words, "_bare", "left_semi").select(F.col("_batch").alias("_in"), "_said")
 

@@ -11,6 +11,7 @@ from noria.functions import vectors as ve
 from noria.operators import alignment, cuts, latents, manifest, metrics, samples, weights
 from noria.operators import votes as vo
 from noria.operators.ordering import running_number
+from noria.session import spread
 from noria.sources import config
 from noria.storage import new_path, stored
 
@@ -318,8 +319,8 @@ def q_top_not_restored(spark, sf_dir):
 
 @query(f"WITH {_VOTED} SELECT word FROM tally UNION SELECT word FROM lexicon UNION SELECT word FROM freq WHERE freq > 20")
 def q_all_keys(spark, sf_dir):
-    docs = plain_documents(spark, sf_dir)
-    counts = stored(vo.counted(vo.stub_marks(docs)), "words")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")))
+    counts = stored(vo.counted(docs, vo.stub_pairs), "words")
     tally = vo.tally_of(counts)
     return vo.in_order(vo.all_keys(tally, vo.lexicon(tally), vo.frequency_of(counts).where("freq > 20")))
 
