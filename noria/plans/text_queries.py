@@ -398,7 +398,8 @@ SELECT a.doc_id, md5(coalesce(string_agg(x, '' ORDER BY k), '')) AS digest FROM
 def q_restore_running(spark, sf_dir):
     """Marked running text by a lexicon of all its bare forms of odd length with ه."""
     docs = arabic_documents(spark, sf_dir)
-    bare = docs.select(F.explode(ar.words_with_ha(F.col("t"))).alias("s")).distinct().select(ar.strip_marks(F.col("s")).alias("word"))
+    said = ar.words_with_ha(spread(table(spark, sf_dir, "documents").select(F.lower("text").alias("t"))), "t", "s", latin=True).distinct()
+    bare = said.select(ar.strip_marks(F.col("s")).alias("word"))
     done = vo.restored_running(docs, "doc_id", "t", bare.where(F.length("word") % 2 == 1).distinct())
     return done.select("doc_id", F.md5("t").alias("digest"))
 
