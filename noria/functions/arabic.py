@@ -160,7 +160,9 @@ def words_with_ha(rows: DataFrame, text: str, into: str, key: str | None = None,
                     found.setdefault(k, set()).update(batches.words_with_ha(t))
             words = pa.array([w for ws in found.values() for w in ws], pa.string())
             keys = {key: pa.array([k for k, ws in found.items() for _ in ws], part[key].type)} if key else {}
+            found.clear()
             yield pa.RecordBatch.from_pydict({**keys, into: words})
+            batches.give_back()
 
     kept = [rows.schema[key]] if key else []
     return rows.select(*[f.name for f in kept], text).mapInArrow(said, StructType([*kept, StructField(into, StringType())]))

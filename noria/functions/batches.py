@@ -8,6 +8,7 @@ sign in an alphabet of single bytes, where Python's own functions and short patt
 from __future__ import annotations
 
 import codecs
+import ctypes
 import functools
 import re
 import unicodedata
@@ -33,6 +34,22 @@ _NO_SHADDA = [_SIGN[c] for c in A.NO_SHADDA]
 _AS_SPACE = bytes.maketrans(bytes([_DIGIT]), b" ")
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for later tasks beside those of other steps."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim:
+        trim(0)
+
+
 def sliced(f: Callable[..., list], texts: list, *args) -> list:
     """f(texts, *args) by slices of about SLICE characters; nulls stay null and don't reach f."""
     out, asked, n = [None] * len(texts), [], 0
@@ -50,12 +67,13 @@ def sliced(f: Callable[..., list], texts: list, *args) -> list:
             n += len(t)
     if asked:
         done()
+    give_back()
     return out
 
 
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """A batch of rows in pieces of about four slices of bytes, for functions that remember the words of a piece."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)) // (4 * SLICE)
+    """A batch of rows in pieces of about two slices of bytes, for functions that remember the words of a piece."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)) // (2 * SLICE)
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
     return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if a < b)
 

@@ -79,7 +79,9 @@ def counted(docs: DataFrame, pairs: Callable[[list, list], Iterable[tuple[str |
                 words, marked = (x if x is None else x.split(" ") for x in (t, d))
                 if words is not None:
                     n.update(zip(words, marked if marked and len(marked) == len(words) else itertools.repeat(None)))
-            yield pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in n], pa.string()), "d": pa.array([d for _, d in n], pa.string()), "n": pa.array(n.values(), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in n], pa.string()), "d": pa.array([d for _, d in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+            n.clear()
+        batches.give_back()
 
     return docs.mapInArrow(count, "w string, d string, n long").groupBy("w", "d").agg(F.sum("n").alias("n"))
 
@@ -141,7 +143,7 @@ def in_order(words: DataFrame) -> DataFrame:
 #: Words of a lexicon that each word of a text may look through, and those that are broadcast to the tasks that look words up.
 FEW_WORDS, BROADCAST_WORDS = 200, 1_000_000
 #: Rows whose distinct words are looked up together. Neighbours share most of their words.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def restored_running(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -164,6 +166,7 @@ def restored_running(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -
     def changed(batch: pa.Table, said: pa.Table) -> pa.Table:
         changing = set(said["_said"].to_pylist())
         new = [t if t is None or not there else batches.restored(t, changing) for t, there in zip(batch[text].to_pylist(), batch[key].is_valid().to_pylist())]
+        batches.give_back()
         out = batch.drop_columns("_batch")
         return out.set_column(out.schema.get_field_index(text), text, pa.array(new, batch[text].type))
 
